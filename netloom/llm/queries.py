@@ -5,19 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netloom.llm import minhash_join
+from netloom.llm import language_id, minhash_join, secret_links, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    scorer = toxicity.train(docs, _table(spark, folder, "labels"))
+    return toxicity.score(docs, scorer).withColumn("held_out", language_id.held_out(F.col("doc_id")))
+
+
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return language_id.identify(docs, language_id.train(docs)).withColumn("held_out", language_id.held_out(F.col("doc_id")))
+
+
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_links.digest(_table(spark, folder, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_join.near_duplicates(_table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_toxicity": op4_toxicity,
+        "op6_language_id": op6_language_id,
+        "op8_secret_scan": op8_secret_scan,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
     }

@@ -13,10 +13,10 @@ WITH RECURSIVE words AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
 ), linked AS (
   SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
-), both AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked
+), edges AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked
 ), reach AS (
-  SELECT x AS doc_id, least(x, y) AS least_id FROM both
-  UNION SELECT b.x, r.least_id FROM reach r JOIN both b ON b.y = r.doc_id WHERE r.least_id < b.x
+  SELECT x AS doc_id, least(x, y) AS least_id FROM edges
+  UNION SELECT b.x, r.least_id FROM reach r JOIN edges b ON b.y = r.doc_id WHERE r.least_id < b.x
 ), components AS (SELECT doc_id, min(least_id) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(component_id, d.doc_id), d.doc_id) AS component_id,
   coalesce(least(component_id, d.doc_id), d.doc_id) = d.doc_id AS kept

@@ -122,3 +122,34 @@ def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
         words, ranges = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         for a, b in zip(ranges[:-1], ranges[1:], strict=True):
             yield np.unique(shingle_hashes(words[a:b], size))
+
+
+def _letters() -> np.ndarray:
+    """For each code point of the basic plane: its lower-case form if it is a letter, else a blank."""
+    out = np.full(1 << 16, 32, np.uint32)
+    for c in range(1 << 16):
+        if (x := chr(c)).isalpha():
+            out[c] = ord(low) if len(low := x.lower()) == 1 else c
+    return out
+
+
+LETTERS = _letters()
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the rows' offsets among them."""
+    first = (data & 0xC0) != 0x80
+    at = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(first, out=at[1:])
+    return np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32), at[offsets]
+
+
+def letters(points: np.ndarray) -> np.ndarray:
+    """Letters in lower case, everything else as blanks; letters outside the basic plane are folded into 16 bits."""
+    high = points >> np.uint32(16)
+    if not high.any():
+        return LETTERS[points]
+    out = LETTERS[points & np.uint32(0xFFFF)]
+    at = np.flatnonzero(high)
+    out[at] = [0xE000 + c % 0x1000 if chr(c).isalpha() else 32 for c in points[at].tolist()]
+    return out
