@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import language_id, minhash_join, secret_links, toxicity
+from netloom.llm import language_id, lz_fingerprint, minhash_join, secret_links, substring_chains, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,11 +20,19 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, scorer).withColumn("held_out", language_id.held_out(F.col("doc_id")))
 
 
+def op5_lz_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return lz_fingerprint.fingerprints(_table(spark, folder, "documents"))
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return language_id.identify(docs, language_id.train(docs)).withColumn("held_out", language_id.held_out(F.col("doc_id")))
 
 
+def op7_substring_chains(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_chains.passages(_table(spark, folder, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_links.digest(_table(spark, folder, "documents"))
 
@@ -36,7 +44,9 @@ def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_toxicity": op4_toxicity,
+        "op5_lz_fingerprint": op5_lz_fingerprint,
         "op6_language_id": op6_language_id,
+        "op7_substring_chains": op7_substring_chains,
         "op8_secret_scan": op8_secret_scan,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
     }
