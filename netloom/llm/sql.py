@@ -24,7 +24,95 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN components USING (doc_
 """
 
 
+_HOST = r"""regexp_replace(regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '^(www|m)\.', '')"""
+_REST = r"""regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '#.*$', '')"""
+
+OP1 = rf"""
+WITH parts AS (
+  SELECT page_id, md5(html) AS digest, {_HOST} AS host, {_REST} AS rest FROM pages
+), named AS (
+  SELECT page_id, digest, host, regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '(/index\.html?|/)$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS kept
+  FROM parts
+), pages_ AS (
+  SELECT page_id, digest, host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical,
+    CASE WHEN page_id % 3 <> 0 THEN '"' || substr(digest, 1, 16) || '"' END AS etag FROM named
+), paired AS (
+  SELECT r.page_id + 1099511627776 AS record_id, r.canonical, r.page_id * 10 + 5000 AS moment, b.page_id AS b_id, b.etag AS b_etag, b.digest AS b_digest,
+    CASE WHEN r.etag IS NOT NULL THEN CASE WHEN r.page_id % 5 = 0 THEN '"new"' ELSE r.etag END END AS etag,
+    CASE WHEN r.page_id % 5 = 0 THEN 'new' ELSE r.digest END AS digest,
+    row_number() OVER (PARTITION BY r.page_id ORDER BY b.page_id DESC) AS k
+  FROM pages_ r JOIN pages_ b ON r.canonical = b.canonical AND b.page_id * 10 <= r.page_id * 10 + 5000
+), judged AS (
+  SELECT *, CASE WHEN etag IS NOT NULL AND b_etag IS NOT NULL THEN etag = b_etag ELSE digest = b_digest END AS fits FROM paired WHERE k = 1
+)
+SELECT record_id, canonical, CASE WHEN fits THEN b_id END AS base_id, CASE WHEN fits THEN 'resolved' ELSE 'mismatch' END AS outcome,
+  CASE WHEN fits THEN b_digest END AS digest, CAST(moment AS VARCHAR) AS date, '0' AS expires,
+  CASE WHEN fits THEN 'text/html' END AS content_type, CASE WHEN NOT fits THEN '0' END AS content_length
+FROM judged
+"""
+
+OP3 = rf"""
+WITH captures AS (SELECT page_id AS capture_id, page_id * 10 AS moment, {_HOST} AS host FROM pages
+), hosts AS (SELECT DISTINCT host AS domain, CAST('0x' || substr(md5(host), 1, 7) AS BIGINT) AS h FROM captures WHERE host <> ''
+), entries AS (SELECT ['adult', 'gambling', 'malware'][h % 3 + 1] AS list, domain, h % 100000 AS valid_from, h % 100000 + h % 40000 AS valid_to FROM hosts WHERE h % 7 < 3
+), labels AS (SELECT capture_id, moment, string_split(host, '.') AS l FROM captures
+), above AS (SELECT capture_id, moment, array_to_string(l[i:], '.') AS domain FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM labels)
+), hits AS (
+  SELECT capture_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains
+  FROM above JOIN entries USING (domain) WHERE valid_from < valid_to AND valid_from <= moment AND moment < valid_to GROUP BY capture_id
+)
+SELECT capture_id, host, lists IS NOT NULL AS blocked, coalesce(lists, '') AS lists, coalesce(domains, '') AS domains FROM captures LEFT JOIN hits USING (capture_id)
+"""
+
+_KINDS = [
+    ("assign", r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""),
+    ("access", r"AKIA[A-Z0-9]{16,}"),
+    ("hex", r"[0-9a-f]{24,}"),
+    ("ident", r"""(?i)(?:access_?key_?id|access_?key|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{4,}"""),
+    ("opaque", r"[A-Za-z0-9+/]{32,}={0,2}"),
+    ("endpoint", r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?[^\x20\x09-\x0D"'<>]*"""),
+]
+
+
+def _op8() -> str:
+    quoted = lambda p: p.replace("'", "''")
+    pieces = " UNION ALL ".join(f"SELECT doc_id, {k} AS kind, string_split(regexp_replace(t, '({quoted(p)})', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)) AS p FROM docs" for k, (_, p) in enumerate(_KINDS))
+    value = r"""(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    return rf"""
+WITH docs AS (SELECT doc_id, replace(coalesce(text, ''), chr(57344), chr(65533)) AS t FROM documents
+), pieces AS ({pieces}
+), placed AS (
+  SELECT doc_id, kind, i, v, coalesce(sum(length(v)) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+  FROM (SELECT doc_id, kind, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS v FROM pieces WHERE len(p) > 1)
+), found AS (
+  SELECT doc_id, kind, CAST(s AS BIGINT) AS s, CAST(s + length(v) AS BIGINT) AS e FROM placed
+  WHERE i % 2 = 0 AND (kind <> 0 OR length(regexp_extract(v, '{value}', 1)) >= 6)
+    AND (kind <> 4 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')))
+), parts AS (
+  SELECT * FROM found f WHERE kind <> 4 OR NOT EXISTS (SELECT 1 FROM found b WHERE b.doc_id = f.doc_id AND b.kind < 3 AND b.s < f.e AND f.s < b.e)
+), pairs AS (
+  SELECT n.doc_id, n.kind AS n_kind, n.s AS n_s, n.e AS n_e, x.kind, x.s, x.e FROM parts n JOIN parts x
+  ON n.doc_id = x.doc_id AND n.kind IN (1, 3) AND x.kind IN (0, 2, 4) AND x.s <= n.e + 200 AND x.e >= n.s - 200
+), linked AS (SELECT doc_id, n_kind AS kind, n_s AS s, n_e AS e FROM pairs UNION SELECT doc_id, kind, s, e FROM pairs
+), spans AS (
+  SELECT doc_id, kind, s, e FROM parts WHERE kind < 3
+  UNION SELECT doc_id, kind, s, e FROM linked
+  UNION SELECT p.doc_id, p.kind, p.s, p.e FROM parts p JOIN linked l ON p.doc_id = l.doc_id AND p.kind = 5 AND p.s <= l.e + 200 AND p.e >= l.s - 200
+), texts AS (SELECT *, ['assign', 'access', 'hex', 'ident', 'opaque', 'endpoint'][kind + 1] || ':' || s || ':' || e AS t FROM spans)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(x.t, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(x.t, ',' ORDER BY s, kind), '') AS spans
+FROM documents d LEFT JOIN texts x USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+OP8 = _op8()
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc_revisit": OP1,
+        "op3_url_lists": OP3,
+        "op8_secret_scan": OP8,
         "op9_minhash_near_dedup": OP9,
     }
