@@ -114,19 +114,29 @@ def digest(docs: DataFrame) -> DataFrame:
     return scan(docs).select("doc_id", *map(of, BASE), F.sha2(text_of(base), 256).alias("base_sha256"), text_of(F.col("spans")).alias("spans"))
 
 
-def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of its text replaced by ``[SECRET]``, columns as they were.
-
-    The spans are joined back by the row's number, so repeated ids are safe.
-    Texts without spans stay as they are.
+def redacted(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+    """``docs`` with every span of its texts replaced by ``[SECRET]``.
+
+    Overlapping spans are replaced as one. Columns stay as they are, but
+    n_chars, if there is one, follows the text. Spans are joined back by id and
+    a hash of the text, so repeated ids are safe; up to ``broadcast_rows``
+    texts with spans are sent to every executor, more are joined by a shuffle.
+    Texts without spans stay as they are, nulls too.
     """
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    spans = scan(numbered.select(F.col("_row").alias("doc_id"), "text")).where(F.size("spans") > 0)
-    joined = numbered.join(spans.select(F.col("doc_id").alias("_row"), F.col("spans").alias("_spans")), "_row", "left")
-    step = F.aggregate(
-        "_spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
-        lambda acc, x: F.struct(F.concat(acc["out"], F.when(x["end"] <= acc["at"], "").when(x["start"] < acc["at"], "").otherwise(F.concat(F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit("[SECRET]")))).alias("out"), F.greatest(acc["at"], x["end"]).alias("at")),
-        lambda acc: F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))),
-    )
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(step)).select(*docs.columns)
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
+    spans = scan(keyed).where(F.size("spans") > 0).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_hash"), F.col("spans").alias("_spans"))
+    spans = cut(spans.groupBy("_id", "_hash").agg(F.first("_spans").alias("_spans")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    joined = docs.join(F.broadcast(spans) if spans.count() <= broadcast_rows else spans, same, "left")
+
+    def step(done: Column, x: Column) -> Column:
+        between = F.substr(F.col("text"), (done["at"] + 1).cast("int"), (x["start"] - done["at"]).cast("int"))
+        out = F.when(x["start"] >= done["at"], F.concat(done["out"], between, F.lit("[SECRET]"))).otherwise(done["out"])
+        return F.struct(out.alias("out"), F.greatest(done["at"], x["end"]).alias("at"))
+
+    rest = lambda done: F.concat(done["out"], F.substr(F.col("text"), (done["at"] + 1).cast("int"), F.lit(2147483647)))
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")), step, rest))
+    out = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
