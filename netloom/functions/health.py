@@ -124,5 +124,5 @@ def iso_ms(text: Column) -> Column:
 def staleness(severity: Column, last_ms: Column, now_ms: Column, threshold_s: Column, stale: Column) -> Column:
     """A finding's severity if its source reported lately; else the stale one, or
     null with ``filter``; another policy, no threshold and no report change nothing."""
-    old = (threshold_s > 0) & last_ms.isNotNull() & (now_ms - last_ms > threshold_s * 1000)
+    old = (threshold_s > 0) & last_ms.isNotNull() & (now_ms - last_ms > threshold_s.cast("bigint") * 1000)
     return F.when(~F.coalesce(old, F.lit(False)), severity).when(stale == "filter", None).when(stale.isin("info", "warning", "critical"), stale).otherwise(severity)

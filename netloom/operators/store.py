@@ -115,7 +115,8 @@ def purge(edges: DataFrame, snapshot: DataFrame, adapter: str, every_type: bool
     keys = edges.withColumns({f"_{c}": F.coalesce(c, F.lit("")) for c in EDGE_KEY[3:]})
     kept = kept.withColumnsRenamed({c: f"_{c}" for c in EDGE_KEY[3:]})
     marked = keys.join(F.broadcast(present), "type", "left").join(kept, ["type", "src", "dst", "_interface_a", "_interface_b"], "left")
-    return marked.where(~(F.coalesce(scope, F.lit(False)) & F.col("_kept").isNull())).select(*edges.columns)
+    gone = F.coalesce(scope, F.lit(False)) & F.col("_kept").isNull()
+    return marked.where(~gone).select(*edges.columns)
 
 
 def merge(*snapshots: DataFrame) -> DataFrame:

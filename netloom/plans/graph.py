@@ -49,7 +49,7 @@ SPARSE_SQL = f"{LINES}, sparse AS (SELECT DISTINCT src, dst FROM lines WHERE {SP
 
 def links(spark: SparkSession, folder: str) -> DataFrame:
     """(rid, src, dst, interface_a, interface_b, proto, confidence) of every fortieth order's lines."""
-    proto = F.element_at(F.array(*map(F.lit, ("lldp", "cdp", "mac_correlation", "arp_correlation", "catc_topology"))), (F.col("l_orderkey") % 5 + 1).cast("int"))
+    proto = F.element_at(F.array(*map(F.lit, ("lldp", "cdp", "mac_correlation", "arp_correlation", "catc_topology"))), (F.col("l_partkey") % 5 + 1).cast("int"))
     rows = lines(spark, folder).where("o_orderkey % 40 = 0").select(
         (F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("rid"), "src", "dst",
         F.concat(F.lit("Gi0/"), "l_linenumber").alias("interface_a"), F.concat(F.lit("Eth1/"), F.col("l_partkey") % 4).alias("interface_b"),
@@ -61,7 +61,7 @@ def links(spark: SparkSession, folder: str) -> DataFrame:
 LINKS = f"""{LINES}, links AS (
   SELECT rid, min(src) AS src, min(dst) AS dst, min(interface_a) AS interface_a, min(interface_b) AS interface_b, min(proto) AS proto, min(confidence) AS confidence FROM (
     SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS rid, src, dst, 'Gi0/' || l_linenumber AS interface_a, 'Eth1/' || (l_partkey % 4) AS interface_b,
-      ['lldp', 'cdp', 'mac_correlation', 'arp_correlation', 'catc_topology'][l_orderkey % 5 + 1] AS proto, l_quantity / 100 AS confidence
+      ['lldp', 'cdp', 'mac_correlation', 'arp_correlation', 'catc_topology'][l_partkey % 5 + 1] AS proto, l_quantity / 100 AS confidence
     FROM lines WHERE o_orderkey % 40 = 0) GROUP BY rid)"""
 
 
@@ -70,4 +70,4 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(F.col("user_id").alias("element"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("state"), "value", "event_id")
 
 
-OBSERVATIONS = "observations AS (SELECT user_id AS element, epoch_ms(ts) AS at_ms, event_type AS state, value, event_id FROM events)"
+OBSERVATIONS = "observations AS (SELECT user_id AS element, epoch_us(ts) // 1000 AS at_ms, event_type AS state, value, event_id FROM events)"

@@ -67,7 +67,7 @@ def health_score(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("staleness_policy", """
-WITH x AS (SELECT o_orderkey AS k, ['critical', 'warning'][o_orderkey % 2 + 1] AS severity, CASE WHEN o_orderkey % 7 > 0 THEN epoch_ms(o_orderdate) END AS last, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 86400 * 400 END AS t, ['info', 'filter', 'bogus', 'warning'][o_orderkey % 4 + 1] AS stale FROM orders),
+WITH x AS (SELECT o_orderkey AS k, ['critical', 'warning'][o_orderkey % 2 + 1] AS severity, CASE WHEN o_orderkey % 7 > 0 THEN epoch_ms(o_orderdate) END AS last, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 86400 * 400 END::BIGINT AS t, ['info', 'filter', 'bogus', 'warning'][o_orderkey % 4 + 1] AS stale FROM orders),
 y AS (SELECT *, last IS NOT NULL AND t > 0 AND 900000000000 - last > t * 1000 AS old FROM x)
 SELECT k, CASE WHEN NOT old OR stale = 'bogus' THEN severity WHEN stale = 'filter' THEN NULL ELSE stale END AS severity FROM y""")
 def staleness_policy(spark: SparkSession, folder: str) -> DataFrame:

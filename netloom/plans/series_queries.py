@@ -61,7 +61,7 @@ def sliding_hour_mean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("counter_rate", """
-WITH t AS (SELECT user_id AS device, event_id % 3 AS ifindex, CAST(floor(epoch_ms(ts) / 1000) AS BIGINT) AS ts, event_id, CAST(round(value * 40000) AS BIGINT) AS step FROM events),
+WITH t AS (SELECT user_id AS device, event_id % 3 AS ifindex, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS ts, event_id, CAST(round(value * 40000) AS BIGINT) AS step FROM events),
 s AS (SELECT *, (sum(step) OVER (PARTITION BY device, ifindex ORDER BY ts, event_id) + 4294000000) % 4294967296 AS c FROM t),
 l AS (SELECT *, lag(c) OVER w AS pc, lag(ts) OVER w AS pt FROM s WINDOW w AS (PARTITION BY device, ifindex ORDER BY ts)),
 d AS (SELECT device, ifindex, ts, CASE WHEN ts - pt > 0 AND ts - pt <= 86400 THEN CASE WHEN c >= pc THEN c - pc WHEN (4294967296 - pc + c) * 2 <= 4294967296 THEN 4294967296 - pc + c END END AS delta, ts - pt AS dt FROM l)

@@ -82,7 +82,7 @@ _KNOWN = "CAST(substr({0}, 2) AS BIGINT) % 11 <> 0"
 
 
 @query("edge_upsert", f"""
-WITH {LINES}, {_edges_sql("a", "l_orderkey % 3 <> 0")}, {_edges_sql("b", "l_orderkey % 5 <> 0")},
+WITH {LINES}, {_edges_sql("a", "l_orderkey % 3 <> 0")}, {_edges_sql("b", "l_suppkey % 5 <> 0")},
 x AS (SELECT * FROM a WHERE {_KNOWN.format("src")} AND {_KNOWN.format("dst")}), y AS (SELECT * FROM b WHERE {_KNOWN.format("src")} AND {_KNOWN.format("dst")})
 SELECT coalesce(x.type, y.type) AS type, coalesce(x.src, y.src) AS src, coalesce(x.dst, y.dst) AS dst, coalesce(x.interface_a, y.interface_a) AS interface_a, coalesce(x.interface_b, y.interface_b) AS interface_b,
   CASE WHEN y.type IS NULL THEN 'absent' WHEN x.type IS NULL THEN 'created' ELSE 'touched' END AS change
@@ -90,16 +90,16 @@ FROM x FULL JOIN y ON x.type = y.type AND x.src = y.src AND x.dst = y.dst AND co
 def edge_upsert(spark: SparkSession, folder: str) -> DataFrame:
     nodes = devices(spark, folder).select("id").where("cast(substr(id, 2) as bigint) % 11 <> 0")
     first = store.upsert_edges(_no_edges(spark), _edges(spark, folder, "l_orderkey % 3 <> 0"), nodes, NOW).drop("change")
-    return store.upsert_edges(first, _edges(spark, folder, "l_orderkey % 5 <> 0"), nodes, NOW + 1).select(*store.EDGE_KEY, "change")
+    return store.upsert_edges(first, _edges(spark, folder, "l_suppkey % 5 <> 0"), nodes, NOW + 1).select(*store.EDGE_KEY, "change")
 
 
 @query("diff_purge", f"""
-WITH {LINES}, {_edges_sql("a", "l_orderkey % 3 <> 0")}, {_edges_sql("b", "l_orderkey % 5 <> 0 AND l_partkey % 2 = 0")}
+WITH {LINES}, {_edges_sql("a", "l_orderkey % 3 <> 0")}, {_edges_sql("b", "l_suppkey % 5 <> 0 AND l_partkey % 2 = 0")}
 SELECT * FROM a WHERE type = 'ROUTES_TO' OR EXISTS (SELECT 1 FROM b WHERE b.type = a.type AND b.src = a.src AND b.dst = a.dst AND b.interface_a = a.interface_a AND b.interface_b = a.interface_b)""")
 def diff_purge(spark: SparkSession, folder: str) -> DataFrame:
     nodes = devices(spark, folder).select("id")
     stored = store.upsert_edges(_no_edges(spark), _edges(spark, folder, "l_orderkey % 3 <> 0"), nodes, NOW)
-    return store.purge(stored, _edges(spark, folder, "l_orderkey % 5 <> 0 AND l_partkey % 2 = 0"), "meraki/x").select(*store.EDGE_KEY)
+    return store.purge(stored, _edges(spark, folder, "l_suppkey % 5 <> 0 AND l_partkey % 2 = 0"), "meraki/x").select(*store.EDGE_KEY)
 
 
 @query("canonical_orientation", f"""
@@ -125,17 +125,17 @@ def intent_delta(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("reconcile_missing", """
-SELECT DISTINCT l_suppkey AS device, 'Gi' || l_linenumber AS name FROM lineitem WHERE l_quantity > 45
-EXCEPT SELECT DISTINCT l_suppkey, 'Gi' || l_linenumber FROM lineitem WHERE l_discount > 0.05 AND l_quantity <= 20""")
+SELECT DISTINCT l_suppkey AS device, 'Gi' || l_linenumber AS name FROM lineitem WHERE l_quantity > 45 AND l_orderkey % 20 = 0
+EXCEPT SELECT DISTINCT l_suppkey, 'Gi' || l_linenumber FROM lineitem WHERE l_discount > 0.05 AND l_quantity <= 20 AND l_orderkey % 20 = 1""")
 def reconcile_missing(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("device"), F.concat(F.lit("Gi"), "l_linenumber").alias("name"), "l_quantity", "l_discount")
-    return reconcile.missing_interfaces(rows.where("l_quantity > 45"), rows.where("l_discount > 0.05 and l_quantity <= 20").withColumn("name", F.upper("name")))
+    rows = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("device"), F.concat(F.lit("Gi"), "l_linenumber").alias("name"), "l_quantity", "l_discount", "l_orderkey")
+    return reconcile.missing_interfaces(rows.where("l_quantity > 45 and l_orderkey % 20 = 0"), rows.where("l_discount > 0.05 and l_quantity <= 20 and l_orderkey % 20 = 1").withColumn("name", F.upper("name")))
 
 
 @query("absent_devices", f"""
-WITH {DEVICES} SELECT id, name FROM devices WHERE NOT EXISTS (SELECT 1 FROM orders WHERE 'c' || o_custkey = id) AND source_adapter = 'c'""")
+WITH {DEVICES} SELECT id, name FROM devices WHERE NOT EXISTS (SELECT 1 FROM orders WHERE 'c' || o_custkey = id AND o_orderkey % 10 = 0) AND source_adapter = 'c'""")
 def absent_devices(spark: SparkSession, folder: str) -> DataFrame:
-    seen = table(spark, folder, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("id"))
+    seen = table(spark, folder, "orders").where("o_orderkey % 10 = 0").select(F.concat(F.lit("c"), "o_custkey").alias("id"))
     return reconcile.absent(devices(spark, folder).where("source_adapter = 'c'").select("id", "name"), seen)
 
 
