@@ -156,7 +156,6 @@ def stp_topology(spark: SparkSession, folder: str) -> DataFrame:
     s = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("domain"), F.col("s_suppkey").alias("device"), (F.col("s_suppkey") % 6 == 0).alias("is_root"))
     ports = s.where("device % 3 = 0").select("domain", "device", F.explode(F.array(F.lit("Gi0/1"), F.lit("Gi0/2"))).alias("interface"), F.lit("forwarding").alias("state"), F.lit("designated").alias("role"))
     doc = report.stp_document(s, ports)
-    n_ports = F.aggregate("members", F.lit(0), lambda n, m: n + F.coalesce(F.size(m["ports"]), F.lit(0)))
     n_ports = F.aggregate("members", F.lit(0), lambda n, m: n + F.greatest(F.size(m["ports"]), F.lit(0)))
     return doc.select("domain", F.size("members").cast("bigint").alias("members"), n_ports.cast("bigint").alias("ports"), F.col("members")[0]["device"].alias("first"))
 
@@ -202,16 +201,16 @@ def adjacency_collapse(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("gc_orphans", f"""
-WITH {LINES}, {DEVICES} SELECT id FROM devices WHERE source_adapter = 'c' AND nation < 10 AND id NOT IN (SELECT src FROM lines)""")
+WITH {LINES}, {DEVICES} SELECT id FROM devices WHERE source_adapter = 'c' AND nation < 10 AND id NOT IN (SELECT src FROM lines WHERE o_orderkey % 10 = 0)""")
 def gc_orphans(spark: SparkSession, folder: str) -> DataFrame:
     nodes = devices(spark, folder).select("id", F.lit("Device").alias("type"), ((F.col("source_adapter") == "c") & (F.col("nation") < 10)).alias("stub"))
-    return housekeeping.orphans(nodes, lines(spark, folder).select("src", "dst")).select("id")
+    return housekeeping.orphans(nodes, lines(spark, folder).where("o_orderkey % 10 = 0").select("src", "dst")).select("id")
 
 
 @query("reverse_link_collapse", f"""
-WITH {LINKS}, x AS (SELECT *, CASE WHEN rid % 2 = 0 THEN dst ELSE src END AS s, CASE WHEN rid % 2 = 0 THEN src ELSE dst END AS d FROM links)
+WITH {LINKS}, x AS (SELECT *, src AS s, dst AS d FROM links UNION ALL SELECT rid + 1, * EXCLUDE (rid), dst, src FROM links WHERE rid % 3 = 0)
 SELECT rid FROM x WHERE NOT (s > d AND EXISTS (SELECT 1 FROM x y WHERE y.s = x.d AND y.d = x.s AND ((y.interface_a = x.interface_a AND y.interface_b = x.interface_b) OR (y.interface_a = x.interface_b AND y.interface_b = x.interface_a))))""")
 def reverse_link_collapse(spark: SparkSession, folder: str) -> DataFrame:
-    turn = F.col("rid") % 2 == 0
-    rows = links(spark, folder).select("rid", F.when(turn, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turn, F.col("src")).otherwise(F.col("dst")).alias("dst"), "interface_a", "interface_b")
-    return housekeeping.without_reversed(rows).select("rid")
+    rows = links(spark, folder).select("rid", "src", "dst", "interface_a", "interface_b")
+    back = rows.where("rid % 3 = 0").select(F.col("rid") + 1, "dst", "src", "interface_a", "interface_b")
+    return housekeeping.without_reversed(rows.union(back)).select("rid")

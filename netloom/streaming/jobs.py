@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from netloom.functions.health import WEEK
+
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a stream: (element, at, ts, state, value, event_id)."""
@@ -24,12 +26,12 @@ def hourly(rows: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def _changes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The rows whose state differs from the element's last; that one is kept, for a week without rows."""
+    """The rows whose state differs from the element's last, which is kept."""
     rows = pd.concat(list(parts)).sort_values(["at", "event_id"])
     before = state.get[0] if state.exists else None
     changed = rows[rows["state"] != rows["state"].shift(fill_value=before)] if before is not None else rows[rows["state"] != rows["state"].shift()]
     state.update((rows["state"].iloc[-1],))
-    state.setTimeoutDuration(7 * 24 * 3600 * 1000)
+    state.setTimeoutTimestamp(max(int(rows["at"].iloc[-1]), state.getCurrentWatermarkMs()) + WEEK)
     yield pd.DataFrame({"element": key[0], "at": changed["at"], "state": changed["state"]})
 
 
@@ -41,8 +43,8 @@ def _forget(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 
 def flaps(rows: DataFrame) -> DataFrame:
-    """Changes of state as they come."""
-    return rows.groupBy("element").applyInPandasWithState(_forget, "element long, at long, state string", "last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """Changes of state as they come. An element's state is forgotten after a week of event time without rows."""
+    return rows.withWatermark("ts", "2 hours").groupBy("element").applyInPandasWithState(_forget, "element long, at long, state string", "last string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run(rows: DataFrame, folder: str, mode: str) -> DataFrame:
