@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.lineage import cut
+from netloom.llm.lineage import cut_narrow as cut
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -24,6 +24,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_narrow(df: DataFrame, partition_rows: int = 50_000) -> DataFrame:
+    """``cut`` for rows of a few numbers: read again in partitions of about
+    ``partition_rows`` rows, 8 at least, where there are many more than that."""
+    out = cut(df)
+    fitting = max(8, -(-out.count() // partition_rows))
+    return out.coalesce(fitting) if out.rdd.getNumPartitions() > 2 * fitting else out
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, key: str, broadcast_rows: int = 200_000) -> DataFrame:
     """Rows of ``docs`` whose ``key`` is not in ``ids``; see ``with_ids``."""
     return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, key, "left_anti")

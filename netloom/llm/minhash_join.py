@@ -3,18 +3,23 @@
 A coordinate of a signature joins ``ROWS`` minimum hashes, so two sets with
 Jaccard similarity j agree in one with probability j ** ROWS. Documents are
 posted under each (coordinate, value) pair. Two sets of similarity 0.75 share
-2 or fewer of the 32 coordinates with a probability of 7e-6, so pairs below
+2 or fewer of the 48 coordinates with a probability of 3e-6, so pairs below
 ``MATCHES`` = 3 collisions are not confirmed, and by the prefix rule the last
 ``MATCHES - 1`` coordinates need no postings: a pair with 3 matches has one
-among the first 30.
+among the first 46.
 
 Posting lists up to ``SHORT`` long give all their pairs. For longer ones, which
 hold large groups of copies, pairs grow with the square, so the list skips:
-every member is compared to the list's head only, its smallest set. That loses
-no link between components: if x isn't linked to the head h, and y has at least
-as many shingles as h, then a link of x and y needs more common shingles than x
-has in common with h, so they share a shingle outside h. These residual
-shingles get an inverted join of their own.
+every member is compared to the list's head only, the member that shares most
+postings; members it leaves in other components get a head of their own. What
+then is still apart from its list's head can only be linked by single pairs,
+and these are found exactly. Let x be apart from the head h, and y another
+member. A link needs 3/7 of both sizes in common, x has less than 3/7 of its
+and h's size in common with h. So either y has fewer shingles than h, by as
+much as x fails to be linked to h, or x and y share a shingle outside h. The
+first kind is joined by size. For the second, the shingles outside h get an
+inverted join with a prefix filter: members are posted under their rarest
+ones, as many as they may have beyond those that a link needs.
 """
 
 from __future__ import annotations
@@ -24,18 +29,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.components import components
-from netloom.llm.lineage import cut, with_ids
+from netloom.llm.lineage import cut, cut_narrow, with_ids
 from netloom.llm.text import mix, shingle_sets
 
 SHINGLE_WORDS = 5
-COORDINATES = 32
-ROWS = 3
+COORDINATES = 48
+ROWS = 4
 MATCHES = 3
-SHORT = 24
+SHORT = 3
 PERCENT = 75
 
 _random = np.random.default_rng(20240229)
@@ -91,54 +96,107 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, hashes array<long>")
 
 
-def _linked(common: Column) -> Column:
-    return 100 * common >= PERCENT * (F.col("n_x") + F.col("n_y") - common)
+def _linked(common: Column, x: str = "n_x", y: str = "n_y") -> Column:
+    return 100 * common >= PERCENT * (F.col(x) + F.col(y) - common)
 
 
-def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From the posting lists: pairs of short lists and (member, head) pairs of long ones."""
-    posted = F.explode(F.slice("signature", 1, COORDINATES - MATCHES + 1)).alias("key")
-    postings = classes.select("id", "n", posted)
-    lists = postings.groupBy("key").agg(F.count("*").alias("length"), F.min(F.struct("n", "id")).alias("head")).where("length > 1")
-    short, long = lists.where(f"length <= {SHORT}"), lists.where(f"length > {SHORT}")
-    members = postings.join(short.select("key"), "key")
-    size = F.col("n_x").cast("long") * 100 >= PERCENT * F.col("n_y")
-    x, y = members.select("key", F.col("id").alias("x"), F.col("n").alias("n_x")), members.select("key", F.col("id").alias("y"), F.col("n").alias("n_y"))
-    pairs = x.join(y, "key").where("n_x < n_y or (n_x = n_y and x < y)").where(size).select("x", "y")
-    heads = postings.join(cut(long.select("key", F.col("head.id").alias("head"))), "key").where("id <> head").select(F.col("id").alias("x"), F.col("head").alias("y"))
-    return pairs.distinct(), heads.distinct()
+_SIMILAR_SIZE = "100 * least(n_x, n_y) >= {0} * greatest(n_x, n_y)".format(PERCENT)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs(x, y)`` with sizes and the common shingles of the full sets."""
+    # a head with very many members is a skewed key of the second join, which Spark splits
+    x = sets.select(F.col("id").alias("x"), F.col("hashes").alias("h_x"), F.size("hashes").alias("n_x"))
+    y = sets.select(F.col("id").alias("y"), F.col("hashes").alias("h_y"), F.size("hashes").alias("n_y"))
+    return pairs.join(x, "x").join(y, "y").withColumn("common", F.size(F.array_intersect("h_x", "h_y")).cast("long"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose full sets are linked, as (a, b)."""
+    return cut_narrow(_compared(pairs, sets).where(_SIMILAR_SIZE).where(_linked(F.col("common"))).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def _heads(members: DataFrame) -> DataFrame:
+    """(key, head) of ``members(key, id)``: the one under most and longest lists."""
+    length = members.groupBy("key").agg(F.count("*").alias("length"))
+    weight = members.join(length, "key").groupBy("id").agg(F.sum("length").alias("weight"))
+    return cut_narrow(members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("head")))
+
+
+def _stars(members: DataFrame, heads: DataFrame) -> DataFrame:
+    return members.join(heads, "key").where("id <> head").select(F.col("id").alias("x"), F.col("head").alias("y")).distinct()
+
+
+def _apart(members: DataFrame, heads: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, id, group) of the members that are in other components than their
+    list's head, and (key, head, group) of the heads."""
+    named = lambda c, to: groups.select(F.col("node").alias(c), F.col("component").alias(to))
+    heads = cut_narrow(heads.join(named("head", "own"), "head", "left").select("key", "head", F.coalesce("own", "head").alias("group")))
+    own = members.join(named("id", "own"), "id", "left").select("key", "id", F.coalesce("own", "id").alias("group"))
+    apart = own.join(heads.select("key", F.col("group").alias("head_group")), "key").where("group <> head_group")
+    return cut_narrow(apart.select("key", "id")), heads
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between ``classes(id, n, signature)`` of different sets, each
     confirmed on the full sets of ``docs(doc_id, text)``; they join the same
     components as all links do."""
-    pairs, heads = map(cut, _candidates(classes))
+    key = F.explode(F.slice("signature", 1, COORDINATES - MATCHES + 1)).alias("key")
+    length = F.count("*").over(Window.partitionBy("key"))
+    shared = cut_narrow(classes.select("id", "n", key).withColumn("length", length).where("length > 1"))
+    short = shared.where(F.col("length") <= SHORT)
+    x, y = short.select("key", F.col("id").alias("x"), F.col("n").alias("n_x")), short.select("key", F.col("id").alias("y"), F.col("n").alias("n_y"))
+    pairs = x.join(y, "key").where("x < y").where(_SIMILAR_SIZE).select("x", "y").distinct()
     sign = classes.select("id", "signature")
     same = F.aggregate(F.zip_with("s_x", "s_y", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, hit: n + hit)
-    pairs = cut(pairs.join(sign.select(F.col("id").alias("x"), F.col("signature").alias("s_x")), "x").join(sign.select(F.col("id").alias("y"), F.col("signature").alias("s_y")), "y").where(same >= MATCHES).select("x", "y", F.lit(False).alias("long")))
-    checked = pairs.union(heads.select("x", "y", F.lit(True)))
-    ids = cut(checked.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
-    sets = cut(_sets(with_ids(docs, ids, "doc_id")))
-    x = sets.select(F.col("id").alias("x"), F.col("hashes").alias("h_x"), F.size("hashes").alias("n_x"))
-    y = sets.select(F.col("id").alias("y"), F.col("hashes").alias("h_y"), F.size("hashes").alias("n_y"))
-    # a set meets the head's here, so a head with very many members is split by Spark as a skewed join
-    common = F.size(F.array_intersect("h_x", "h_y")).cast("long")
-    checked = checked.join(x, "x").join(y, "y").withColumn("common", common)
-    rest = F.when(F.col("long"), F.array_except("h_x", "h_y"))
-    checked = cut(checked.select("x", "y", "n_x", "n_y", "long", "common", _linked(F.col("common")).alias("linked"), rest.alias("rest")))
-    found = checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return found.union(_beside_heads(checked.where("long"), x, y))
-
-
-def _beside_heads(checked: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
-    """Links of long lists' members that aren't linked to the head with other members."""
-    rows = checked.select(F.col("y").alias("head"), F.col("x").alias("id"), F.col("n_x").alias("n"), "common", "linked", F.explode("rest").alias("shingle"))
-    left = rows.where("not linked").select("head", "shingle", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("common").alias("c_x"))
-    right = rows.select("head", "shingle", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("common").alias("c_y"), "linked")
-    shared = left.join(right, ["head", "shingle"]).where("linked or x < y").groupBy("head", "x", "y").agg(F.count("*").alias("beside"), *(F.first(c).alias(c) for c in ("n_x", "n_y", "c_x", "c_y")))
-    pairs = shared.where(_linked(F.least("c_x", "c_y") + F.col("beside"))).select("x", "y").distinct()
-    return pairs.join(x, "x").join(y, "y").where(_linked(F.size(F.array_intersect("h_x", "h_y")).cast("long"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    signed = pairs.join(sign.select(F.col("id").alias("x"), F.col("signature").alias("s_x")), "x").join(sign.select(F.col("id").alias("y"), F.col("signature").alias("s_y")), "y")
+    pairs = cut_narrow(signed.where(same >= MATCHES).select("x", "y"))
+
+    members = cut_narrow(shared.where(F.col("length") > SHORT).select("key", "id"))
+    heads = _heads(members)
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).union(members.select("id")).distinct()
+    sets = cut(_sets(with_ids(docs, cut_narrow(ids), "doc_id")))
+    found = _confirmed(pairs.union(_stars(members, heads)).distinct(), sets)
+    if members.isEmpty():
+        return found
+    apart, _ = _apart(members, heads, components(found))
+    found = cut_narrow(found.union(_confirmed(_stars(apart, _heads(apart)), sets)))
+    apart, heads = _apart(members, heads, components(found))
+    # heads of one component give way to the one with most lists: what follows holds for any head
+    count = heads.groupBy("group", "head").agg(F.count("*").alias("lists"))
+    chosen = count.groupBy("group").agg(F.max_by("head", F.struct("lists", -F.col("head"))).alias("chosen"))
+    heads = cut_narrow(heads.join(apart.select("key").distinct(), "key", "left_semi").join(chosen, "group").select("key", F.col("chosen").alias("y")))
+    beside = members.join(heads, "key").select("y", F.col("id").alias("x")).where("x <> y").distinct()
+    away = apart.join(heads, "key").select("y", F.col("id").alias("x"), F.lit(True).alias("apart")).distinct()
+    beside = cut_narrow(beside.join(away, ["y", "x"], "left").select("x", "y", F.coalesce("apart", F.lit(False)).alias("apart")))
+    return found.union(_confirmed(_beside_heads(beside, sets), sets))
+
+
+def _beside_heads(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (x, y) of ``members(x, y: their head, apart)`` that can be linked though x is apart."""
+    rest = F.array_except("h_x", "h_y").alias("rest")
+    rows = cut(_compared(members, sets).select(F.col("y").alias("head"), F.col("x").alias("id"), F.col("n_x").alias("n"), F.col("n_y").alias("n_head"), "common", "apart", rest))
+    named = lambda k, *more: ["head", *(F.col(c).alias(f"{c}_{k}") for c in ("n", "common", "apart")), F.col("id").alias(k), *more]
+    direct = rows.where("apart").where(_linked(F.col("common"), "n", "n_head")).select(F.col("id").alias("x"), F.col("head").alias("y"))
+    needed = F.ceil(PERCENT * (F.col("n_x") + F.col("n_y")) / F.lit(100 + PERCENT))
+
+    # smaller than the head: sizes from what x allows at least to what it has in common at most
+    most = F.floor(F.col("common") * F.lit(100 + PERCENT) / PERCENT) - F.col("n")
+    sizes = rows.select("head", F.col("n").alias("size")).distinct()
+    small = rows.where("apart").withColumn("most", most).join(sizes, "head").where(F.col("size") <= F.col("most")).where(100 * F.col("size") >= PERCENT * F.col("n"))
+    small = cut_narrow(small.select(*named("x"), "size")).join(rows.select(*named("y", F.col("n").alias("size"))), ["head", "size"])
+    small = small.where("x <> y and (not apart_y or x < y or n_y < n_x)").where(F.least("common_x", "common_y") >= needed)
+
+    shingles = cut_narrow(rows.select("head", "id", "n", "common", "apart", F.explode("rest").alias("shingle")))
+    often = cut_narrow(shingles.groupBy("head", "shingle").agg(F.count("*").alias("often")).where("often > 1"))
+    kept = shingles.join(often, ["head", "shingle"]).groupBy("head", "id", "n", "common", "apart").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+    # a link needs 75 % of either set, so this many outside the head; shingles of one member only come first and match nothing
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * PERCENT / 100) - F.col("common"))
+    size = F.col("n") - F.col("common") - least + 1 - (F.col("n") - F.col("common") - F.size("s"))
+    posted = cut_narrow(kept.withColumn("size", size.cast("int")).where("size > 0").select("head", "id", "n", "common", "apart", F.explode(F.slice("s", 1, F.col("size"))["shingle"]).alias("shingle")))
+    shared = posted.where("apart").select(*named("x", "shingle")).join(posted.select(*named("y", "shingle")), ["head", "shingle"])
+    shared = shared.where("x <> y and (not apart_y or x < y)").where(_SIMILAR_SIZE)
+    return direct.union(small.select("x", "y")).union(shared.select("x", "y")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -156,7 +214,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whole = ["set_a", "set_b", "n_shingles"]
     classes = cut(signed.where("n_shingles > 0").groupBy(*whole).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")).withColumnRenamed("n_shingles", "n"))
     groups = components(links(docs, classes.select("id", "n", "signature")))
-    named = cut(classes.join(groups, classes["id"] == groups["node"], "left").select("set_a", "set_b", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")))
+    named = cut_narrow(classes.join(groups, classes["id"] == groups["node"], "left").select("set_a", "set_b", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")))
     filled = signed.where("n_shingles > 0").select("doc_id", *whole).join(named, whole).select("doc_id", "n_shingles", "component_id")
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return filled.union(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
