@@ -56,12 +56,13 @@ def templates(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     number = _DIGIT[plain[start]]
     after = np.zeros(len(start), bool)
     after[1:] = number[:-1]
-    unit = after & (_UNITS[np.minimum(np.searchsorted(_UNITS, own), len(_UNITS) - 1)] == own)
     stops = np.concatenate([[0], np.cumsum(_STOP[plain])])
     bounds = np.searchsorted(start, offsets)
     first = np.ones(len(start), bool)
     first[1:] = stops[start[1:]] > stops[end[:-1]]
-    first[bounds[:-1][bounds[:-1] < len(start)]] = True
+    heads = bounds[:-1][bounds[:-1] < len(start)]
+    first[heads], after[heads] = True, False
+    unit = after & (_UNITS[np.minimum(np.searchsorted(_UNITS, own), len(_UNITS) - 1)] == own)
     name = (low[start] != points[start]) & ~first
     code = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, own)))
     return code, own, bounds

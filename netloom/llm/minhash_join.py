@@ -207,8 +207,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with no text or no words it is empty and linked with nothing. Two documents
     are linked if their sets' Jaccard similarity is 0.75 or more; component_id
     is the smallest doc_id reachable over links, kept tells whether it is the
-    document's own. Other columns of ``docs`` are ignored; a repeated doc_id
-    gives a row for each of its rows; an empty table gives none.
+    document's own (null for a null doc_id). Other columns of ``docs`` are
+    ignored; a repeated doc_id gives a row for each of its rows; an empty table
+    gives none.
     """
     signed = cut(signatures(docs))
     whole = ["set_a", "set_b", "n_shingles"]

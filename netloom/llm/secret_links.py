@@ -126,17 +126,21 @@ def redacted(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
     spans = scan(keyed).where(F.size("spans") > 0).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_hash"), F.col("spans").alias("_spans"))
     spans = cut(spans.groupBy("_id", "_hash").agg(F.first("_spans").alias("_spans")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    joined = docs.join(F.broadcast(spans) if spans.count() <= broadcast_rows else spans, same, "left")
+    # the row as one column, so that its names meet none of the spans'
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    own = F.col("_row.text")
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(own) == F.col("_hash"))
+    joined = rows.join(F.broadcast(spans) if spans.count() <= broadcast_rows else spans, same, "left")
 
     def step(done: Column, x: Column) -> Column:
-        between = F.substr(F.col("text"), (done["at"] + 1).cast("int"), (x["start"] - done["at"]).cast("int"))
+        between = F.substr(own, (done["at"] + 1).cast("int"), (x["start"] - done["at"]).cast("int"))
         out = F.when(x["start"] >= done["at"], F.concat(done["out"], between, F.lit("[SECRET]"))).otherwise(done["out"])
         return F.struct(out.alias("out"), F.greatest(done["at"], x["end"]).alias("at"))
 
-    rest = lambda done: F.concat(done["out"], F.substr(F.col("text"), (done["at"] + 1).cast("int"), F.lit(2147483647)))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")), step, rest))
-    out = joined.withColumn("text", text)
+    rest = lambda done: F.concat(done["out"], F.substr(own, (done["at"] + 1).cast("int"), F.lit(2147483647)))
+    text = F.when(F.col("_spans").isNull(), own).otherwise(F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")), step, rest))
+    out = joined.select("_row", "_spans", text.alias("_text"))
+    changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("_spans").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
