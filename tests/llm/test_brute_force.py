@@ -19,6 +19,8 @@ from netloom.llm.text import code_points, utf8
 from tests.compare import FOLDER, check
 
 LARGER = "/root/testdata/sf0.01"
+#: sf0.01 has 6 toxic documents among those held out, this one 97.
+LARGEST = "/root/testdata/sf0.1"
 
 
 @pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
@@ -143,8 +145,8 @@ def test_quotation_counts_less() -> None:
 
 
 def test_toxicity_of_held_out_documents(spark: SparkSession) -> None:
-    labels = spark.read.parquet(f"{LARGER}/labels.parquet").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = queries.op4_toxicity(spark, LARGER).join(labels, "doc_id").where("held_out").collect()
+    labels = spark.read.parquet(f"{LARGEST}/labels.parquet").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = queries.op4_toxicity(spark, LARGEST).join(labels, "doc_id").where("held_out").collect()
     good, bad = ([r["score"] for r in rows if r["toxic"] == k] for k in (0, 1))
     order = np.mean([(x > y) + 0.5 * (x == y) for x in bad for y in good])
     assert order >= 0.9
