@@ -9,6 +9,7 @@ a question was given new parameters.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,9 @@ WINDOW = 8
 LEAST_LITERAL = 5
 #: Share of an item's windows that a document must have, and share of its slots that must be consistent.
 LEAST_COVERAGE, LEAST_CONSISTENT = 0.4, 0.9
+#: Windows are of one occurrence where their alignments (place in the document less place in the item) differ by less than a window;
+#: beyond that an occurrence goes on elsewhere only if it gains more than so many windows there.
+FAR = 3
 #: Benchmark windows up to this number are sent to all executors as a filter; beyond it all windows of the documents are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
 
@@ -115,12 +119,76 @@ def windows(texts: DataFrame, key: str, known: np.ndarray | None = None) -> Data
     return texts.select(key, "text").mapInArrow(run, f"{key} long, place long, window long, slots array<long>")
 
 
+def _chains(p: list[int], q: list[int], far: float) -> Iterator[list[int]]:
+    """Hits at the places ``p`` of a document, ascending, and ``q`` of an item, as
+    chains along which both ascend; each hit is in one of them. A change of
+    alignment costs its share of a window, from a whole one on ``far`` windows."""
+    score, back = [1.0] * len(p), [-1] * len(p)
+    best: list[tuple[float, int]] = [(0.0, -1)] * (max(q) + 1)
+    span, lo, done = max(q) + WINDOW, 0, 0
+    for i in range(len(p)):
+        while p[lo] < p[i] - span:
+            lo += 1
+        while p[done] < p[i]:
+            best[q[done]] = max(best[q[done]], (score[done], done))
+            done += 1
+        options = [(score[j] - d / WINDOW, j) for j in range(lo, done) if q[j] < q[i] and (d := abs(p[i] - q[i] - p[j] + q[j])) < WINDOW]
+        if far < np.inf and q[i]:
+            most, j = max(best[: q[i]])
+            options.append((most - far, j))
+        if options and (top := max(options))[0] > 0:
+            score[i], back[i] = 1 + top[0], top[1]
+    free = [True] * len(p)
+    for i in sorted(range(len(p)), key=lambda i: -score[i]):
+        chain = []
+        while i >= 0 and free[i]:
+            free[i] = False
+            chain.append(i)
+            i = back[i]
+        if chain:
+            yield chain
+
+
+def occurrences(p: list[int], q: list[int]) -> Iterator[list[int]]:
+    """Hits, sorted by place in the document, that may be one occurrence of the
+    item: those of one alignment, of neighbouring ones, and of parts that stand apart."""
+    yield from _chains(p, q, np.inf)
+    yield from _chains(p, q, FAR)
+    straight = defaultdict(list)
+    for i, d in enumerate(zip(p, q, strict=True)):
+        straight[d[0] - d[1]].append(i)
+    yield from straight.values()
+
+
+def _best_occurrence(key: tuple[pa.Scalar, ...], hits: pa.Table) -> pa.Table:
+    """The row of ``contaminated`` for the hits of a document and an item: of the
+    occurrences that hold the one that covers most."""
+    rows = sorted({(r["place"], r["item_place"], r["window"], r["size"], tuple(r["from"]), tuple(r["to"])) for r in hits.to_pylist()})
+    found = []
+    for chain in occurrences([r[0] for r in rows], [r[1] for r in rows]):
+        coverage = len({rows[i][2] for i in chain}) / rows[0][3]
+        if coverage < LEAST_COVERAGE:
+            continue
+        pairs: dict[int, Counter[int]] = defaultdict(Counter)
+        for i in chain:
+            for a, b in zip(*rows[i][4:], strict=True):
+                pairs[a][b] += 1
+        consistency = sum(max(c.values()) for c in pairs.values()) / sum(c.total() for c in pairs.values()) if pairs else 1.0
+        if consistency >= LEAST_CONSISTENT:
+            found.append((coverage, len(pairs), sum(set(c) != {a} for a, c in pairs.items()), consistency))
+    names = ["doc_id", "item_id", "coverage", "slots", "changed_slots", "consistency"]
+    columns = [*([k.as_py()] for k in key), *([x] for x in max(found))] if found else [[]] * 6
+    return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64()], strict=True)], names)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, coverage, slots, changed_slots, consistency): documents
     of ``docs(doc_id, text)`` that hold an item of ``benchmark(item_id, text)``.
 
     A document holds an item if it has 40 % of the item's distinct windows and
-    90 % of the slots of these map each of the item's values to one of its own.
+    90 % of the slots of these map each of the item's values to one of its own,
+    in all its hits or in one occurrence of the item: other variants beside it
+    and repeated windows don't make it clean.
     changed_slots counts values that differ, as in a question with new
     parameters. Items of fewer than 8 words, or with hardly any words but
     placeholders, have no windows and are never found; null and empty texts
@@ -134,15 +202,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if n <= BROADCAST_WINDOWS:
         known = _filter(items.select("window").distinct().toArrow()["window"].to_numpy().view(np.uint64))
     found = windows(docs.where("doc_id is not null"), "doc_id", known)
-    side = items.select("item_id", "window", F.col("slots").alias("item_slots"))
-    hits = cut(found.join(F.broadcast(side) if known is not None else side, "window").select("doc_id", "item_id", "window", F.arrays_zip(F.col("item_slots").alias("from"), F.col("slots").alias("to")).alias("pairs")))
+    side = items.select("item_id", "window", F.col("place").alias("item_place"), F.col("slots").alias("from"))
+    hits = cut(found.withColumnRenamed("slots", "to").join(F.broadcast(side) if known is not None else side, "window").select("doc_id", "item_id", "window", "place", "item_place", "from", "to"))
     cover = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("windows"))
-    slots = hits.select("doc_id", "item_id", F.explode("pairs").alias("p")).select("doc_id", "item_id", "p.*").groupBy("doc_id", "item_id", "from", "to").agg(F.count("*").alias("n"))
+    slots = hits.select("doc_id", "item_id", F.explode(F.arrays_zip("from", "to")).alias("p")).select("doc_id", "item_id", "p.*").groupBy("doc_id", "item_id", "from", "to").agg(F.count("*").alias("n"))
     slots = slots.groupBy("doc_id", "item_id", "from").agg(F.max("n").alias("same"), F.sum("n").alias("n"), F.max((F.col("from") != F.col("to")).cast("int")).alias("changed"))
     slots = slots.groupBy("doc_id", "item_id").agg(F.count("*").alias("slots"), F.sum("changed").alias("changed_slots"), (F.sum("same") / F.sum("n")).alias("consistency"))
     rows = cover.join(sizes, "item_id").withColumn("coverage", F.col("windows") / F.col("size")).where(F.col("coverage") >= LEAST_COVERAGE)
-    rows = rows.join(slots, ["doc_id", "item_id"], "left").na.fill({"slots": 0, "changed_slots": 0, "consistency": 1.0})
-    return rows.where(F.col("consistency") >= LEAST_CONSISTENT).select("doc_id", "item_id", "coverage", "slots", "changed_slots", "consistency")
+    rows = cut(rows.join(slots, ["doc_id", "item_id"], "left").na.fill({"slots": 0, "changed_slots": 0, "consistency": 1.0}))
+    mixed = hits.join(rows.where(F.col("consistency") < LEAST_CONSISTENT).select("doc_id", "item_id", "size"), ["doc_id", "item_id"])
+    single = mixed.groupBy("doc_id", "item_id").applyInArrow(_best_occurrence, "doc_id long, item_id long, coverage double, slots long, changed_slots long, consistency double")
+    return rows.where(F.col("consistency") >= LEAST_CONSISTENT).select(*single.columns).union(single)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -98,6 +98,21 @@ def test_questions_with_new_parameters(spark: SparkSession) -> None:
     assert rows[2]["changed_slots"] == 0 and rows[1]["changed_slots"] == 5
 
 
+def test_each_occurrence_is_judged_by_itself(spark: SparkSession) -> None:
+    ask = "Yesterday in the morning {a} bought {n} apples for 3 dollars each and gave {m} of them to {b}, so how many of the apples did {a} still have when the day ended in {c}?"
+    own, one, two = (ask.format(a=a, b=b, c=c, n=n, m=m) for a, b, c, n, m in (("Anna", "Bert", "Rome", 12, 5), ("Carla", "Dirk", "Oslo", 30, 9), ("Emil", "Fritz", "Bonn", 41, 17)))
+    line = "then we went down to the harbour with {} boxes of fresh fish and "
+    # its windows stand twice, with other numbers
+    twice = line.format(4) + line.format(6) + line.format(9) + "came home late."
+    items = spark.createDataFrame([(1, own), (2, twice)], "item_id long, text string")
+    between = "Some other words that are in no benchmark stand here as well. "
+    parts = own[: own.index("so how")], own[own.index("so how") :]
+    docs = [(1, f"{own} {between}{one}"), (2, f"{one} {two}"), (3, twice), (4, f"{own} {between * 9}{one} {two} {own}"), (5, between * 4), (6, f"{parts[0]}{between * 3}{parts[1]} {one}"), (7, None)]
+    got = sorted((r["doc_id"], r["item_id"], r["changed_slots"]) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect())
+    assert [r[:2] for r in got] == [(1, 1), (2, 1), (3, 2), (4, 1), (6, 1)]
+    assert decontamination.clean(spark.createDataFrame(docs, "doc_id long, text string"), items).count() == 2
+
+
 def test_units_do_not_follow_the_row_before() -> None:
     code, _, bounds = decontamination.templates(*code_points(*utf8(pa.array(["there are 5", "m is a letter"]))))
     assert code[bounds[1]] > 3
