@@ -321,6 +321,30 @@ def test_passages_whose_halves_stand_elsewhere(spark: SparkSession) -> None:
     assert {(r["doc_id"], r["other_id"]) for r in rows} == {(3, 4), (4, 3), (5, 6), (6, 5)}
 
 
+def test_passages_beside_their_quotations(spark: SparkSession) -> None:
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs, want = [], set()
+    for k in range(0, 120, 2):
+        passage = fresh(55)
+        docs += [(k, fresh(30) + passage + fresh(30)), (k + 1, fresh(20) + passage[:28] + fresh(60) + passage + fresh(20))]
+        want |= {(k, k + 1), (k + 1, k)}
+    twice = fresh(70)
+    docs += [(200, fresh(40) + twice + fresh(20)), (201, twice + fresh(90) + twice)]
+    line, flank = fresh(9), fresh(30)
+    docs += [(300, fresh(9) + line * 40 + flank), (301, line * 7 + flank + fresh(200) + line * 13 + fresh(5))]
+    rows = substring_chains.passages(spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in rows} == want | {(200, 201), (201, 200), (300, 301), (301, 300)}
+    assert {(r["start"], r["end"]) for r in rows if r["doc_id"] == 201} == {(0, 70), (160, 230)}
+    covered = {i for r in rows if r["doc_id"] == 301 for i in range(r["start"], r["end"])}
+    assert covered >= {*range(93), *range(293, 410)}
+
+
+def test_pairs_of_repeated_places_stay_few() -> None:
+    assert len(substring_chains.meetings(list(range(0, 9000, 9)), list(range(5, 5000, 9)))) <= 2000
+    assert set(substring_chains.meetings([1, 5, 90], [2, 30])) == {(d, h) for d in (1, 5, 90) for h in (2, 30)}
+
+
 # near duplicates
 
 
