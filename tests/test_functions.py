@@ -16,23 +16,24 @@ def each(spark: SparkSession, inputs: list[str | None], column: Column) -> list:
     return [r["out"] for r in values(spark, [(x,) for x in inputs], "x string", column.alias("out"))]
 
 
-X = F.col("x")
+def column() -> Column:
+    return F.col("x")
 
 
 def test_timestamps(spark: SparkSession) -> None:
     raw = ["1970-01-01T00:00:00Z", "2025-06-14T19:22:06Z", "2025-06-14T19:22:06+00:00", "2025-06-14T19:22:06", "2025-06-14T19:22:06.250Z", None, "", " ", "not-a-date", "2025-13-99"]
-    assert each(spark, raw, health.iso_ms(X)) == [0, 1749928926000, 1749928926000, 1749928926000, 1749928926250, None, None, None, None, None]
+    assert each(spark, raw, health.iso_ms(column())) == [0, 1749928926000, 1749928926000, 1749928926000, 1749928926250, None, None, None, None, None]
 
 
 def test_normalisers(spark: SparkSession) -> None:
-    assert each(spark, ["reachable", "Reachable", "  reachable ", "unreachable", None, "", "unknown", "n/a"], health.reachability(X)) == ["up", "up", "up", "down", None, None, None, None]
-    assert each(spark, ["vlan", "vlan6", "svi", "svi6", "  vlan", "static", "STATIC", "x", None], health.scope_kind(X)) == ["vlan_subnet"] * 5 + ["static_route"] * 2 + [None, None]
-    assert each(spark, [" a \t b\n c ", None, "  "], names.collapse(X)) == ["a b c", "", ""]
+    assert each(spark, ["reachable", "Reachable", "  reachable ", "unreachable", None, "", "unknown", "n/a"], health.reachability(column())) == ["up", "up", "up", "down", None, None, None, None]
+    assert each(spark, ["vlan", "vlan6", "svi", "svi6", "  vlan", "static", "STATIC", "x", None], health.scope_kind(column())) == ["vlan_subnet"] * 5 + ["static_route"] * 2 + [None, None]
+    assert each(spark, [" a \t b\n c ", None, "  "], names.collapse(column())) == ["a b c", "", ""]
 
 
 def test_interface_names(spark: SparkSession) -> None:
     raw = ["Twe1/1/5", "TwentyFiveGigE1/1/5", "Gi0/0", "Po10", "Eth1/1", "xyz1", "", None, " te 1/1 "]
-    assert each(spark, raw, names.normalize_ifname(X)) == ["TwentyFiveGigE1/1/5", "TwentyFiveGigE1/1/5", "GigabitEthernet0/0", "Port-channel10", "Ethernet1/1", "xyz1", "", "", "TenGigabitEthernet1/1"]
+    assert each(spark, raw, names.normalize_ifname(column())) == ["TwentyFiveGigE1/1/5", "TwentyFiveGigE1/1/5", "GigabitEthernet0/0", "Port-channel10", "Ethernet1/1", "xyz1", "", "", "TenGigabitEthernet1/1"]
 
 
 @pytest.mark.parametrize(("slot", "port", "fi", "host"), [(1, 3, "Ethernet1/3", "vic1/3"), (None, 5, "Ethernet1/5", "vic1/5"), (2, None, "Ethernet2/0", "vic2/0"), (None, None, "", ""), ("", "", "Ethernet1/0", "vic1/0")])
@@ -44,18 +45,18 @@ def test_port_names(spark: SparkSession, slot: object, port: object, fi: str, ho
 
 def test_addresses(spark: SparkSession) -> None:
     raw = ["10.1.2.3", "256.1.1.1", "2001:db8::1", "::1", "::", "1::2::3", "fe80::1%eth0", "x", None, "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7"]
-    assert each(spark, raw, network.ip_version(X)) == [4, None, 6, 6, 6, None, 6, None, None, 6, None]
-    assert each(spark, ["2001:db8:ffff::1"], network.network6(network.ipv6(X), 34)) == ["20010db8c00000000000000000000000"]
-    assert each(spark, ["2001:db8:ffff::1"], network.network6(network.ipv6(X), 128)) == ["20010db8ffff00000000000000000001"]
-    assert each(spark, ["10.0.0.1", "127.0.0.1", "169.254.1.1", "0.0.0.0", "239.1.1.1", "::1", "fe80::1", "2001::1"], network.is_useful_ip(X)) == [True, False, False, False, False, False, False, True]
-    assert each(spark, ["10.0.0.1", "10.0.0.0/8", "::1"], network.ensure_cidr(X)) == ["10.0.0.1/32", "10.0.0.0/8", "::1/128"]
+    assert each(spark, raw, network.ip_version(column())) == [4, None, 6, 6, 6, None, 6, None, None, 6, None]
+    assert each(spark, ["2001:db8:ffff::1"], network.network6(network.ipv6(column()), 34)) == ["20010db8c00000000000000000000000"]
+    assert each(spark, ["2001:db8:ffff::1"], network.network6(network.ipv6(column()), 128)) == ["20010db8ffff00000000000000000001"]
+    assert each(spark, ["10.0.0.1", "127.0.0.1", "169.254.1.1", "0.0.0.0", "239.1.1.1", "::1", "fe80::1", "2001::1"], network.is_useful_ip(column())) == [True, False, False, False, False, False, False, True]
+    assert each(spark, ["10.0.0.1", "10.0.0.0/8", "::1"], network.ensure_cidr(column())) == ["10.0.0.1/32", "10.0.0.0/8", "::1/128"]
 
 
 def test_bitmaps_and_macs(spark: SparkSession) -> None:
-    assert each(spark, ["80", "01", "", None, "8001"], network.vlan_bitmap(X, 1)) == [[1], [8], [], [], [1, 16]]
-    assert each(spark, ["AA-bb.cc:DD ee ff", "aabb", None], names.mac(X)) == ["aa:bb:cc:dd:ee:ff", None, None]
-    assert each(spark, ["8000aabbccddeeff"], names.bridge_mac(X)) == ["aa:bb:cc:dd:ee:ff"]
-    assert each(spark, ["Cisco (AS 109)", "Some, Net, (AS12)", "plain", "(AS x)"], network.network_asn(X)["asn"]) == [109, 12, None, None]
+    assert each(spark, ["80", "01", "", None, "8001"], network.vlan_bitmap(column(), 1)) == [[1], [8], [], [], [1, 16]]
+    assert each(spark, ["AA-bb.cc:DD ee ff", "aabb", None], names.mac(column())) == ["aa:bb:cc:dd:ee:ff", None, None]
+    assert each(spark, ["8000aabbccddeeff"], names.bridge_mac(column())) == ["aa:bb:cc:dd:ee:ff"]
+    assert each(spark, ["Cisco (AS 109)", "Some, Net, (AS12)", "plain", "(AS x)"], network.network_asn(column())["asn"]) == [109, 12, None, None]
 
 
 def test_counters(spark: SparkSession) -> None:
@@ -103,9 +104,9 @@ def test_observation(spark: SparkSession, case: tuple) -> None:
 
 def test_history_text(spark: SparkSession) -> None:
     raw = ['[[3000,"up"],[1000,"down"],[2000,"up"]]', None, "", "{}", "nonsense"]
-    parsed = each(spark, raw, timeseries.parse_history(X))
+    parsed = each(spark, raw, timeseries.parse_history(column()))
     assert [[tuple(e) for e in x] for x in parsed] == [[(1000, "down"), (2000, "up"), (3000, "up")], [], [], [], []]
-    assert each(spark, ['[[1000, "up"], [2000, "down"]]'], timeseries.serialize_history(timeseries.parse_history(X))) == ['[[1000,"up"],[2000,"down"]]']
+    assert each(spark, ['[[1000, "up"], [2000, "down"]]'], timeseries.serialize_history(timeseries.parse_history(column()))) == ['[[1000,"up"],[2000,"down"]]']
 
 
 def test_hourly_windows(spark: SparkSession) -> None:
