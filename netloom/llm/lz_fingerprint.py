@@ -80,8 +80,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def code(minimum: np.ndarray) -> str:
-    """A fingerprint as text: one byte of each slot in hexadecimal."""
-    return (minimum >> np.uint32(24) ^ minimum & np.uint32(255)).astype(np.uint8).tobytes().hex()
+    """A fingerprint as text, 8 hexadecimal digits a slot: ``likeness`` follows from two of them."""
+    return minimum.astype(">u4").tobytes().hex()
 
 
 def edited(text: str, following: str) -> str:

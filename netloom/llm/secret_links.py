@@ -5,9 +5,9 @@ keys, long hexadecimal runs). Three weaker kinds, identifiers, opaque strings
 and endpoints, are no secrets by themselves: they are reported only where an
 identifier and a secret stand within ``SCOPE`` code points of each other. The
 parts of a text are joined as intervals: each identifier is posted under the
-blocks of ``SCOPE`` code points that its scope covers, each secret under the
-block it starts in, so one equality join on (row, block) finds the pairs, and
-a block holds a bounded number of parts.
+blocks of ``SCOPE`` code points that its scope covers, each secret and endpoint
+under those that it covers itself, so one equality join on (row, block) finds
+the pairs, and a block holds a bounded number of parts.
 
 Everything is Spark SQL functions. A pattern's matches get their places by
 wrapping them in a separator, splitting, and adding up the pieces' lengths.
@@ -74,15 +74,15 @@ def linked(spans: DataFrame) -> DataFrame:
     weak = spans.where(is_kind("ident", "opaque", "endpoint"))
     opaque = weak.where(is_kind("opaque")).withColumn("block", _blocks(F.col("start"), F.col("end") - 1))
     opaque = opaque.join(strong, ["row", "block"], "left").groupBy("row", "kind", "start", "end").agg(F.coalesce(F.max((F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))), F.lit(False)).alias("known")).where("not known").drop("known")
-    first = F.floor(F.col("start") / SCOPE).alias("block")
-    secrets = spans.where(is_kind("assign", "hex")).union(opaque).select("row", "kind", "start", "end", first)
+    own = _blocks(F.col("start"), F.col("end") - 1).alias("block")
+    secrets = spans.where(is_kind("assign", "hex")).union(opaque).select("row", "kind", "start", "end", own)
     names = spans.where(is_kind("access", "ident")).select("row", F.col("kind").alias("n_kind"), F.col("start").alias("n_start"), F.col("end").alias("n_end"), _blocks(F.greatest(F.lit(0), F.col("start") - SCOPE), F.col("end") + SCOPE).alias("block"))
     near = (F.col("start") <= F.col("n_end") + SCOPE) & (F.col("end") >= F.col("n_start") - SCOPE)
     pairs = names.join(secrets, ["row", "block"]).where(near)
     kinds = [F.struct("kind", "start", "end"), F.struct(F.col("n_kind").alias("kind"), F.col("n_start").alias("start"), F.col("n_end").alias("end"))]
     both = cut(pairs.select("row", F.explode(F.array(*kinds)).alias("p")).select("row", "p.*").distinct())
     places = both.select("row", F.col("start").alias("s"), F.col("end").alias("e"), _blocks(F.greatest(F.lit(0), F.col("start") - SCOPE), F.col("end") + SCOPE).alias("block"))
-    ends = weak.where(is_kind("endpoint")).withColumn("block", F.floor(F.col("start") / SCOPE)).join(places, ["row", "block"]).where("start <= e + {0} and end >= s - {0}".format(SCOPE)).select("row", "kind", "start", "end").distinct()
+    ends = weak.where(is_kind("endpoint")).select("row", "kind", "start", "end", own).join(places, ["row", "block"]).where("start <= e + {0} and end >= s - {0}".format(SCOPE)).select("row", "kind", "start", "end").distinct()
     return both.where(is_kind("ident", "opaque")).union(ends)
 
 

@@ -30,6 +30,14 @@ def _verdict(etag: Column, modified: Column, digest: Column, base: Column) -> Co
     return F.coalesce(by(etag, "etag", _weak), by(modified, "last_modified"), by(digest, "digest"), F.lit(False))
 
 
+def _folded(headers: Column) -> Column:
+    """Headers by lower-case name; of names that differ in case only, the value of the last spelling in order."""
+    entries = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    names = F.transform(entries, lambda e: e["key"])
+    last = F.filter(entries, lambda e, i: F.array_position(F.slice(names, i + 2, F.size(names)), e["key"]) == 0)
+    return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
+
+
 def resolve(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """(record_id, canonical, base_id, outcome, digest, headers) of the revisits
     among ``records(record_id, url, fetched_at, is_revisit, etag,
@@ -39,13 +47,12 @@ def resolve(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame
     outcome is ``resolved``, ``mismatch`` if the validators disagree or are
     missing, or ``no_base`` if there is no earlier response; then digest and
     base_id are null and headers are the revisit's own. Header names are
-    compared in lower case. Null addresses, times or ids never resolve; a null
+    compared in lower case; of names that differ in case only the last spelling in order counts. Null addresses, times or ids never resolve; a null
     is_revisit is a response, null headers are none. Repeated revisits give a
     row each. Other columns are ignored; an empty table gives no rows.
     """
     names = ("record_id", "fetched_at", "etag", "last_modified", "digest")
-    lower = F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
-    rows = records.select(*names, F.coalesce("is_revisit", F.lit(False)).alias("is_revisit"), canonical(F.col("url")).alias("canonical"), lower.alias("headers"))
+    rows = records.select(*names, F.coalesce("is_revisit", F.lit(False)).alias("is_revisit"), canonical(F.col("url")).alias("canonical"), _folded(F.col("headers")).alias("headers"))
     whole = F.when(~F.col("is_revisit"), F.struct("record_id", "etag", "last_modified", "digest", "headers"))
     usable = rows.where("canonical is not null and fetched_at is not null and record_id is not null")
     joined = latest_before(usable, ["canonical"], ["fetched_at", "record_id"], whole, F.floor(F.col("fetched_at") / block_seconds)).where("is_revisit")

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -171,18 +172,48 @@ def test_toxicity_of_held_out_documents(spark: SparkSession) -> None:
 # fingerprints
 
 
+def plain_fingerprint(text: str) -> str:
+    """The least value of every slot over the phrases, one phrase and slot at a time."""
+    seen, phrase = set(), ""
+    for c in text:
+        phrase += c
+        if phrase not in seen:
+            seen.add(phrase)
+            phrase = ""
+    seen |= {phrase} - {""}
+    kinds = {x for x in seen if len(x) >= lz_fingerprint.LEAST_PHRASE} or seen
+    least = [2**32 - 1] * lz_fingerprint.SLOTS
+    for kind in kinds:
+        x = xxhash.xxh3_64_intdigest(kind.encode())
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> shift)) * factor % 2**64
+        x = (x ^ (x >> 31)) >> 32
+        least = [min(y, (x * int(f) + int(o)) % 2**32) for y, f, o in zip(least, lz_fingerprint._FACTORS, lz_fingerprint._OFFSETS, strict=True)]
+    return "".join(f"{y:08x}" for y in least)
+
+
+def plain_likeness(a: str, b: str) -> float:
+    return sum(a[i : i + 8] == b[i : i + 8] for i in range(0, len(a), 8)) / lz_fingerprint.SLOTS
+
+
 def test_fingerprints_equal_brute_force(spark: SparkSession) -> None:
-    docs = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()), reverse=True)
+    table = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    docs = sorted(((r["doc_id"], r["text"] or "") for r in table.collect()), reverse=True)
     got = {r["doc_id"]: r for r in queries.op5_lz_fingerprint(spark, FOLDER).collect()}
     assert len(got) == len(docs)
-    prints = [lz_fingerprint.fingerprint(t) for _, t in docs]
+    checked = 0
     for i, (k, text) in enumerate(docs):
-        j = (i + 1) % len(docs)
+        following = docs[(i + 1) % len(docs)]
         half = len(text) // 2
-        changed = text[: len(text) - half] + docs[j][1][:half]
-        other = lz_fingerprint.fingerprint(changed)
-        want = (len(text), hashlib.sha256(changed.encode()).hexdigest(), lz_fingerprint.code(prints[i]), lz_fingerprint.code(other), lz_fingerprint.likeness(prints[i], other), lz_fingerprint.likeness(prints[i], prints[j]))
-        assert tuple(got[k])[1:7] == want
+        changed = text[: len(text) - half] + following[1][:half]
+        r = got[k]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
+        assert r["near_edited"] == plain_likeness(r["fingerprint"], r["edited_fingerprint"])
+        assert r["near_next"] == plain_likeness(r["fingerprint"], got[following[0]]["fingerprint"])
+        if len(text) < 2500:
+            checked += 1
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (plain_fingerprint(text), plain_fingerprint(changed))
+    assert checked > 50
 
 
 def test_phrases() -> None:
@@ -386,6 +417,14 @@ def test_places_of_secrets(spark: SparkSession) -> None:
     assert rows[6]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_parts_longer_than_the_scope(spark: SparkSession) -> None:
+    texts = [f"{'0123456789abcdef' * 40} login=alice1", f"https://api.example.org/{'v' * 600} client_id=alice99 {'aB3' * 12}", f"login=alice1 {'x ' * 150} {'0123456789abcdef' * 40}"]
+    rows = {r["doc_id"]: r["spans"] for r in secret_links.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows[0] == "hex:0:640,ident:641:653"
+    assert [x.split(":")[0] for x in rows[1].split(",")] == ["endpoint", "ident", "opaque"]
+    assert rows[2].startswith("hex:") and "ident" not in rows[2]
+
+
 # pieces
 
 

@@ -104,6 +104,13 @@ def test_records_without_anything(spark: SparkSession) -> None:
     assert warc_revisit.resolve(records.limit(0)).count() == 0
 
 
+def test_headers_that_differ_in_case_only(spark: SparkSession) -> None:
+    schema = "record_id long, url string, fetched_at long, is_revisit boolean, etag string, last_modified string, digest string, headers map<string,string>"
+    rows = [(1, "http://a.com/x", 10, False, "e", None, "d", {"X-A": "1", "x-a": "2", "Date": "3"}), (2, "http://a.com/x", 20, True, "e", None, None, {"Date": "4", "DATE": "5", "date": "6", "Vary": None})]
+    out = warc_revisit.resolve(spark.createDataFrame(rows, schema)).collect()
+    assert [r["headers"] for r in out] == [{"x-a": "2", "date": "6", "vary": None}]
+
+
 def test_dated_lists(spark: SparkSession) -> None:
     entries = spark.createDataFrame([("ads", "bad.com", 10, True), ("ads", "BAD.com", 10, True), ("ads", "bad.com", 20, False), ("ads", "bad.com", 30, True), ("adult", "com", 15, True), ("adult", "com", 15, False), ("x", None, 1, True), (None, "bad.com", 1, True)], "list string, domain string, at long, added boolean")
     captures = spark.createDataFrame([(i, "http://www.shop.BAD.com:80/a", t) for i, t in enumerate((9, 10, 19, 20, 30, 10**9, None))] + [(8, None, 12), (9, "nonsense", 12), (10, "http://notbad.com/", 12)], "capture_id long, url string, fetched_at long").withColumns({"domain": F.lit(1), "list": F.lit(1), "at": F.lit(1)})
