@@ -136,6 +136,18 @@ def _letters() -> np.ndarray:
 LETTERS = _letters()
 
 
+def _alphabet() -> np.ndarray:
+    """For each code point of the basic plane its lower-case form if words hold it, else 0."""
+    out = np.zeros(1 << 16, np.uint32)
+    for c in range(1 << 16):
+        if (x := chr(c)).isalnum():
+            out[c] = ord(low) if len(low := x.lower()) == 1 else c
+    return out
+
+
+WORD = _alphabet()
+
+
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of UTF-8 bytes, and the rows' offsets among them."""
     first = (data & 0xC0) != 0x80

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.language_id import held_out
 from netloom.llm.lineage import cut
-from netloom.llm.text import chunks, code_points, prefix_hash, span_hash, spans, utf8
+from netloom.llm.text import WORD, chunks, code_points, prefix_hash, span_hash, spans, utf8
 
 #: Labelled training documents used at most, those of the smallest hashes.
 TRAINING_ROWS = 20_000
@@ -43,16 +43,6 @@ REPORTING = re.compile(r"\b(?:said|says|wrote|writes|called|calls|quote|quoted|q
 QUOTES = "\"“”«»„‟"
 
 
-def _alphabet() -> np.ndarray:
-    """For each code point of the basic plane its lower-case form if words hold it, else 0."""
-    out = np.zeros(1 << 16, np.uint32)
-    for c in range(1 << 16):
-        if (x := chr(c)).isalnum():
-            out[c] = ord(low) if len(low := x.lower()) == 1 else c
-    return out
-
-
-_WORD = _alphabet()
 _INNER = np.zeros(1 << 16, bool)
 _INNER[[ord(c) for c in "*@$!"]] = True
 
@@ -61,10 +51,12 @@ def words(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Lower-cased code points, and starts and ends of words: runs of letters and
     digits, with ``*@$!`` between two of them."""
     plain = np.minimum(points, np.uint32(0xFFFF))
-    low = _WORD[plain]
+    low = WORD[plain]
     inside = low != 0
     middle = np.zeros(len(points), bool)
     middle[1:-1] = inside[:-2] & inside[2:] & _INNER[plain[1:-1]]
+    some = offsets[:-1] < offsets[1:]
+    middle[offsets[:-1][some]] = middle[offsets[1:][some] - 1] = False
     return np.where(middle, plain, low), *spans(inside | middle, offsets)
 
 

@@ -32,64 +32,113 @@ def test_query_equals_its_sql(spark: SparkSession, name: str) -> None:
 # decontamination
 
 
+PIECE = re.compile(r"[+\-−$€£¥]?\d(?:[^\W_]|[.,:/](?<=\d.)(?=\d)|[*@$!](?=[^\W_]))*%?|[^\W_](?:[^\W_]|[*@$!](?=[^\W_])|[.,:/](?<=\d.)(?=\d)|(?<=\d)%)*")
+
+
 def template(text: str) -> list[tuple[str, str]]:
     """(kind or word, word) of each word of a text."""
-    n = len(text)
-    plain = [c.isalnum() and ord(c) < 0x10000 for c in text]
-    inside = [plain[i] or (0 < i < n - 1 and text[i] in "*@$!" and plain[i - 1] and plain[i + 1]) for i in range(n)]
-    out, last, number = [], None, False
-    for inner, run in itertools.groupby(range(n), inside.__getitem__):
-        if not inner:
-            continue
-        at = list(run)
-        word = "".join(text[i].lower() if len(text[i].lower()) == 1 else text[i] for i in at)
-        first = last is None or any(c in ".!?:;\n\r\"“”«»|" for c in text[last : at[0]])
-        if word[0].isdigit():
+    found = [(m, m.group(), "".join(c.lower() if len(c.lower()) == 1 else c for c in m.group())) for m in PIECE.finditer(text)]
+    inner = [m.start() == 0 or i == 0 or bool(re.search("[.!?:;\n\r\"“”«»|]", text[found[i - 1][0].end() : m.start()])) for i, (m, _, _) in enumerate(found)]
+    names = {w for first, (_, raw, w) in zip(inner, found, strict=True) if not first and raw[0] != w[0]}
+    out, number = [], False
+    for first, (_, raw, w) in zip(inner, found, strict=True):
+        if raw[0].isdigit() or raw[0] in "+-−$€£¥" or w in decontamination.NUMBERS:
             kind = "<number>"
-        elif number and word in decontamination.UNITS:
+        elif number and w in decontamination.UNITS:
             kind = "<unit>"
-        elif word[0] != text[at[0]] and not first:
+        elif raw[0] != w[0] and (not first or w in names):
             kind = "<name>"
         else:
-            kind = word
-        out.append((kind, word))
-        last, number = at[-1] + 1, kind == "<number>"
+            kind = w
+        out.append((kind, w))
+        number = kind == "<number>"
     return out
 
 
-def template_windows(text: str | None) -> list[tuple[tuple[str, ...], list[tuple[str, str]]]]:
-    words = template(text or "")
-    every = (words[i : i + decontamination.WINDOW] for i in range(len(words) - decontamination.WINDOW + 1))
-    return [(tuple(k for k, _ in w), [x for x in w if x[0][0] == "<"]) for w in every if sum(k[0] != "<" for k, _ in w) >= decontamination.LEAST_LITERAL]
+def broken(pairs: list[tuple[str, str]]) -> int:
+    return sum(sum(sorted(Counter(b for x, b in pairs if x == a).values())[:-1]) for a in {a for a, _ in pairs})
+
+
+def fair(pairs: list[tuple[str, str]]) -> bool:
+    return max(broken(pairs), broken([(b, a) for a, b in pairs])) <= max(1, 0.25 * len(pairs))
 
 
 def holds(item: list, doc: list) -> bool:
-    by = defaultdict(list)
-    for window, slots in item:
-        by[window].append(slots)
-    hits = [(window, own, other) for window, own in doc for other in by.get(window, [])]
-    if not item or len({w for w, _, _ in hits}) < decontamination.LEAST_COVERAGE * len(by):
-        return False
-    pairs = defaultdict(Counter)
-    for _, own, other in hits:
-        for a, b in zip(other, own, strict=True):
-            pairs[a][b] += 1
-    if not pairs:
-        return True
-    return sum(max(c.values()) for c in pairs.values()) >= decontamination.LEAST_CONSISTENT * sum(sum(c.values()) for c in pairs.values())
+    """Longest common subsequences within 4 words of every alignment on which a window of 5 words meets."""
+    windows = defaultdict(list)
+    for q in range(len(item) - 4):
+        if sum(k[0] != "<" for k, _ in item[q : q + 5]) >= 3:
+            windows[tuple(k for k, _ in item[q : q + 5])].append(q)
+    for shift in {p - q for p in range(len(doc) - 4) for q in windows.get(tuple(k for k, _ in doc[p : p + 5]), [])}:
+        same = lambda i, j: 0 <= j < len(doc) and (item[i][0] == doc[j][0] or item[i][1] == doc[j][1])  # noqa: B023, E731
+        best = {}
+        for i in range(len(item)):
+            for d in range(-4, 5):
+                j = i + shift + d
+                ways = [best.get((i - 1, j), []), best.get((i, j - 1), [])] if abs(d - 1) <= 4 else [best.get((i - 1, j), [])]
+                if same(i, j):
+                    ways.append([*best.get((i - 1, j - 1), []), (i, j)])
+                best[i, j] = max(ways, key=len)
+        agree = max((best[len(item) - 1, len(item) - 1 + shift + d] for d in range(-4, 5)), key=len)
+        slots = [(item[i][1], doc[j][1]) for i, j in agree if item[i][0][0] == "<"]
+        if len(agree) >= max(0.7 * len(item), min(8, len(item))) and fair(slots):
+            return True
+        run = []
+        for i in range(len(item) + 1):
+            if i < len(item) and same(i, i + shift):
+                run.append(i)
+                continue
+            if len(run) >= 13 and len(run) < len(item) and sum(item[k][0][0] != "<" for k in run) >= 8 and fair([(item[k][1], doc[k + shift][1]) for k in run if item[k][0][0] == "<"]):
+                return True
+            run = []
+    return False
 
 
 def test_contamination_equals_brute_force(spark: SparkSession) -> None:
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
-    items = [(r["item_id"], template_windows(r["text"])) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    items = [(r["item_id"], template(r["text"])) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     want = set()
     for r in docs:
-        own = template_windows(r["text"])
+        own = template(r["text"] or "")
         want |= {(r["doc_id"], k) for k, item in items if holds(item, own)}
     got = queries.op2_decontamination(spark, FOLDER).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want) > 0
+
+
+def test_blocks_of_the_benchmark_give_the_same(spark: SparkSession) -> None:
+    docs, items = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = decontamination.contaminated(docs, items).collect()
+    assert sorted(decontamination.contaminated(docs, items, block_bytes=20_000).collect()) == sorted(whole)
+
+
+def test_near_copies_of_items(spark: SparkSession) -> None:
+    rng = random.Random(17)
+    fresh = lambda n: [f"w{chr(97 + rng.randrange(26))}{rng.randrange(10**6)}" for _ in range(n)]
+    items = [(k, fresh(15)) for k in range(20)] + [(k, fresh(60)) for k in range(20, 30)]
+    docs, want = [], set()
+    for k, words in items:
+        for changed in ([7], [5, 10], [0, 14], []):
+            docs.append((len(docs), " ".join([*fresh(30), *("other" if i in changed else w for i, w in enumerate(words)), *fresh(30)])))
+            want.add((docs[-1][0], k))
+        docs.append((len(docs), " ".join([*fresh(30), *words[:7], "added", "here", *words[7:], *fresh(9)])))
+        want.add((docs[-1][0], k))
+        if len(words) == 60:  # a third of it
+            docs.append((len(docs), " ".join([*fresh(30), *words[20:40], *fresh(30)])))
+            want.add((docs[-1][0], k))
+        docs.append((len(docs), " ".join([*fresh(30), *words[3:9], *fresh(60)])))
+    frame = lambda rows, schema: spark.createDataFrame([(k, w if isinstance(w, str) else " ".join(w)) for k, w in rows], schema)
+    got = decontamination.contaminated(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
 
 
+def test_numbers_in_many_forms(spark: SparkSession) -> None:
+    ask = "A tank holds {a} of water and loses {b} each hour through a small crack, while a pump adds water again after {c}, so how long does it take until it is empty"
+    items = spark.createDataFrame([(1, ask.format(a="3.5 liters", b="2.25 liters", c="1,200 seconds"))], "item_id long, text string")
+    docs = [(1, ask.format(a="4 liters", b="3 liters", c="900 seconds")), (2, ask.format(a="$5", b="three", c="7%"))]
+    got = {r["doc_id"]: r for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got[1]["changed_slots"] == 3 and got[1]["coverage"] == 1.0 and set(got) == {1, 2}
+
+
 def test_questions_with_new_parameters(spark: SparkSession) -> None:
     ask = "Yesterday in the morning {a} bought {n} apples for 3 dollars each and gave {m} of them to {b}, so how many of the apples did {a} still have when the day ended in {c}?"
     items = spark.createDataFrame([(1, ask.format(a="Anna", b="Bert", c="Rome", n=12, m=5))], "item_id long, text string")
@@ -119,6 +168,15 @@ def test_units_do_not_follow_the_row_before() -> None:
     assert code[bounds[1]] > 3
 
 
+def test_words_do_not_depend_on_the_next_row() -> None:
+    for texts in (["you fool!", "next"], ["costs 5.", "6 pounds"], ["a -", "7 b"], ["", "5"], ["5", "% off"]):
+        alone = [decontamination.templates(*code_points(*utf8(pa.array([t]))))[1].tolist() for t in texts]
+        _, own, bounds = decontamination.templates(*code_points(*utf8(pa.array(texts))))
+        assert alone == [own[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        low, start, end = toxicity.words(*code_points(*utf8(pa.array(texts))))
+        assert [toxicity._text(low, a, b) for a, b in zip(start, end, strict=True)] == sum((re.findall(r"[^\W_]+", t) for t in texts), [])
+
+
 # toxicity
 
 
