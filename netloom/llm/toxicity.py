@@ -23,14 +23,16 @@ from pyspark.sql import functions as F
 
 from netloom.llm.language_id import held_out
 from netloom.llm.lineage import cut
-from netloom.llm.text import WORD, chunks, code_points, prefix_hash, span_hash, spans, utf8
+from netloom.llm.text import WORD, chunks, code_points, prefix_hash, shingle_hashes, span_hash, spans, utf8
 
 #: Labelled training documents used at most, those of the smallest hashes.
 TRAINING_ROWS = 20_000
-#: Lexicon size at most.
-MAX_TERMS = 128
-#: Share of the toxic training documents a term is found in, at least, and its log-odds.
-LEAST_SHARE, LEAST_ODDS = 0.01, 3.0
+#: Log-odds of a term at least, at the lower end of its interval of so many standard errors.
+LEAST_ODDS, ERRORS = 1.5, 1.96
+#: Letters of a term at most.
+LONGEST = 64
+#: Terms in one automaton; a larger lexicon has several, which are all run.
+PART = 32
 #: Code points on either side of a hit that make its context.
 WINDOW = 80
 #: What a quoted hit counts for.
@@ -153,9 +155,25 @@ class Automaton:
         return tuple(x[order] for x in parts)
 
 
+class Lexicon:
+    """The automata of all terms."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.parts = [Automaton(terms[i : i + PART]) for i in range(0, len(terms), PART)]
+
+    def match(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, distance) of the words low[start:end] near a term, each once at its least distance."""
+        least = np.full(len(start), 99)
+        for part in self.parts:
+            word, _, distance = part.match(low, start, end)
+            least[word] = np.minimum(least[word], distance)
+        word = np.flatnonzero(least < 99)
+        return word, least[word]
+
+
 @dataclass
 class Scorer:
-    automaton: Automaton
+    lexicon: Lexicon
     weights: np.ndarray
     #: Words near a term that ordinary documents use, so no misspellings of it.
     ordinary: frozenset[str] = frozenset()
@@ -166,7 +184,7 @@ class Scorer:
         for lo, hi in chunks(offsets):
             points, bounds = code_points(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             low, start, end = words(points, bounds)
-            word, _, distance = self.automaton.match(low, start, end)
+            word, distance = self.lexicon.match(low, start, end)
             meant = np.array([d == 0 or _text(low, start[w], end[w]) not in self.ordinary for w, d in zip(word, distance, strict=True)], bool)
             word, distance = word[meant], distance[meant]
             row = np.searchsorted(bounds, start[word], side="right") - 1
@@ -193,46 +211,42 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights, -30, 30)))
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's words of 4 to 24 letters with a hash of their neighbours."""
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text the distinct words of up to LONGEST letters, with a signature
+    of the text: the least hash of its runs of three words, which copies and most near copies share."""
     for batch in batches:
         data, offsets = utf8(batch.column(0))
         for lo, hi in chunks(offsets):
             points, bounds = code_points(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             low, start, end = words(points, bounds)
-            hashes = np.concatenate([[np.uint64(1)], span_hash(prefix_hash(low), start, end), [np.uint64(1)]])
-            around = hashes[:-2] * np.uint64(3) + hashes[2:]
-            fit = np.flatnonzero((end - start >= 4) & (end - start <= 24))
-            names = [_text(low, a, b) for a, b in zip(start[fit], end[fit], strict=True)]
-            doc = np.searchsorted(bounds, start[fit], side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(around[fit].view(np.int64)), pa.array(doc + lo)], ["word", "around", "doc"])
+            bounds = np.searchsorted(start, bounds)
+            hashes = span_hash(prefix_hash(low), start, end)
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if a == b:
+                    continue
+                _, at = np.unique(hashes[a:b], return_index=True)
+                at = at[end[a + at] - start[a + at] <= LONGEST] + a
+                sign = shingle_hashes(hashes[a:b], 3).min().view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([_text(low, start[i], end[i]) for i in at], pa.string()), pa.array(np.full(len(at), sign))], ["word", "sign"])
 
 
 def lexicon(sample: DataFrame) -> list[str]:
-    """Terms of ``sample(text, toxic)`` that mark toxic documents.
+    """Terms of ``sample(text, toxic)`` that mark toxic documents, in order.
 
-    A term counts once per context (its neighbour words), so copies of a
-    document don't make its words look frequent.
+    A word counts once per different signature of the texts that have it, so
+    neither copies nor lists make it look frequent. Every word is kept whose
+    log-odds against other documents are LEAST_ODDS at least, at the lower end
+    of their confidence interval.
     """
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic:
         return []
-    seen = sample.where("toxic = 1").select("text").mapInArrow(_contexts, "word string, around long, doc long")
-    least = max(3, LEAST_SHARE * toxic)
-    kinds = seen.groupBy("word").agg(F.count_distinct("around").alias("n")).where(F.col("n") >= least)
-    top = {r["word"]: r["n"] for r in kinds.orderBy(F.desc("n"), "word").limit(4000).collect()}
-
-    def usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            count: Counter[str] = Counter()
-            for part in _contexts([batch]):
-                count.update(w for w in part.column(0).to_pylist() if w in top)
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
-
-    others = {r["word"]: r["n"] for r in sample.where("toxic = 0").select("text").mapInArrow(usual, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    odds = {w: np.log((x + 0.5) / (toxic + 1)) - np.log((others.get(w, 0) + 0.5) / (clean + 1)) for w, x in top.items()}
-    return [w for w in sorted(top, key=lambda w: (-odds[w] * np.log(top[w]), w)) if odds[w] >= LEAST_ODDS][:MAX_TERMS]
+    count = lambda k: sample.where(F.col("toxic") == k).select("text").mapInArrow(_uses, "word string, sign long").distinct().groupBy("word").agg(F.count("*").alias("n"))
+    seen, usual = count(1).withColumnRenamed("n", "x").where("x > 1"), count(0).withColumnRenamed("n", "y")
+    x, y = F.col("x") + 0.5, F.coalesce("y", F.lit(0)) + 0.5
+    odds = F.log(x / (toxic + 1)) - F.log(y / (clean + 1)) - ERRORS * F.sqrt(1 / x + 1 / y)
+    return sorted(r["word"] for r in seen.join(usual, "word", "left").where(odds >= LEAST_ODDS).select("word").collect())
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Scorer:
@@ -242,18 +256,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"))
-    automaton = Automaton(lexicon(sample))
+    terms = Lexicon(lexicon(sample))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for lo, hi in chunks(offsets):
                 low, start, end = words(*code_points(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
-                word, _, distance = automaton.match(low, start, end)
+                word, distance = terms.match(low, start, end)
                 yield pa.RecordBatch.from_arrays([pa.array(sorted({_text(low, start[w], end[w]) for w in word[distance > 0]}), pa.string())], ["word"])
 
     ordinary = sample.where("toxic = 0").select("text").mapInArrow(near, "word string").distinct().toArrow()["word"].to_pylist()
-    scorer = Scorer(automaton, np.zeros(4), frozenset(ordinary))
+    scorer = Scorer(terms, np.zeros(4), frozenset(ordinary))
     send = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -210,7 +210,7 @@ def test_automaton_accepts_what_is_near() -> None:
 
 
 def test_quotation_counts_less() -> None:
-    scorer = toxicity.Scorer(toxicity.Automaton(["grumbald"]), np.array([-2.0, 4.0, 3.0, 1.0]))
+    scorer = toxicity.Scorer(toxicity.Lexicon(["grumbald"]), np.array([-2.0, 4.0, 3.0, 1.0]))
     texts = ["you are a grumbald", 'the term "grumbald" was used', "she wrote grumbald", "you grumbld", "no such thing", None]
     x = list(scorer.features(pa.array(texts)))
     assert [(n, q) for _, n, q in x] == [(1, 0), (1, 1), (1, 1), (1, 0), (0, 0), (0, 0)]
