@@ -2,12 +2,15 @@
 
 One model per language, of order 4, over letters in lower case with a single
 blank for whatever stands between them. N-grams are counted over every
-labelled training document; the tables of all languages are merged into one
-array of sorted hashes with a row of log-probabilities each, entered through a
-directory on the hashes' leading bits. A document gets the language of the
-lowest cross-entropy per character. It is rejected if that cross-entropy lies
-farther above the language's usual value than text of its length explains;
-the bounds are calibrated on training documents.
+labelled training document and all are kept. A model of up to MODEL_CELLS
+(n-grams of each language, times languages) is made of arrays of sorted hashes
+with a row of log-probabilities each, entered through a directory on the
+hashes' leading bits, and sent to all executors. A larger one stays a table of
+Spark: discounts and weights come from aggregations, and documents meet it by
+joins on their n-grams. Both give the same cross-entropies. A document gets
+the language of the lowest cross-entropy per character. It is rejected if that
+cross-entropy lies farther above the language's usual value than text of its
+length explains; the bounds are calibrated on all training documents.
 """
 
 from __future__ import annotations
@@ -19,14 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from netloom.llm.lineage import cut, without_ids
 from netloom.llm.text import chunks, code_points, letters, mix, utf8
 
 ORDER = 4
-#: N-grams kept per language, the most frequent ones; bounds the model.
-MAX_GRAMS = 100_000
-#: Training documents on which rejection is calibrated.
-CALIBRATION_ROWS = 5_000
+#: Size of a model at most that is sent to the executors.
+MODEL_CELLS = 4_000_000
 #: Rejection bound, in multiples of the 99.9 % point of the training documents' excess.
 MARGIN = 2.0
 #: Only entropies above so many times the language's usual one are rejected.
@@ -180,8 +183,6 @@ class Model:
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         self.langs = sorted(counts)
-        self.usual = np.zeros(len(self.langs))
-        self.bound = np.full(len(self.langs), np.inf)
         levels = [_levels(*(x[np.argsort(counts[k][0])] for x in counts[k])) for k in self.langs]
         self.tables: list[Table] = []
         self.floor = np.log(1 / (1 << 16))
@@ -218,6 +219,8 @@ class Model:
 
     def entropies(self, packed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Cross-entropy per n-gram of each row under each language; 0 for rows without n-grams."""
+        if not self.langs:
+            return np.zeros((len(bounds) - 1, 0))
         total = np.zeros((len(packed) + 1, len(self.langs)))
         np.cumsum(self._backed(packed, ORDER), axis=0, out=total[1:])
         return -(total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(1, np.diff(bounds))[:, None]
@@ -229,73 +232,124 @@ class Model:
             packed, bounds = grams(*code_points(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
             yield from zip(np.diff(bounds).tolist(), self.entropies(packed, bounds), strict=True)
 
-    def far(self, best: np.ndarray, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (self.excess(best, entropy, n) > self.bound[best]) & (entropy > LEAST_RATIO * self.usual[best])
 
-    def excess(self, best: np.ndarray, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (entropy - self.usual[best]) * np.sqrt(n)
+@dataclass
+class Tables:
+    """The same probabilities as ``Model``'s, as rows (kind, key, lang, value):
+    kind n the discounted shares of order n, kind -n the weights of its contexts."""
 
+    langs: list[str]
+    entries: DataFrame
+    #: log-probability of a letter that a language doesn't have.
+    base: list[float]
 
-def _score(model_of) -> callable:  # noqa: ANN001
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of()
-        for batch in batches:
-            lang, score, entropy, size = [], [], [], []
-            for n, values in model.scored(batch.column(1)):
-                best = int(values.argmin()) if n and len(values) else -1
-                lang.append(model.langs[best] if best >= 0 else UNKNOWN)
-                score.append(float(1 / np.exp((values[best] - values) * min(n, 40)).sum()) if best >= 0 else 0.0)
-                entropy.append(float(values[best]) if best >= 0 else None)
-                size.append(n)
-            best = np.array([model.langs.index(x) if x != UNKNOWN else -1 for x in lang], int)
-            known = best >= 0
-            far = np.ones(len(best), bool)
-            far[known] = model.far(best[known], np.array(entropy, float)[known], np.array(size)[known])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(far)], ["doc_id", "lang_pred", "score", "entropy", "rejected"])
+    @classmethod
+    def of(cls, counts: DataFrame) -> Tables:
+        level, entries = counts.select("lang", F.col("gram").alias("key"), F.col("n").cast("double").alias("c")), None
+        for order in range(ORDER, 0, -1):
+            once, twice = (F.count_if(F.col("c") == k) for k in (1, 2))
+            discounts = level.groupBy("lang").agg(F.greatest(F.lit(0.1), F.least(F.lit(0.95), once / F.greatest(F.lit(1), once + 2 * twice))).alias("d"))
+            above = level.withColumn("context", F.shiftrightunsigned("key", 16) if order > 1 else F.lit(0).cast("long"))
+            contexts = above.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).join(F.broadcast(discounts), "lang")
+            contexts = cut(contexts.select("lang", "context", "total", "d", (F.col("d") * F.col("kinds") / F.col("total")).alias("weight")))
+            shares = above.join(contexts, ["lang", "context"]).select(F.lit(order).alias("kind"), "key", "lang", ((F.col("c") - F.col("d")) / F.col("total")).alias("value"))
+            rows = shares.union(contexts.select(F.lit(-order), "context", "lang", "weight"))
+            entries = rows if entries is None else entries.union(rows)
+            if order > 1:
+                level = cut(level.groupBy("lang", F.col("key").bitwiseAND((1 << 16 * (order - 1)) - 1).alias("key")).agg(F.count("*").cast("double").alias("c")))
+        entries = cut(entries)
+        base = {r["lang"]: float(np.log(r["value"] / (1 << 16))) for r in entries.where("kind = -1").collect()}
+        return cls(sorted(base), entries, [base[x] for x in sorted(base)])
+
+    def gains(self, grams: DataFrame) -> DataFrame:
+        """(gram, lang, gain) of ``grams(gram)``: how far the log-probability lies
+        above the base, for the languages in which it does."""
+        key = lambda n: F.col("gram").bitwiseAND((1 << 16 * n) - 1) if n < ORDER else F.col("gram")
+        wanted = [F.struct(F.lit(n).alias("kind"), key(n).alias("key")) for n in range(1, ORDER + 1)]
+        wanted += [F.struct(F.lit(-n).alias("kind"), F.shiftrightunsigned(key(n), 16).alias("key")) for n in range(2, ORDER + 1)]
+        found = grams.select("gram", F.explode(F.array(*wanted)).alias("x")).select("gram", "x.*").join(self.entries, ["kind", "key"])
+        part = lambda kind, default: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("value"))), F.lit(default))
+        floor = F.exp(F.element_at(F.create_map(*(F.lit(x) for pair in zip(self.langs, self.base, strict=True) for x in pair)), F.col("lang")))
+        value = F.col("s1") + floor
+        for n in range(2, ORDER + 1):
+            value = F.col(f"s{n}") + F.col(f"w{n}") * value
+        parts = [part(n, 0.0).alias(f"s{n}") for n in range(1, ORDER + 1)] + [part(-n, 1.0).alias(f"w{n}") for n in range(2, ORDER + 1)]
+        return found.groupBy("gram", "lang").agg(*parts).select("gram", "lang", (F.log(value) - F.log(floor)).alias("gain"))
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of each row with their counts."""
+    for batch in batches:
+        data, offsets = utf8(batch.column(1))
+        for lo, hi in chunks(offsets):
+            packed, bounds = grams(*code_points(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+            found = [np.unique(packed[a:b], return_counts=True) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            rows = batch.column(0).take(pa.array(np.repeat(np.arange(lo, hi), [len(x) for x, _ in found])))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(np.concatenate([x for x, _ in found]).view(np.int64)), pa.array(np.concatenate([n for _, n in found]).astype(np.int64))], ["row", "gram", "n"])
+
+
+def entropies(docs: DataFrame, model: Model | Tables, *columns: str) -> DataFrame:
+    """``columns`` of ``docs(text)`` with n, the number of n-grams, and h, the
+    cross-entropies per n-gram under the model's languages in order."""
+    own = [F.col(c) for c in columns]
+    if isinstance(model, Model):
+        send = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, values = zip(*send.value.scored(batch.column(0)), strict=True) if batch.num_rows else ((), ())
+                ends = np.arange(len(n) + 1, dtype=np.int32) * len(send.value.langs)
+                h = pa.ListArray.from_arrays(ends, np.concatenate([*values, np.zeros(0)]))
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), h], ["own", "n", "h"])
+
+        rows = docs.select("text", F.struct(*own).alias("own"))
+        return rows.mapInArrow(run, T.StructType([rows.schema["own"], T.StructField("n", T.LongType()), T.StructField("h", T.ArrayType(T.DoubleType()))])).select("own.*", "n", "h")
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "text", *own))
+    counts = cut(rows.select("row", "text").mapInArrow(_gram_counts, "row long, gram long, n long"))
+    gains = cut(model.gains(counts.select("gram").distinct()))
+    sums = counts.join(gains, "gram").groupBy("row", "lang").agg(F.sum(F.col("n") * F.col("gain")).alias("gain")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("lang", "gain"))).alias("gain"))
+    sizes = counts.groupBy("row").agg(F.sum("n").alias("n"))
+    h = F.array(*(-(F.lit(b) + F.coalesce(F.element_at("gain", lang), F.lit(0.0)) / F.col("n")) for lang, b in zip(model.langs, model.base, strict=True)))
+    return rows.drop("text").join(sizes, "row", "left").join(sums, "row", "left").select(*columns, F.coalesce("n", F.lit(0)).alias("n"), h.cast("array<double>").alias("h"))
 
-    return run
 
+@dataclass
+class Trained:
+    """A model with the usual cross-entropy of each of its languages and the bound for rejection."""
+
+    model: Model | Tables
+    usual: list[float]
+    bound: list[float]
 
-def train(docs: DataFrame) -> Model:
+
+def train(docs: DataFrame, model_cells: int = MODEL_CELLS) -> Trained:
     """A model of ``docs(doc_id, text, lang)``: rows with a null text or lang, or
-    held out by ``held_out``, aren't used. The counts, at most MAX_GRAMS of each
-    language, are all that comes to the driver, with the calibration rows'
-    entropies."""
-    from pyspark.sql import Window
-
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # the rank is taken in parts first, so that no task sorts a whole language
-    part = Window.partitionBy("lang", F.pmod(F.hash("gram"), F.lit(64))).orderBy(F.desc("n"), "gram")
-    whole = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    counts = counts.withColumn("r", F.row_number().over(part)).where(F.col("r") <= MAX_GRAMS).withColumn("r", F.row_number().over(whole)).where(F.col("r") <= MAX_GRAMS)
-    table = counts.select("lang", "gram", "n").toArrow()
-    langs = np.array(table["lang"].to_pylist(), object)
-    gram, n = table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    model = Model({x: (gram[langs == x], n[langs == x]) for x in set(langs.tolist()) if x != UNKNOWN})
-    return calibrated(model, rows)
-
-
-def calibrated(model: Model, rows: DataFrame) -> Model:
-    """Sets the usual cross-entropy of each language and the bound for rejection."""
-    send = rows.sparkSession.sparkContext.broadcast(model)
-    lucky = F.xxhash64("doc_id", F.lit("calibration"))
-    sample = rows.select("doc_id", lucky.alias("h")).orderBy("h", "doc_id").limit(CALIBRATION_ROWS).select("doc_id").distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(lang, n, float(v[send.value.langs.index(lang)])) for lang, (n, v) in zip(batch.column(1).to_pylist(), send.value.scored(batch.column(0)), strict=True) if n and lang in send.value.langs]
-            yield pa.RecordBatch.from_pylist([dict(zip(("lang", "n", "h"), x, strict=True)) for x in out], pa.schema([("lang", pa.string()), ("n", pa.int64()), ("h", pa.float64())]))
-
-    seen = rows.join(F.broadcast(sample), "doc_id", "left_semi").select("text", "lang").mapInArrow(run, "lang string, n long, h double").toArrow().to_pandas()
-    for k, lang in enumerate(model.langs):
-        if len(own := seen[seen["lang"] == lang]):
-            model.usual[k] = np.average(own["h"], weights=np.minimum(own["n"], 500))
-            model.bound[k] = max(8.0, MARGIN * np.quantile(model.excess(np.full(len(own), k), own["h"].to_numpy(), own["n"].to_numpy()), 0.999))
-    return model
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+    held out by ``held_out``, aren't used. What comes to the driver are the
+    counts of a model of up to ``model_cells``, and a row for each language."""
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & ~held_out(F.col("doc_id")))
+    counts = cut(rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    size, langs = counts.agg(F.count("*"), F.count_distinct("lang")).first()
+    if size * langs > model_cells:
+        return calibrated(Tables.of(counts), rows)
+    table = counts.toArrow().combine_chunks()
+    names = table["lang"].combine_chunks().dictionary_encode() if size else pa.array([], pa.string()).dictionary_encode()
+    which, gram, n = names.indices.to_numpy(), table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    return calibrated(Model({x: (gram[which == k], n[which == k]) for k, x in enumerate(names.dictionary.to_pylist())}), rows)
+
+
+def calibrated(model: Model | Tables, rows: DataFrame) -> Trained:
+    """Sets the usual cross-entropy of each language and the bound for rejection, from all ``rows``."""
+    langs = F.array(*map(F.lit, model.langs)).cast("array<string>")
+    own = cut(entropies(rows, model, "lang").where("n > 0").select("lang", "n", F.element_at("h", F.nullif(F.array_position(langs, F.col("lang")).cast("int"), F.lit(0))).alias("h")))
+    weight = F.least("n", F.lit(500))
+    usual = own.groupBy("lang").agg((F.sum(F.col("h") * weight) / F.sum(weight)).alias("usual"))
+    excess = (F.col("h") - F.col("usual")) * F.sqrt("n")
+    found = {r["lang"]: r for r in own.join(F.broadcast(usual), "lang").groupBy("lang").agg(F.first("usual").alias("usual"), F.percentile_approx(excess, 0.999, 100_000).alias("far")).collect()}
+    known = [found.get(x) for x in model.langs]
+    return Trained(model, [r["usual"] if r else 0.0 for r in known], [max(8.0, MARGIN * r["far"]) if r else float("inf") for r in known])
+
+
+def identify(docs: DataFrame, trained: Trained) -> DataFrame:
     """(doc_id, lang_pred, score, entropy, rejected) of ``docs(doc_id, text)``.
 
     lang_pred is the language of the lowest cross-entropy per character (the
@@ -305,14 +359,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     unlikely cross-entropy. Texts are read whole; a repeated row gives a row
     each; other columns are ignored.
     """
-    send = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(_score(lambda: send.value), "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
+    found = entropies(docs, trained.model, "doc_id").withColumn("entropy", F.when(F.col("n") > 0, F.array_min("h")))
+    found = found.withColumn("best", F.coalesce(F.array_position("h", F.col("entropy")), F.lit(0)).cast("int"))
+    known = F.col("best") > 0
+    of = lambda values, kind: F.element_at(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), F.when(known, F.col("best")))
+    behind = F.aggregate("h", F.lit(0.0), lambda total, h: total + F.exp((F.col("entropy") - h) * F.least("n", F.lit(40))))
+    usual, bound = of(trained.usual, "double"), of(trained.bound, "double")
+    far = ((F.col("entropy") - usual) * F.sqrt("n") > bound) & (F.col("entropy") > LEAST_RATIO * usual)
+    return found.select("doc_id", F.coalesce(of(trained.model.langs, "string"), F.lit(UNKNOWN)).alias("lang_pred"), F.when(known, 1 / behind).otherwise(0.0).alias("score"), F.when(known, F.col("entropy")).alias("entropy"), F.coalesce(far, F.lit(True)).alias("rejected"))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is told with confidence, all columns kept."""
-    from netloom.llm.lineage import cut, without_ids
-
     found = identify(docs, train(docs))
     # one row among repeated ids may be rejected for its own text only
     bad = cut(found.groupBy("doc_id").agg(F.bool_and("rejected").alias("rejected")).where("rejected").select("doc_id"))

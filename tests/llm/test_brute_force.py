@@ -347,6 +347,27 @@ def test_language_of_held_out_documents(spark: SparkSession) -> None:
     assert len(rows) > 100 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) >= 0.95
 
 
+def test_a_model_of_tables_gives_the_same(spark: SparkSession) -> None:
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    small, large = language_id.train(docs), language_id.train(docs, model_cells=0)
+    assert isinstance(large.model, language_id.Tables) and isinstance(small.model, language_id.Model)
+    assert np.allclose(small.usual, large.usual, rtol=1e-4) and np.allclose(small.bound, large.bound, rtol=1e-3)
+    odd = spark.createDataFrame([(-1, None), (-2, "12 34"), (-3, "жук"), (-4, "zz жa the")], "doc_id long, text string")
+    texts = docs.select("doc_id", "text").union(odd)
+    got, want = ({r["doc_id"]: r for r in language_id.identify(texts, x).collect()} for x in (large, small))
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        assert (got[k]["lang_pred"], got[k]["rejected"]) == (r["lang_pred"], r["rejected"])
+        assert got[k]["score"] == pytest.approx(r["score"], abs=1e-3) and (r["entropy"] is None or got[k]["entropy"] == pytest.approx(r["entropy"], rel=1e-4))
+
+
+def test_a_model_without_languages(spark: SparkSession) -> None:
+    docs = spark.createDataFrame([(1, "some text", None), (2, None, "en")], "doc_id long, text string, lang string")
+    for cells in (language_id.MODEL_CELLS, -1):
+        assert {tuple(r) for r in language_id.identify(docs, language_id.train(docs, cells)).collect()} == {(1, "und", 0.0, None, True), (2, "und", 0.0, None, True)}
+    assert language_id.accepted(docs).count() == 0
+
+
 def test_foreign_text_is_rejected(spark: SparkSession) -> None:
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     model = language_id.train(docs)
