@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions.health import DOWN, uplink_oper
 from netloom.functions.network import ipv4, ipv6, is_public_asn, network4, network6
-from netloom.operators.paths import distances
+from netloom.operators.paths import nearest
 
 
 def containing(pairs: DataFrame, addresses: DataFrame, networks: DataFrame, lengths: Sequence[int] = tuple(range(8, 33))) -> DataFrame:
@@ -52,11 +52,10 @@ def upstream(edge: DataFrame, gates: DataFrame, links: DataFrame, hops: int = 6)
     """(device, upstream, hops): for each of ``edge(id, site)`` the nearest of
     ``gates(id, site)`` within ``hops`` physical links, of the same site if
     there is one; else the internet."""
-    near = distances(links, edge.select(F.col("id").alias("node")), hops)
-    met = edge.join(near, edge["id"] == near["source"]).select(edge["id"].alias("device"), edge["site"].alias("own"), F.col("node").alias("gate"), F.col("distance"))
-    met = met.join(gates.select(F.col("id").alias("gate"), "site"), "gate")
-    best = met.groupBy("device").agg(F.min_by(F.struct("gate", "distance"), F.struct((F.col("own") != F.col("site")).alias("far"), "distance", "gate")).alias("x"))
-    return edge.select(F.col("id").alias("device")).join(best, "device", "left").select("device", F.coalesce("x.gate", F.lit("internet:0")).alias("upstream"), F.col("x.distance").alias("hops"))
+    near = nearest(links, gates.select(F.col("id").alias("node"), "site"), hops)
+    met = edge.withColumnRenamed("site", "own").join(near, edge["id"] == near["node"])
+    best = met.groupBy("id").agg(F.min_by(F.struct("gate", "distance"), F.struct((~F.col("own").eqNullSafe(F.col("site"))).alias("far"), "distance", "gate")).alias("x"))
+    return edge.join(best, "id", "left").select(F.col("id").alias("device"), F.coalesce("x.gate", F.lit("internet:0")).alias("upstream"), F.col("x.distance").alias("hops"))
 
 
 def external_routers(peers: DataFrame, home: int) -> tuple[DataFrame, DataFrame]:

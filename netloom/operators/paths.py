@@ -18,7 +18,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return sc.getCheckpointDir()
 
 
@@ -42,6 +45,23 @@ def distances(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def nearest(edges: DataFrame, gates: DataFrame, hops: int) -> DataFrame:
+    """(node, site, gate, distance): of each site the nearest of ``gates(node,
+    site)`` to each node within ``hops``, of equals the least. The search goes
+    out from all gates at once and keeps one gate for a node and site, so it
+    grows with nodes and sites, not with pairs of devices and gates."""
+    steps = _cut(both_ways(edges).distinct())
+    seen = frontier = _cut(gates.groupBy("node", "site").agg(F.min("node").alias("gate")).withColumn("distance", F.lit(0)))
+    for d in range(1, hops + 1):
+        near = frontier.join(steps, frontier["node"] == steps["src"]).groupBy(F.col("dst").alias("node"), "site").agg(F.min("gate").alias("gate"))
+        known = seen.select(F.col("node").alias("_node"), F.col("site").alias("_site"))
+        frontier = _cut(near.join(known, (F.col("node") == F.col("_node")) & F.col("site").eqNullSafe(F.col("_site")), "left_anti").withColumn("distance", F.lit(d)))
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
+    return seen
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 15) -> DataFrame:
     """(source, target, distance, path) of ``pairs(source, target)``, of paths of
     one length the one of the least parents; pairs farther apart are left out."""

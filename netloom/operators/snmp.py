@@ -133,8 +133,18 @@ def arp_text(outputs: DataFrame) -> DataFrame:
 
 
 def shard_of(target: Column, shards: int) -> Column:
-    """A stable shard of a target, by the first bytes of its digest."""
-    return F.pmod(F.conv(F.substring(F.md5(target), 1, 8), 16, 10).cast("bigint"), F.lit(shards)).cast("int")
+    """A stable shard of a target, by the first 8 bytes of its digest."""
+    return F.pmod(F.conv(F.substring(F.md5(target), 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(shards).cast("decimal(20,0)")).cast("int")
+
+
+def owners(targets: DataFrame, pollers: DataFrame) -> DataFrame:
+    """(target, poller): the owner of each of ``targets(target)`` is the one of
+    ``pollers(poller)`` whose place in their order is the target's shard. The
+    pollers of a cohort are few; no pollers own nothing."""
+    cohort = sorted(r["poller"] for r in pollers.distinct().collect())
+    if not cohort:
+        return targets.select("target", F.lit(None).cast("string").alias("poller")).limit(0)
+    return targets.select("target", F.element_at(F.array(*map(F.lit, cohort)), shard_of(F.col("target"), len(cohort)) + 1).alias("poller"))
 
 
 def targets(devices: DataFrame, failed: DataFrame, now_ms: int, limit: int = 2000, quiet_ms: int = 600_000) -> DataFrame:

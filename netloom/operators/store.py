@@ -75,11 +75,23 @@ def with_edge_hash(edges: DataFrame) -> DataFrame:
     return edges.withColumn("hash", content_hash(*(F.coalesce(c, F.lit("")) for c in EDGE_KEY), props=F.col("props")))
 
 
+def _folded(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each key: the properties of all its rows, laid over each other
+    in the order of their sources (of equal sources, of their contents), a null
+    removes; and the last source. A property at a time, so keys of very many
+    rows are combined before they are shuffled."""
+    each = rows.select(*key, "source_adapter", canonical_json(F.col("props")).alias("_json"), F.explode_outer(F.map_entries("props")).alias("_e"))
+    order = F.struct("source_adapter", "_json")
+    one = each.groupBy(*key, F.col("_e.key").alias("_name")).agg(F.max_by("_e.value", order).alias("_value"), F.max("source_adapter").alias("source_adapter"))
+    named = F.collect_list(F.when(F.col("_name").isNotNull(), F.struct(F.col("_name").alias("key"), F.col("_value").alias("value"))))
+    return one.groupBy(*key).agg(F.map_from_entries(F.array_sort(named)).alias("props"), F.max("source_adapter").alias("source_adapter"))
+
+
 def upsert_nodes(old: DataFrame, snapshot: DataFrame, now_ms: int) -> DataFrame:
-    """The node table after a snapshot(id, type, props, source_adapter). Of rows
-    with one key the last source by name wins. A device whose status changes
+    """The node table after a snapshot(id, type, props, source_adapter). Rows
+    with one key are laid over each other in the order of their sources. A device whose status changes
     gets ``status_changed_at``."""
-    new = with_node_hash(snapshot.groupBy(*NODE_KEY).agg(F.max_by("props", "source_adapter").alias("props"), F.max("source_adapter").alias("source_adapter")))
+    new = with_node_hash(_folded(snapshot, NODE_KEY))
     before, after = F.col("o.props")["status"], F.col("n.props")["status"]
     moved = (F.coalesce("n.type", "o.type") == "Device") & after.isNotNull() & F.col("o.hash").isNotNull() & ~before.eqNullSafe(after)
     stamped = F.when(moved, F.lit(now_ms)).otherwise(F.col("o.status_changed_at"))
@@ -94,7 +106,7 @@ def upsert_edges(old: DataFrame, snapshot: DataFrame, nodes: DataFrame, now_ms:
     rows = oriented(snapshot).withColumns({c: F.when(cable, F.coalesce(c, F.lit(""))) for c in ("interface_a", "interface_b")})
     known = nodes.select("id").distinct()
     rows = rows.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    new = with_edge_hash(rows.groupBy(*EDGE_KEY).agg(F.max_by("props", "source_adapter").alias("props"), F.max("source_adapter").alias("source_adapter")))
+    new = with_edge_hash(_folded(rows, EDGE_KEY))
     return _upsert(old, new, EDGE_KEY, now_ms)
 
 

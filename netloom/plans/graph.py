@@ -10,9 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The sparse topology for path queries.
-SPARSE = "l_linenumber = 1 AND o_orderkey % 20 = 0"
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -40,17 +37,18 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 LINES = """lines AS (SELECT *, 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
-def sparse(spark: SparkSession, folder: str) -> DataFrame:
-    return lines(spark, folder).where(SPARSE).select("src", "dst").distinct()
+def topology(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs that any order line links, once each."""
+    return lines(spark, folder).select("src", "dst").distinct()
 
 
-SPARSE_SQL = f"{LINES}, sparse AS (SELECT DISTINCT src, dst FROM lines WHERE {SPARSE}), steps AS (SELECT src, dst FROM sparse UNION SELECT dst, src FROM sparse)"
+STEPS = f"{LINES}, pairs AS MATERIALIZED (SELECT DISTINCT src, dst FROM lines), steps AS MATERIALIZED (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs)"
 
 
 def links(spark: SparkSession, folder: str) -> DataFrame:
-    """(rid, src, dst, interface_a, interface_b, proto, confidence) of every fortieth order's lines."""
+    """(rid, src, dst, interface_a, interface_b, proto, confidence) of the order lines."""
     proto = F.element_at(F.array(*map(F.lit, ("lldp", "cdp", "mac_correlation", "arp_correlation", "catc_topology"))), (F.col("l_partkey") % 5 + 1).cast("int"))
-    rows = lines(spark, folder).where("o_orderkey % 40 = 0").select(
+    rows = lines(spark, folder).select(
         (F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("rid"), "src", "dst",
         F.concat(F.lit("Gi0/"), "l_linenumber").alias("interface_a"), F.concat(F.lit("Eth1/"), F.col("l_partkey") % 4).alias("interface_b"),
         proto.alias("proto"), (F.col("l_quantity") / 100).alias("confidence"),
@@ -62,7 +60,7 @@ LINKS = f"""{LINES}, links AS (
   SELECT rid, min(src) AS src, min(dst) AS dst, min(interface_a) AS interface_a, min(interface_b) AS interface_b, min(proto) AS proto, min(confidence) AS confidence FROM (
     SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS rid, src, dst, 'Gi0/' || l_linenumber AS interface_a, 'Eth1/' || (l_partkey % 4) AS interface_b,
       ['lldp', 'cdp', 'mac_correlation', 'arp_correlation', 'catc_topology'][l_partkey % 5 + 1] AS proto, l_quantity / 100 AS confidence
-    FROM lines WHERE o_orderkey % 40 = 0) GROUP BY rid)"""
+    FROM lines) GROUP BY rid)"""
 
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:

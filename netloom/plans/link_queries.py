@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions.network import ipv4_text, network4
 from netloom.operators import decorate, links as L, paths, resolve
 from netloom.plans.catalog import query
-from netloom.plans.graph import DEVICES, LINES, LINKS, SPARSE_SQL, devices, lines, links, sparse, table
+from netloom.plans.graph import DEVICES, LINES, LINKS, STEPS, devices, lines, links, table, topology
 
 _PRIO = "CASE proto WHEN 'lldp' THEN 100 WHEN 'cdp' THEN 95 WHEN 'catc_topology' THEN 85 WHEN 'mac_correlation' THEN 50 WHEN 'arp_correlation' THEN 30 ELSE 0 END"
 _LONG = "CASE WHEN {0} LIKE 'Gi%' THEN 'GigabitEthernet' || substr({0}, 3) WHEN {0} LIKE 'Eth%' THEN 'Ethernet' || substr({0}, 4) ELSE {0} END"
@@ -117,45 +117,43 @@ def longest_prefix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("k_hop", f"""
-WITH RECURSIVE {SPARSE_SQL}, walk AS (SELECT 's1' AS node, 0 AS d UNION SELECT t.dst, d + 1 FROM walk w JOIN steps t ON t.src = w.node WHERE d < 4)
+WITH RECURSIVE {STEPS}, walk AS (SELECT 's1' AS node, 0 AS d UNION SELECT t.dst, d + 1 FROM walk w JOIN steps t ON t.src = w.node WHERE d < 4)
 SELECT node, min(d) AS distance FROM walk GROUP BY node""")
 def k_hop(spark: SparkSession, folder: str) -> DataFrame:
     start = spark.createDataFrame([("s1",)], "node string")
-    return paths.distances(sparse(spark, folder), start, 4).select("node", "distance")
+    return paths.distances(topology(spark, folder), start, 4).select("node", "distance")
 
 
 _PAIRS = [("s1", "s2"), ("s1", "s5"), ("s3", "s8"), ("s2", "nowhere")]
 
 
 @query("shortest_path", f"""
-WITH RECURSIVE {SPARSE_SQL}, starts AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _PAIRS)}) v(source, target)),
+WITH RECURSIVE {STEPS}, starts AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _PAIRS)}) v(source, target)),
 walk AS (SELECT DISTINCT source, source AS node, 0 AS d FROM starts UNION SELECT w.source, t.dst, d + 1 FROM walk w JOIN steps t ON t.src = w.node WHERE d < 15)
 SELECT source, target, min(d) AS distance, min(d) + 1 AS nodes FROM walk JOIN starts USING (source) WHERE node = target GROUP BY source, target""")
 def shortest_path(spark: SparkSession, folder: str) -> DataFrame:
     pairs = spark.createDataFrame(_PAIRS, "source string, target string")
-    return paths.shortest_paths(sparse(spark, folder), pairs).select("source", "target", "distance", F.size("path").alias("nodes"))
+    return paths.shortest_paths(topology(spark, folder), pairs).select("source", "target", "distance", F.size("path").alias("nodes"))
 
 
-@query("link_components", f"""
-WITH RECURSIVE {SPARSE_SQL}, reach AS (SELECT src AS node, dst AS other FROM steps UNION SELECT r.node, t.dst FROM reach r JOIN steps t ON t.src = r.other)
-SELECT node, least(node, min(other)) AS component FROM reach GROUP BY node""")
+@query("link_components")
 def link_components(spark: SparkSession, folder: str) -> DataFrame:
-    return paths.components(sparse(spark, folder))
+    return paths.components(topology(spark, folder))
 
 
 @query("wan_upstream_bfs", f"""
-WITH RECURSIVE {SPARSE_SQL}, {DEVICES}, gates AS (SELECT id, nation FROM devices WHERE source_adapter = 's' AND nation < 8),
+WITH RECURSIVE {STEPS}, {DEVICES}, gates AS (SELECT id, nation FROM devices WHERE source_adapter = 's' AND nation < 8),
 edge AS (SELECT id, nation FROM devices WHERE source_adapter = 'c' AND nation % 4 = 0 AND id IN (SELECT src FROM steps)),
-walk AS (SELECT id AS source, id AS node, 0 AS d FROM edge UNION SELECT w.source, t.dst, d + 1 FROM walk w JOIN steps t ON t.src = w.node WHERE d < 6),
-hops AS (SELECT source, node, min(d) AS d FROM walk GROUP BY ALL),
-best AS (SELECT e.id, g.id AS upstream, h.d, row_number() OVER (PARTITION BY e.id ORDER BY (e.nation = g.nation) DESC, h.d, g.id) AS k FROM edge e JOIN hops h ON h.source = e.id JOIN gates g ON g.id = h.node)
+walk AS (SELECT id AS gate, id AS node, 0 AS d FROM gates UNION SELECT w.gate, t.dst, d + 1 FROM walk w JOIN steps t ON t.src = w.node WHERE d < 6),
+hops AS (SELECT gate, node, min(d) AS d FROM walk GROUP BY ALL),
+best AS (SELECT e.id, g.id AS upstream, h.d, row_number() OVER (PARTITION BY e.id ORDER BY (e.nation = g.nation) DESC, h.d, g.id) AS k FROM edge e JOIN hops h ON h.node = e.id JOIN gates g ON g.id = h.gate)
 SELECT e.id AS device, coalesce(upstream, 'internet:0') AS upstream, d AS hops FROM edge e LEFT JOIN best b ON b.id = e.id AND k = 1""")
 def wan_upstream_bfs(spark: SparkSession, folder: str) -> DataFrame:
     known = devices(spark, folder)
-    topology = sparse(spark, folder)
-    edge = known.where("source_adapter = 'c' and nation % 4 = 0").join(topology.select(F.col("src").alias("id")).union(topology.select("dst")).distinct(), "id", "left_semi").select("id", F.col("nation").alias("site"))
+    steps = topology(spark, folder)
+    edge = known.where("source_adapter = 'c' and nation % 4 = 0").join(steps.select(F.col("src").alias("id")).union(steps.select("dst")).distinct(), "id", "left_semi").select("id", F.col("nation").alias("site"))
     gates = known.where("source_adapter = 's' and nation < 8").select("id", F.col("nation").alias("site"))
-    return decorate.upstream(edge, gates, topology).select("device", "upstream", "hops")
+    return decorate.upstream(edge, gates, steps).select("device", "upstream", "hops")
 
 
 @query("stub_merge_by_name", f"""
@@ -172,12 +170,12 @@ def stub_merge_by_name(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("stub_absorb", f"""
-WITH {LINES}, e AS (SELECT DISTINCT src, dst, 'Gi' || l_linenumber AS ia, 'Te' || (l_partkey % 3) AS ib FROM lines WHERE o_orderkey % 30 = 0),
+WITH {LINES}, e AS (SELECT DISTINCT src, dst, 'Gi' || l_linenumber AS ia, 'Te' || (l_partkey % 3) AS ib FROM lines),
 m AS (SELECT 's' || s_suppkey AS stub, 's' || (s_suppkey + 1) AS real_id FROM supplier WHERE s_suppkey % 4 = 0),
 t AS (SELECT src AS s, coalesce(real_id, dst) AS d, ia, ib FROM e LEFT JOIN m ON m.stub = e.dst)
 SELECT DISTINCT s AS src, d AS dst, ia AS interface_a, ib AS interface_b FROM t WHERE s <> d""")
 def stub_absorb(spark: SparkSession, folder: str) -> DataFrame:
-    e = lines(spark, folder).where("o_orderkey % 30 = 0").select("src", "dst", F.concat(F.lit("Gi"), "l_linenumber").alias("interface_a"), F.concat(F.lit("Te"), F.col("l_partkey") % 3).alias("interface_b"), F.lit("PHYSICAL_LINK").alias("type"), F.lit("snmp").alias("source_adapter"))
+    e = lines(spark, folder).select("src", "dst", F.concat(F.lit("Gi"), "l_linenumber").alias("interface_a"), F.concat(F.lit("Te"), F.col("l_partkey") % 3).alias("interface_b"), F.lit("PHYSICAL_LINK").alias("type"), F.lit("snmp").alias("source_adapter"))
     m = table(spark, folder, "supplier").where("s_suppkey % 4 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("stub"), F.concat(F.lit("s"), F.col("s_suppkey") + 1).alias("canonical"))
     return resolve.absorb(e, m).select("src", "dst", "interface_a", "interface_b")
 

@@ -188,10 +188,10 @@ def absorbed_prefixes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("adjacency_collapse", f"""
-WITH {LINES}, s AS (SELECT DISTINCT src, dst, l_shipdate > TIMESTAMP '1996-01-01' AS up FROM lines WHERE o_orderkey % 20 = 0)
+WITH {LINES}, s AS (SELECT DISTINCT src, dst, l_shipdate > TIMESTAMP '1996-01-01' AS up FROM lines)
 SELECT src, dst, CASE WHEN bool_or(up) THEN 'up' ELSE 'down' END AS state FROM s GROUP BY src, dst""")
 def adjacency_collapse(spark: SparkSession, folder: str) -> DataFrame:
-    rows = lines(spark, folder).where("o_orderkey % 20 = 0")
+    rows = lines(spark, folder)
     state = F.when(F.col("l_shipdate") > F.lit("1996-01-01").cast("timestamp_ntz"), "Established").otherwise("idle")
     turn = F.col("l_linenumber") % 2 == 0
     pick = lambda a, b: F.when(turn, F.col(b)).otherwise(F.col(a))
@@ -201,10 +201,10 @@ def adjacency_collapse(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("gc_orphans", f"""
-WITH {LINES}, {DEVICES} SELECT id FROM devices WHERE source_adapter = 'c' AND nation < 10 AND id NOT IN (SELECT src FROM lines WHERE o_orderkey % 10 = 0)""")
+WITH {LINES}, {DEVICES} SELECT id FROM devices WHERE source_adapter = 'c' AND nation < 10 AND id NOT IN (SELECT src FROM lines WHERE l_returnflag = 'R' AND l_discount > 0.08)""")
 def gc_orphans(spark: SparkSession, folder: str) -> DataFrame:
     nodes = devices(spark, folder).select("id", F.lit("Device").alias("type"), ((F.col("source_adapter") == "c") & (F.col("nation") < 10)).alias("stub"))
-    return housekeeping.orphans(nodes, lines(spark, folder).where("o_orderkey % 10 = 0").select("src", "dst")).select("id")
+    return housekeeping.orphans(nodes, lines(spark, folder).where("l_returnflag = 'R' and l_discount > 0.08").select("src", "dst")).select("id")
 
 
 @query("reverse_link_collapse", f"""

@@ -88,8 +88,17 @@ def ip_expressions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("shard_targets", """
-SELECT s_suppkey AS target, CAST(('0x' || substr(md5(s_name), 1, 8))::BIGINT % 4 AS INTEGER) AS shard FROM supplier""")
+SELECT s_suppkey AS target, CAST(('0x' || substr(md5(s_name), 1, 16))::UBIGINT % 4 AS INTEGER) AS shard FROM supplier""")
 def shard_targets(spark: SparkSession, folder: str) -> DataFrame:
     from netloom.operators.snmp import shard_of
 
     return table(spark, folder, "supplier").select(F.col("s_suppkey").alias("target"), shard_of(F.col("s_name"), 4).alias("shard"))
+
+
+@query("shard_owners", """
+SELECT s_name AS target, 'poller-' || ('0x' || substr(md5(s_name), 1, 16))::UBIGINT % 3 AS poller FROM supplier""")
+def shard_owners(spark: SparkSession, folder: str) -> DataFrame:
+    from netloom.operators.snmp import owners
+
+    pollers = spark.createDataFrame([(f"poller-{k}",) for k in (2, 0, 1)], "poller string")
+    return owners(table(spark, folder, "supplier").select(F.col("s_name").alias("target")), pollers)

@@ -56,7 +56,7 @@ def content_hash_skip(spark: SparkSession, folder: str) -> DataFrame:
 
 def _edges(spark: SparkSession, folder: str, where: str) -> DataFrame:
     """Order lines as cables, from the supplier on even lines; most have known ends."""
-    rows = lines(spark, folder).where("o_orderkey % 10 = 0").where(where)
+    rows = lines(spark, folder).where(where)
     swap = F.col("l_linenumber") % 2 == 0
     a, b = F.concat(F.lit("Gi"), "l_linenumber"), F.concat(F.lit("Te"), F.col("l_partkey") % 3)
     return rows.select(
@@ -71,7 +71,7 @@ def _edges_sql(name: str, where: str) -> str:
     raw = f"""SELECT CASE WHEN l_linenumber % 2 = 0 THEN dst ELSE src END AS s, CASE WHEN l_linenumber % 2 = 0 THEN src ELSE dst END AS d,
     CASE WHEN l_partkey % 2 = 0 THEN 'PHYSICAL_LINK' ELSE 'ROUTES_TO' END AS type,
     CASE WHEN l_linenumber % 2 = 0 THEN 'Te' || (l_partkey % 3) ELSE 'Gi' || l_linenumber END AS ia, CASE WHEN l_linenumber % 2 = 0 THEN 'Gi' || l_linenumber ELSE 'Te' || (l_partkey % 3) END AS ib
-    FROM lines WHERE o_orderkey % 10 = 0 AND {where}"""
+    FROM lines WHERE {where}"""
     return f"""{name} AS (SELECT DISTINCT type,
     CASE WHEN type = 'PHYSICAL_LINK' THEN least(s, d) ELSE s END AS src, CASE WHEN type = 'PHYSICAL_LINK' THEN greatest(s, d) ELSE d END AS dst,
     CASE WHEN type = 'PHYSICAL_LINK' THEN CASE WHEN s > d THEN ib ELSE ia END END AS interface_a, CASE WHEN type = 'PHYSICAL_LINK' THEN CASE WHEN s > d THEN ia ELSE ib END END AS interface_b
@@ -125,17 +125,17 @@ def intent_delta(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("reconcile_missing", """
-SELECT DISTINCT l_suppkey AS device, 'Gi' || l_linenumber AS name FROM lineitem WHERE l_quantity > 45 AND l_orderkey % 20 = 0
-EXCEPT SELECT DISTINCT l_suppkey, 'Gi' || l_linenumber FROM lineitem WHERE l_discount > 0.05 AND l_quantity <= 20 AND l_orderkey % 20 = 1""")
+SELECT DISTINCT l_suppkey AS device, 'Gi' || l_linenumber || '/' || l_partkey % 50 AS name FROM lineitem WHERE l_quantity > 45
+EXCEPT SELECT DISTINCT l_suppkey, 'Gi' || l_linenumber || '/' || l_partkey % 50 FROM lineitem WHERE l_discount > 0.05 AND l_quantity <= 20""")
 def reconcile_missing(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("device"), F.concat(F.lit("Gi"), "l_linenumber").alias("name"), "l_quantity", "l_discount", "l_orderkey")
-    return reconcile.missing_interfaces(rows.where("l_quantity > 45 and l_orderkey % 20 = 0"), rows.where("l_discount > 0.05 and l_quantity <= 20 and l_orderkey % 20 = 1").withColumn("name", F.upper("name")))
+    rows = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("device"), F.concat(F.lit("Gi"), "l_linenumber", F.lit("/"), F.col("l_partkey") % 50).alias("name"), "l_quantity", "l_discount")
+    return reconcile.missing_interfaces(rows.where("l_quantity > 45"), rows.where("l_discount > 0.05 and l_quantity <= 20").withColumn("name", F.upper("name")))
 
 
 @query("absent_devices", f"""
-WITH {DEVICES} SELECT id, name FROM devices WHERE NOT EXISTS (SELECT 1 FROM orders WHERE 'c' || o_custkey = id AND o_orderkey % 10 = 0) AND source_adapter = 'c'""")
+WITH {DEVICES} SELECT id, name FROM devices WHERE NOT EXISTS (SELECT 1 FROM orders WHERE 'c' || o_custkey = id AND o_orderpriority = '1-URGENT') AND source_adapter = 'c'""")
 def absent_devices(spark: SparkSession, folder: str) -> DataFrame:
-    seen = table(spark, folder, "orders").where("o_orderkey % 10 = 0").select(F.concat(F.lit("c"), "o_custkey").alias("id"))
+    seen = table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("c"), "o_custkey").alias("id"))
     return reconcile.absent(devices(spark, folder).where("source_adapter = 'c'").select("id", "name"), seen)
 
 

@@ -47,10 +47,10 @@ def flaps(rows: DataFrame) -> DataFrame:
     return rows.withWatermark("ts", "2 hours").groupBy("element").applyInPandasWithState(_forget, "element long, at long, state string", "last string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run(rows: DataFrame, folder: str, mode: str) -> DataFrame:
+def run(rows: DataFrame, folder: str, mode: str, key: tuple[str, ...] = ()) -> DataFrame:
     """Runs a stream to the end of its input; each batch is written under its
-    number, so a repeated batch replaces itself. Returns the rows: of all
-    batches, or of the last one in complete mode."""
+    number, so a repeated batch replaces itself. Returns the rows of all
+    batches; in update mode the last of each ``key``."""
     spark = rows.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
@@ -59,8 +59,9 @@ def run(rows: DataFrame, folder: str, mode: str) -> DataFrame:
     q = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
     out = spark.read.parquet(f"{folder}/out").drop("n")
-    if mode == "complete":
-        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    if mode == "update":
+        values = [c for c in out.columns if c not in (*key, "batch")]
+        out = out.groupBy(*key).agg(*(F.max_by(c, "batch").alias(c) for c in values))
     return out.drop("batch")
 
 
@@ -73,7 +74,7 @@ def upserted(rows: DataFrame, folder: str) -> DataFrame:
     def merge(batch: DataFrame, number: int) -> None:
         last = F.row_number().over(Window.partitionBy("element").orderBy(F.desc("at"), F.desc("event_id")))
         seen = F.count("*").over(Window.partitionBy("element"))
-        new = batch.withColumns({"_n": last, "seen": seen}).where("_n = 1").select(F.col("element").cast("string").alias("id"), "state", "seen", "at")
+        new = batch.withColumns({"_n": last, "seen": seen}).where("_n = 1").select(F.col("element").cast("string").alias("id"), "state", "seen", F.struct("at", "event_id").alias("at"))
         if number:
             old = spark.read.parquet(f"{folder}/v={number - 1}")
             both = old.union(new.select(*old.columns))
