@@ -92,8 +92,10 @@ def is_useful_ip(text: Column) -> Column:
 
 
 def is_pollable(text: Column) -> Column:
-    """An IPv4 or IPv6 address that a poller may contact."""
-    return is_useful_ip(text)
+    """An address that a poller may contact: neither loopback, link-local nor unspecified."""
+    bad4 = in_range4(text, "0.0.0.0", 32) | in_range4(text, "127.0.0.0", 8) | in_range4(text, "169.254.0.0", 16)
+    bad6 = F.coalesce(ipv6(text).rlike("^(0{31}[01]|fe[89ab])"), F.lit(False))
+    return F.coalesce(ip_version(text).isNotNull() & ~bad4 & ~bad6, F.lit(False))
 
 
 def is_public_asn(asn: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from netloom.functions.health import DOWN, uplink_oper
 from netloom.functions.network import ipv4, ipv6, is_public_asn, network4, network6
 from netloom.operators.paths import nearest
+from netloom.operators.summary import dominant_slug
 
 
 def containing(pairs: DataFrame, addresses: DataFrame, networks: DataFrame, lengths: Sequence[int] = tuple(range(8, 33))) -> DataFrame:
@@ -124,10 +125,10 @@ def stp_topology(links: DataFrame, membership: DataFrame) -> DataFrame:
 
 def canonical_vlans(members: DataFrame) -> DataFrame:
     """(canonical, vid, name, devices) of ``members(device, vid, name, site_slug,
-    platform_site)``: one VLAN for each site and number; the least slug of a
-    platform site counts, without one the platform site itself."""
+    platform_site)``: one VLAN for each site and number; the most frequent slug
+    of a platform site's devices counts, without one the platform site itself."""
     rows = members.where(F.col("vid").between(1, 4094))
-    slugs = rows.where("site_slug <> ''").groupBy(F.col("platform_site").alias("_p")).agg(F.min("site_slug").alias("_slug"))
+    slugs = dominant_slug(rows.where("site_slug <> ''").select("device", "platform_site", F.col("site_slug").alias("slug")).distinct()).select(F.col("platform_site").alias("_p"), F.col("slug").alias("_slug"))
     rows = rows.join(slugs, F.col("platform_site") == F.col("_p"), "left")
     key = F.when(F.coalesce("site_slug", "_slug").isNotNull(), F.concat_ws(":", F.lit("vlan:nb"), F.coalesce("site_slug", "_slug"), "vid")).otherwise(F.concat_ws(":", F.lit("vlan"), "platform_site", "vid"))
     return rows.groupBy(key.alias("canonical"), "vid").agg(F.min("name").alias("name"), F.sort_array(F.collect_set("device")).alias("devices"))
@@ -168,7 +169,8 @@ def match_peers(peers: DataFrame, devices: DataFrame) -> DataFrame:
     address, then management address, then candidates; all keys are one table,
     so the match is one equality join. ``devices(id, ips, mgmt_ip, candidate_ips)``."""
     none = F.array().cast("array<string>")
-    keys = F.concat(*(F.transform(F.coalesce(c, none), lambda x, k=k: F.struct(x.alias("ip"), F.lit(k).alias("rank"))) for k, c in enumerate(("ips", F.array("mgmt_ip"), "candidate_ips"))))
+    ranked = lambda column, rank: F.transform(F.coalesce(column, none), lambda x: F.struct(x.alias("ip"), F.lit(rank).alias("rank")))
+    keys = F.concat(ranked("ips", 0), ranked(F.array("mgmt_ip"), 1), ranked("candidate_ips", 2))
     table = devices.select("id", F.explode(keys).alias("k")).select("id", "k.*").where("ip is not null").groupBy("ip").agg(F.min_by("id", F.struct("rank", "id")).alias("remote_device"))
     return peers.join(table.withColumnRenamed("ip", "peer_ip"), "peer_ip", "left")
 

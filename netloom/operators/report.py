@@ -7,23 +7,35 @@ from pyspark.sql import functions as F
 
 from netloom.functions.health import DOWN, staleness
 from netloom.functions.names import host_label, mac
+from netloom.operators.summary import located_under, locate_address
 
-# fixed values: edge types of the overlays
+# fixed values: edge types of the overlays, and of the older dimensions
 OVERLAYS = {
-    "physical": ("PHYSICAL_LINK",),
-    "l2": ("PHYSICAL_LINK", "LOGICAL_MEMBER", "STP_LINK", "STP_MEMBER", "STP_ROOT"),
-    "l3": ("ROUTES_TO", "HAS_PREFIX", "ASSIGNED_IP", "HAS_SVI"),
-    "routing": ("ROUTING_PEER", "BGP_PEER", "AS_PEER"),
+    "physical": ("PHYSICAL_LINK", "HAS_INTERFACE"),
+    "l2": ("PHYSICAL_LINK", "LOGICAL_MEMBER", "HAS_SVI", "STP_MEMBER", "STP_ROOT", "STP_LINK"),
+    "l3": ("PHYSICAL_LINK", "ROUTES_TO", "BGP_PEER", "VRF_MEMBER", "ROUTING_PEER", "ASSIGNED_IP"),
     "sdwan": ("SDWAN_TUNNEL", "POLICY_APPLIES"),
+    "fabric": ("VNI_EXTENDS", "FABRIC_PEER", "VNI_MEMBER"),
+    "virtual": ("HAS_VM", "VM_NETWORK"),
     "wan": ("WAN_UPLINK", "TRANSITS"),
-    "virtual": ("HAS_VM", "VM_NETWORK", "VNI_MEMBER", "VNI_EXTENDS", "FABRIC_PEER"),
 }
-TRANSIT = ("PHYSICAL_LINK", "ROUTING_PEER", "WAN_UPLINK", "VXLAN_TUNNEL")
+DIMENSIONS = {
+    "physical": OVERLAYS["physical"],
+    "logical": ("LOGICAL_MEMBER", "HAS_SVI", "ASSIGNED_IP", "VRF_MEMBER"),
+    "routing": OVERLAYS["l3"],
+    "fabric": OVERLAYS["fabric"],
+    "sdwan": OVERLAYS["sdwan"],
+    "virtual": ("HAS_VM", "VM_NETWORK", "LOGICAL_MEMBER", "HAS_SVI", "VNI_MEMBER"),
+    "stp": ("STP_MEMBER", "STP_ROOT", "STP_LINK"),
+    "wan": OVERLAYS["wan"],
+}
+HIDDEN = ("Interface", "MACAddress", "ARPEntry", "STPDomain", "Site", "Location")
 SEVERITIES = ("critical", "warning", "info")
 
 
-def overlay_types(*overlays: str) -> list[str]:
-    return sorted({t for o in overlays for t in OVERLAYS[o]})
+def overlay_types(*overlays: str, dimension: str | None = None) -> list[str]:
+    """Edge types of the union of overlays; without any, of a dimension."""
+    return sorted({t for o in overlays for t in OVERLAYS[o]} if overlays else DIMENSIONS.get(dimension, ()))
 
 
 def counts_by_type(rows: DataFrame, types: list[str]) -> DataFrame:
@@ -36,16 +48,21 @@ def provenance(links: DataFrame) -> DataFrame:
     return links.groupBy(F.coalesce("proto", "source", F.lit("unknown")).alias("origin")).agg(F.count("*").alias("n"))
 
 
-def full_graph(nodes: DataFrame, edges: DataFrame, overlays: list[str], site: str | None = None, limit: int = 2000, hidden: tuple[str, ...] = ("MACAddress", "ARPEntry", "Interface")) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of some overlays: without hidden types, merged stubs and
-    absorbed prefixes, at one site if asked, at most ``limit`` edges in the order
-    of their keys. Physical links among the shown nodes always come along."""
+def full_graph(nodes: DataFrame, edges: DataFrame, overlays: list[str], site: str | None = None, placed: DataFrame | None = None, limit: int = 2000, dimension: str | None = None, hidden: tuple[str, ...] = HIDDEN) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of some overlays, or of a dimension: without hidden types,
+    merged stubs and absorbed prefixes, at most ``limit`` edges in the order of
+    their keys. With ``site`` an edge's source must be of the site, or lie under
+    it within three steps of ``placed(id, parent)``. Physical links among the
+    shown nodes always come along."""
     shown = nodes.where(~F.col("type").isin(*hidden) & F.col("canonical_id").isNull() & F.col("absorbed_by").isNull())
-    if site is not None:
-        shown = shown.where((F.col("site") == site) | (F.col("type") == "Site") & (F.col("id") == site))
     ids = shown.select("id")
     inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    main = inside.where(F.col("type").isin(*overlay_types(*overlays))).orderBy("type", "src", "dst").limit(limit)
+    if site is not None:
+        local = nodes.where(F.col("site") == site).select("id")
+        local = local if placed is None else local.union(located_under(placed, site)).distinct()
+        inside = inside.join(local.withColumnRenamed("id", "src"), "src", "left_semi")
+    key = ["type", "src", "dst", *(c for c in ("interface_a", "interface_b", "rid") if c in edges.columns)]
+    main = inside.where(F.col("type").isin(*overlay_types(*overlays, dimension=dimension))).orderBy(*key).limit(limit)
     spine = inside.where(F.col("type") == "PHYSICAL_LINK")
     kept = main.union(spine.select(*main.columns)).distinct()
     ends = kept.select(F.col("src").alias("id")).union(kept.select("dst")).distinct()
@@ -91,14 +108,10 @@ def correlated_cam(learned: DataFrame, owned: DataFrame, bindings: DataFrame) ->
 def mac_lookup(learned: DataFrame, owned: DataFrame, bindings: DataFrame, address: str, limit: int = 50) -> DataFrame:
     """``correlated_cam`` of one address; the filter comes before the joins."""
     want = lambda d: d.where(mac(F.col("mac")) == mac(F.lit(address)))
-    return correlated_cam(want(learned), want(owned), want(bindings)).limit(limit)
+    return correlated_cam(want(learned), want(owned), want(bindings)).orderBy("mac").limit(limit)
 
 
-def ip_lookup(addresses: DataFrame, prefixes: DataFrame, text: str) -> DataFrame:
-    """Devices of an address, or of a prefix if ``text`` is one."""
-    if "/" in text:
-        return prefixes.where(F.coalesce("cidr", "prefix") == text)
-    return addresses.where(F.col("ip") == text)
+ip_lookup = locate_address
 
 
 def mac_table(learned: DataFrame, device: str | None = None, address: str | None = None, limit: int = 500) -> DataFrame:

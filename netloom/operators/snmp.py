@@ -48,7 +48,7 @@ def interfaces(walk: DataFrame) -> DataFrame:
     """One row for each interface with the columns of ``IF_COLUMNS``."""
     parts = F.regexp_extract("oid", r"^(.*)\.(\d+)$", 1)
     rows = walk.select("device", F.element_at(F.create_map(*[F.lit(x) for kv in IF_COLUMNS.items() for x in kv]), parts).alias("c"), F.regexp_extract("oid", r"(\d+)$", 1).cast("bigint").alias("ifindex"), "value").where("c is not null")
-    wide = rows.groupBy("device", "ifindex").pivot("c", list(IF_COLUMNS.values())).agg(F.first("value"))
+    wide = rows.groupBy("device", "ifindex").pivot("c", list(IF_COLUMNS.values())).agg(F.min("value"))
     state = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv]), F.col(c))
     return wide.select("device", "ifindex", F.coalesce("name", "descr").alias("name"), F.col("speed_mbps").try_cast("bigint").alias("speed_mbps"), state("admin").alias("admin_status"), state("oper").alias("oper_status"))
 

@@ -139,7 +139,7 @@ def vlan_inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("vlan_canonicalise", f"""
 WITH {DEVICES}, m AS (SELECT id, CAST(substr(id, 2) AS BIGINT) % 12 + 1 AS vid, 'ps' || nation AS ps, CASE WHEN nation % 3 = 0 AND source_adapter = 's' THEN 'slug' || nation END AS slug FROM devices),
-s AS (SELECT ps, min(slug) AS s FROM m GROUP BY ps)
+s AS (SELECT ps, mode(slug ORDER BY slug) AS s FROM m GROUP BY ps)
 SELECT CASE WHEN coalesce(slug, s) IS NOT NULL THEN 'vlan:nb:' || coalesce(slug, s) || ':' || vid ELSE 'vlan:' || m.ps || ':' || vid END AS canonical, vid, count(DISTINCT id) AS n FROM m JOIN s USING (ps) GROUP BY 1, 2""")
 def vlan_canonicalise(spark: SparkSession, folder: str) -> DataFrame:
     k = F.substr("id", F.lit(2)).cast("bigint")

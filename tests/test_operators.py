@@ -94,3 +94,21 @@ def test_chain_of_shared_ports(spark: SparkSession) -> None:
     e = spark.createDataFrame([("a", "b"), ("c", "b"), ("d", "e")], "src string, dst string")
     assert {(r["node"], r["component"]) for r in paths.components(e).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")}
     assert paths.components(e.where(F.lit(False))).count() == 0
+
+
+def test_sources_of_one_node_are_laid_over_each_other(spark: SparkSession) -> None:
+    schema = "id string, type string, props map<string,string>, source_adapter string"
+    empty = spark.createDataFrame([], schema + ", first_seen bigint, last_seen bigint, hash string, status_changed_at bigint")
+    rows = [("n", "Device", {"a": "1", "b": "2"}, "m"), ("n", "Device", {"b": "3", "c": None}, "x"), ("n", "Device", {"c": "9", "d": "4"}, "m"), ("n", "Device", {"c": "9", "d": "4"}, "m"), ("p", "Device", None, "m")]
+    got = {r["id"]: r for r in store.upsert_nodes(empty, spark.createDataFrame(rows, schema), 1).collect()}
+    assert {k: v for k, v in got["n"]["props"].items() if v is not None} == {"a": "1", "b": "3", "d": "4"} and got["n"]["source_adapter"] == "x"
+    assert got.keys() == {"n", "p"} and got["p"]["props"] == {}
+
+
+def test_upstream_prefers_the_own_site(spark: SparkSession) -> None:
+    steps = spark.createDataFrame([("e", "m"), ("m", "g1"), ("m", "x"), ("x", "g2"), ("f", "g1")], "src string, dst string")
+    gates = spark.createDataFrame([("g1", 1), ("g2", 2)], "id string, site int")
+    edge = spark.createDataFrame([("e", 2), ("f", 3), ("lost", 1)], "id string, site int")
+    got = {tuple(r) for r in decorate.upstream(edge, gates, steps).collect()}
+    assert got == {("e", "g2", 3), ("f", "g1", 1), ("lost", "internet:0", None)}
+    assert {tuple(r) for r in decorate.upstream(edge, gates, steps, hops=2).collect()} == {("e", "g1", 2), ("f", "g1", 1), ("lost", "internet:0", None)}
