@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.components import components
@@ -142,8 +142,10 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     confirmed on the full sets of ``docs(doc_id, text)``; they join the same
     components as all links do."""
     key = F.explode(F.slice("signature", 1, COORDINATES - MATCHES + 1)).alias("key")
-    length = F.count("*").over(Window.partitionBy("key"))
-    shared = cut_narrow(classes.select("id", "n", key).withColumn("length", length).where("length > 1"))
+    posted = classes.select("id", "n", key)
+    # lengths are combined before they are shuffled, and Spark splits the join where a list is very long
+    lengths = cut_narrow(posted.groupBy("key").agg(F.count("*").alias("length")).where("length > 1"))
+    shared = cut_narrow(posted.join(lengths, "key"))
     short = shared.where(F.col("length") <= SHORT)
     x, y = short.select("key", F.col("id").alias("x"), F.col("n").alias("n_x")), short.select("key", F.col("id").alias("y"), F.col("n").alias("n_y"))
     pairs = x.join(y, "key").where("x < y").where(_SIMILAR_SIZE).select("x", "y").distinct()

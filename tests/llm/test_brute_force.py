@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from netloom.llm import decontamination, language_id, lz_fingerprint, minhash_join, piece_sampling, queries, secret_links, sql, substring_chains, toxicity
 from netloom.llm.text import code_points, utf8
 from tests.compare import FOLDER, check
+from tests.llm import plain
 
 LARGER = "/root/testdata/sf0.01"
 #: sf0.01 has 6 toxic documents among those held out, this one 97.
@@ -294,41 +295,21 @@ def test_likeness_follows_the_phrase_sets() -> None:
 # language
 
 
-def kneser_ney(grams: Counter) -> callable:
-    """P(last letter | three before) from counts of four letters, by dictionaries."""
-    levels = {}
-    counts = {k: float(n) for k, n in grams.items()}
-    for order in range(4, 0, -1):
-        values = list(counts.values())
-        once, twice = values.count(1.0), values.count(2.0)
-        cut = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
-        total, kinds = Counter(), Counter()
-        for k, n in counts.items():
-            total[k[:-1]] += n
-            kinds[k[:-1]] += 1
-        levels[order] = (counts, cut, total, kinds)
-        counts = dict(Counter(k[1:] for k in counts))
-        counts = {k: float(n) for k, n in counts.items()}
-
-    def p(key: str) -> float:
-        if not key:
-            return 1 / 65536
-        counts, cut, total, kinds = levels[len(key)]
-        context = key[:-1]
-        if context not in total:
-            return p(key[1:])
-        return max(0.0, counts[key] - cut if key in counts else 0.0) / total[context] + cut * kinds[context] / total[context] * p(key[1:])
-
-    return p
+def test_languages_equal_brute_force(spark: SparkSession) -> None:
+    want = plain.languages([r.asDict() for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()])
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    got = {r["doc_id"]: r for r in language_id.identify(docs, language_id.train(docs)).collect()}
+    assert {k: (r["lang_pred"], r["rejected"]) for k, r in got.items()} == want
+    assert {r["doc_id"]: r["lang_pred"] for r in queries.op6_language_id(spark, FOLDER).collect()} == {k: x for k, (x, _) in want.items()}
 
 
 def test_model_equals_dictionaries() -> None:
     texts = {"a": "the cat sat on the mat and the hat", "b": "le chat est sur le tapis et le chapeau"}
-    counts, plain = {}, {}
+    counts, models = {}, {}
     for lang, text in texts.items():
         padded = f"  {text} "
         c = Counter(padded[i : i + 4] for i in range(len(padded) - 3))
-        plain[lang] = kneser_ney(c)
+        models[lang] = plain.kneser_ney(c)
         keys = np.array([sum(ord(x) << 16 * (3 - i) for i, x in enumerate(k)) for k in c], np.uint64)
         counts[lang] = (keys, np.array(list(c.values())))
     model = language_id.Model(counts)
@@ -338,7 +319,7 @@ def test_model_equals_dictionaries() -> None:
         n, got = next(model.scored(pa.array([text])))
         assert n == len(keys)
         for lang, x in zip(model.langs, got, strict=True):
-            assert x == pytest.approx(-np.mean([np.log(plain[lang](k)) for k in keys]), rel=1e-4)
+            assert x == pytest.approx(-np.mean([np.log(models[lang](k)) for k in keys]), rel=1e-4)
 
 
 def test_language_of_held_out_documents(spark: SparkSession) -> None:

@@ -1,37 +1,31 @@
-"""The pipeline against its stages taken one by one, in plain Python."""
+"""The pipeline against plain versions of its stages."""
 
 from __future__ import annotations
 
 import pytest
 from pyspark.sql import SparkSession
 
-from netloom.llm import decontamination, language_id, minhash_join, piece_sampling, secret_links
+from netloom.llm import piece_sampling
 from tests.compare import FOLDER
+from tests.llm import plain
+from tests.llm.test_brute_force import holds, template
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
 def test_pipeline(spark: SparkSession) -> None:
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    rows = {r["doc_id"]: r.asDict() for r in docs.collect()}
-    table = lambda: spark.createDataFrame(list(rows.values()), docs.schema)
-    refused = {r["doc_id"] for r in language_id.identify(docs, language_id.train(docs)).collect() if r["rejected"]}
+    rows = {r["doc_id"]: r.asDict() for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    before = len(rows)
+    refused = {k for k, (_, far) in plain.languages(list(rows.values())).items() if far}
     rows = {k: r for k, r in rows.items() if k not in refused}
-    kept = {r["doc_id"] for r in minhash_join.near_duplicates(table()).collect() if r["kept"]}
-    rows = {k: r for k, r in rows.items() if k in kept}
-    leaked = {r["doc_id"] for r in decontamination.contaminated(table(), spark.read.parquet(f"{FOLDER}/benchmark.parquet")).collect()}
-    rows = {k: r for k, r in rows.items() if k not in leaked}
-    for r in secret_links.scan(table()).collect():
-        text, at, out = rows[r["doc_id"]]["text"], 0, ""
-        for s in r["spans"]:
-            if s["start"] >= at:
-                out += text[at : s["start"]] + "[SECRET]"
-            at = max(at, s["end"])
-        rows[r["doc_id"]]["text"] = out + text[at:] if r["spans"] else text
+    groups = plain.near_groups({k: r["text"] for k, r in rows.items()})
+    rows = {k: r for k, r in rows.items() if groups[k] == k}
+    items = [template(r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    rows = {k: r for k, r in rows.items() if not any(holds(item, template(r["text"] or "")) for item in items)}
     found = corpus_pipeline.run(spark, FOLDER)
     texts = {r["doc_id"]: r["text"] for r in piece_sampling.decoded(found).collect()}
-    assert texts == {k: r["text"] for k, r in rows.items()}
-    assert 0 < len(texts) < docs.count()
+    assert texts == {k: plain.redacted(r["text"]) for k, r in rows.items()}
+    assert 0 < len(texts) < before
 
 
 def test_stages_give_the_columns_of_documents(spark: SparkSession) -> None:
