@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import decode, health, names, network
-from netloom.operators import decorate, housekeeping, links as cables, reconcile, report, snmp, summary, timeseries
+from netloom.operators import decorate, housekeeping, links as cables, reconcile, report, snmp, summary, timeseries, vlan_evidence
 from netloom.plans.catalog import query
 from netloom.plans.graph import DEVICES, LINES, STEPS, devices, lines, table, topology
 
@@ -373,3 +373,20 @@ SELECT s_suppkey AS k, '[[' || s_suppkey || ',"down"],[' || (s_suppkey + 5) || '
 def parsed_history(spark: SparkSession, folder: str) -> DataFrame:
     raw = F.concat(F.lit("[["), key() + 5, F.lit(',"up"],['), key(), F.lit(',"down"]]'))
     return table(spark, folder, "supplier").select(key().alias("k"), timeseries.serialize_history(timeseries.parse_history(raw)).alias("history"))
+
+
+@query("vlan_evidence", """
+WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier), v AS (SELECT DISTINCT n, k % 5 + 1 AS vid FROM s),
+e AS (SELECT v.n, v.vid, k, 'tag' AS via FROM v JOIN s ON v.vid = k % 5 + 1 UNION ALL SELECT n, k % 5 + 1, k, 'svi' FROM s
+  UNION ALL SELECT v.n, v.vid, k, 'route' FROM v JOIN s ON v.n = s.n AND v.vid = (k + 1) % 5 + 1 UNION ALL SELECT v.n, v.vid, k, 'ipam' FROM v JOIN s ON v.n = s.n AND v.vid = (k + 2) % 5 + 1)
+SELECT 'vlan:nb:n' || n || ':' || vid AS vlan, 'p' || k AS prefix, bool_or(via = 'tag') AS via_tag, bool_or(via = 'svi') AS via_svi, bool_or(via = 'route') AS via_routes_to, bool_or(via = 'ipam') AS via_ipam FROM e GROUP BY ALL""")
+def vlan_evidence_(spark: SparkSession, folder: str) -> DataFrame:
+    k, slug = key(), F.concat(F.lit("n"), "s_nationkey")
+    s = table(spark, folder, "supplier")
+    id_ = lambda mark: F.concat(F.lit(mark), k)
+    vlans = s.select(F.concat(F.lit("vlan:nb:"), slug, F.lit(":"), k % 5 + 1).alias("id"), (k % 5 + 1).alias("vid"), slug.alias("slug"), F.array().cast("array<string>").alias("sites")).distinct()
+    prefixes = s.select(id_("p").alias("id"), id_("10.").alias("cidr"), (k % 5 + 1).alias("vid"), F.lit(None).cast("string").alias("network_id"), ((k + 2) % 5 + 1).alias("ipam_vid"), F.when(k % 2 == 0, slug).alias("ipam_site"))
+    routes = s.select(id_("s").alias("device"), F.concat(F.lit("Vl"), (k + 1) % 5 + 1).alias("interface"), id_("p").alias("prefix"))
+    located = s.select(id_("s").alias("device"), slug.alias("site"))
+    ports = s.select(id_("i").alias("id"), id_("s").alias("device"), F.concat(F.lit("Vlan "), k % 5 + 1).alias("name"))
+    return vlan_evidence.link(vlans, s.select(id_("s").alias("id"), slug.alias("slug")), located, ports, s.select(id_("i").alias("interface"), id_("10.").alias("subnet")), prefixes, routes)[1]

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.operators import decorate, links, paths, resolve, snmp, store
+from netloom.operators import decorate, links, paths, resolve, snmp, store, vlan_evidence
 
 
 def test_parallel_cables_stay_apart(spark: SparkSession) -> None:
@@ -112,3 +112,19 @@ def test_upstream_prefers_the_own_site(spark: SparkSession) -> None:
     got = {tuple(r) for r in decorate.upstream(edge, gates, steps).collect()}
     assert got == {("e", "g2", 3), ("f", "g1", 1), ("lost", "internet:0", None)}
     assert {tuple(r) for r in decorate.upstream(edge, gates, steps, hops=2).collect()} == {("e", "g1", 2), ("f", "g1", 1), ("lost", "internet:0", None)}
+
+
+def test_evidence_stays_in_scope(spark: SparkSession) -> None:
+    vlans = spark.createDataFrame([("vlan:nb:a:5", 5, "a", None), ("vlan:ps:x:5", 5, None, ["ps:x", None])], "id string, vid int, slug string, sites array<string>")
+    devices = spark.createDataFrame([("d1", "a"), ("d2", "b"), ("d3", None)], "id string, slug string")
+    located = spark.createDataFrame([("d3", "ps:x"), ("d1", None)], "device string, site string")
+    ports = spark.createDataFrame([("i1", "d1", "Vl5"), ("i2", "d2", "vlan5"), ("i3", "d3", "Vlan 5"), ("i4", "d1", "Vlan6"), ("i5", "d1", None)], "id string, device string, name string")
+    addresses = spark.createDataFrame([("i1", "10.5.0.0/24"), ("i3", "")], "interface string, subnet string")
+    prefixes = spark.createDataFrame([("p1", "10.5.0.0/24", None, None, None, None), ("p2", "10.6.0.0/24", 5, "x", None, None), ("p3", "10.7.0.0/24", None, None, 5, ""), ("p4", "10.8.0.0/24", 5, "y", 5, "b")], "id string, cidr string, vid int, network_id string, ipam_vid int, ipam_site string")
+    routes = spark.createDataFrame([("d1", None, "p3"), ("d3", "vlan-5", "p4"), ("d2", "vlan5", "p1"), ("d1", "x", "p1")], "device string, interface string, prefix string")
+    svis, edges, members = vlan_evidence.link(vlans, devices, located, ports, addresses, prefixes, routes)
+    assert {tuple(r) for r in svis.collect()} == {("vlan:nb:a:5", "i1", "d1"), ("vlan:ps:x:5", "i3", "d3")}
+    assert {(r["vlan"], r["prefix"]): [k for k in vlan_evidence.KINDS if r[f"via_{k}"]] for r in edges.collect()} == {("vlan:nb:a:5", "p1"): ["svi"], ("vlan:ps:x:5", "p2"): ["tag"], ("vlan:nb:a:5", "p3"): ["ipam"], ("vlan:ps:x:5", "p4"): ["routes_to"]}
+    assert {tuple(r) for r in members.collect()} == {("vlan:nb:a:5", "d1"), ("vlan:ps:x:5", "d3")}
+    wrong = spark.createDataFrame([("vlan:nb:a:5", "d1"), ("vlan:nb:a:5", "d2"), ("vlan:nb:a:5", "d3"), ("vlan:ps:x:5", "d2")], "vlan string, device string")
+    assert {r["device"] for r in vlan_evidence.out_of_scope(wrong, vlans, devices).collect()} == {"d2", "d3"}
