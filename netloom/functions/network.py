@@ -68,6 +68,12 @@ def cidr(address: Column, length: Column) -> Column:
     return F.concat(ipv4_text(network4(ipv4(address), length)), F.lit("/"), length.cast("string"))
 
 
+def cidr6(address: Column, length: Column) -> Column:
+    """``network/length`` of an IPv6 address, its groups written out."""
+    groups = F.regexp_extract_all(network6(ipv6(address), length), F.lit("(....)"), 1)
+    return F.concat(F.array_join(groups, ":"), F.lit("/"), length.cast("string"))
+
+
 def netmask_length(mask: Column) -> Column:
     """Prefix length of a dotted mask."""
     return F.bit_count(ipv4(mask))

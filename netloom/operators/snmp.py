@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.functions.names import is_neighbor_name, mac
-from netloom.functions.network import cidr, ip_version, is_useful_ip, is_vlan
+from netloom.functions.names import is_neighbor_name, mac, oui
+from netloom.functions.network import cidr, cidr6, ip_version, is_useful_ip, is_vlan
 
 # fixed values: columns of the interface table
 IF_COLUMNS = {"1.3.6.1.2.1.2.2.1.2": "descr", "1.3.6.1.2.1.31.1.1.1.1": "name", "1.3.6.1.2.1.31.1.1.1.15": "speed_mbps", "1.3.6.1.2.1.2.2.1.7": "admin", "1.3.6.1.2.1.2.2.1.8": "oper"}
@@ -96,10 +96,11 @@ def stp_contexts(ports: DataFrame, most: int = 256) -> DataFrame:
     return rows.groupBy("device").agg(F.slice(F.sort_array(F.collect_set("vid")), 1, most).alias("vlans"))
 
 
-def peers(rows: DataFrame, states: dict[str, str], most: int | None = 200) -> DataFrame:
-    """``rows(device, peer_ip, state)`` with named states; unusable addresses go,
-    of a device at most ``most`` stay in the order of the addresses."""
-    named = rows.where(is_useful_ip(F.col("peer_ip"))).withColumn("state", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in states.items() for x in kv]), F.col("state").cast("string")), F.lit("unknown")))
+def peers(rows: DataFrame, states: dict[str, str], most: int | None = 200, any_address: bool = False) -> DataFrame:
+    """``rows(device, peer_ip, state)`` with named states; unusable addresses go
+    unless ``any_address`` (as of protocols without states of their own), of a
+    device at most ``most`` stay in the order of the addresses."""
+    named = (rows if any_address else rows.where(is_useful_ip(F.col("peer_ip")))).withColumn("state", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in states.items() for x in kv]), F.col("state").cast("string")), F.lit("unknown")))
     return named if most is None else named.withColumn("_n", F.row_number().over(Window.partitionBy("device").orderBy("peer_ip"))).where(F.col("_n") <= most).drop("_n")
 
 
@@ -109,7 +110,7 @@ def addresses(modern: DataFrame, classic: DataFrame) -> DataFrame:
     fallback = classic.join(modern.select("device").distinct(), "device", "left_anti")
     rows = modern.select("device", "ip", "prefix_len").union(fallback.select("device", "ip", "prefix_len")).where(is_useful_ip(F.col("ip")))
     rows = rows.withColumn("version", ip_version(F.col("ip"))).withColumn("prefix_len", F.coalesce("prefix_len", F.when(F.col("version") == 4, 24).otherwise(64)))
-    return rows.withColumn("prefix", F.when(F.col("version") == 4, cidr(F.col("ip"), F.col("prefix_len"))))
+    return rows.withColumn("prefix", F.when(F.col("version") == 4, cidr(F.col("ip"), F.col("prefix_len"))).otherwise(cidr6(F.col("ip"), F.col("prefix_len"))))
 
 
 def stp_roots(bridges: DataFrame) -> DataFrame:
@@ -117,6 +118,53 @@ def stp_roots(bridges: DataFrame) -> DataFrame:
     return bridges.where("root_mac is not null").select(F.concat(F.lit("stp-domain:"), mac(F.col("root_mac"))).alias("domain"), "device", (F.col("root_port") == 0).alias("is_root"))
 
 
+def stp_edges(bridges: DataFrame, ports: DataFrame) -> DataFrame:
+    """(type, src, dst, priority, state, role) of ``bridges(device, root_mac,
+    root_port, priority)`` and ``ports(device, port, interface, state, role)``: a
+    device is a member of its root's domain (of its own, without a root), is
+    root without a root port, and each port that isn't disabled is linked to it."""
+    domain = F.coalesce(F.concat(F.lit("stp-domain:"), mac(F.col("root_mac"))), F.concat(F.lit("stp:"), "device", F.lit(":default")))
+    own = bridges.withColumn("domain", domain)
+    none = F.lit(None).cast("string")
+    edge = lambda rows, kind, src, priority, state, role: rows.select(F.lit(kind).alias("type"), src.alias("src"), F.col("domain").alias("dst"), priority.cast("int").alias("priority"), state.alias("state"), role.alias("role"))
+    out = edge(own, "STP_MEMBER", F.col("device"), F.coalesce("priority", F.lit(32768)), none, none)
+    out = out.union(edge(own.where(F.coalesce("root_port", F.lit(0)) == 0), "STP_ROOT", F.col("device"), F.coalesce("priority", F.lit(32768)), none, none))
+    live = ports.where("state <> 'disabled'").join(own.select("device", "domain"), "device")
+    name = F.concat(F.lit("snmp-if:"), "device", F.lit(":"), F.coalesce("interface", F.concat(F.lit("port-"), "port")))
+    return out.union(edge(live, "STP_LINK", name, F.lit(None), F.col("state"), F.coalesce("role", F.lit("unknown"))))
+
+
+def polled(devices: DataFrame, targets: DataFrame) -> DataFrame:
+    """``devices(id, mgmt_ip, snmp_cloud, snmp_sources)`` after a cycle of
+    ``targets(node_id, ip, ok)``: a success marks the device of that id, else
+    those of that address, a failure those of the address; others stay as they are."""
+    by_id = targets.where("ok").select(F.col("node_id").alias("id")).distinct().withColumn("_id", F.lit(True))
+    unknown = targets.where("ok").join(devices.select(F.col("id").alias("node_id")).distinct(), "node_id", "left_anti")
+    by_ip = unknown.select(F.col("ip").alias("mgmt_ip")).distinct().withColumn("_ip", F.lit(True))
+    failed = targets.where("not ok").select(F.col("ip").alias("mgmt_ip")).distinct().withColumn("_failed", F.lit(True))
+    rows = devices.join(by_id, "id", "left").join(by_ip, "mgmt_ip", "left").join(failed, "mgmt_ip", "left")
+    good, cloud = F.coalesce("_id", "_ip", F.lit(False)), F.coalesce("snmp_cloud", F.lit(False))
+    bad = ~good & F.coalesce("_failed", F.lit(False))
+    rest = F.array_remove(F.coalesce("snmp_sources", F.array().cast("array<string>")), "direct")
+    return rows.select(
+        "id", "mgmt_ip", "snmp_cloud", F.when(good, F.concat(rest, F.array(F.lit("direct")))).when(bad, rest).otherwise(F.col("snmp_sources")).alias("snmp_sources"),
+        F.when(good, True).when(bad, cloud).alias("snmp_polled"), F.when(good, "ok").when(bad & cloud, "cloud_ok").when(bad, "unreachable").alias("snmp_last_status"),
+        F.when(good & cloud, "direct+cloud").when(good, "direct").when(bad & cloud, "meraki_cloud").alias("snmp_source"), F.when(bad & cloud, "cloud_only").when(bad, "unreachable").alias("snmp_health"),
+    )
+
+
+def undiscovered(targets: DataFrame, devices: DataFrame) -> DataFrame:
+    """(id, name, mgmt_ip) of the ``targets(node_id, ip, name, ok)`` that answered and whose address no device has."""
+    rows = targets.where("ok").join(devices.select(F.col("mgmt_ip").alias("ip")).distinct(), "ip", "left_anti")
+    return rows.groupBy(F.col("node_id").alias("id")).agg(F.min(F.coalesce("name", "ip")).alias("name"), F.min("ip").alias("mgmt_ip"))
+
+
+def vendors(addresses: DataFrame, known: DataFrame) -> DataFrame:
+    """``addresses(mac)`` with the vendor of ``known(prefix, vendor)``; none for locally administered ones."""
+    one = known.groupBy(F.upper("prefix").alias("_p")).agg(F.min("vendor").alias("vendor"))
+    return addresses.join(one, oui(F.col("mac")) == F.col("_p"), "left").drop("_p")
+
+
 def coverage(probes: DataFrame) -> DataFrame:
     """(device, snmp_health, missing_required, restricted) of ``probes(device, family, status, required)``."""
     missing = F.col("required") & (F.col("status") != "ok")

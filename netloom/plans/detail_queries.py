@@ -390,3 +390,63 @@ def vlan_evidence_(spark: SparkSession, folder: str) -> DataFrame:
     located = s.select(id_("s").alias("device"), slug.alias("site"))
     ports = s.select(id_("i").alias("id"), id_("s").alias("device"), F.concat(F.lit("Vlan "), k % 5 + 1).alias("name"))
     return vlan_evidence.link(vlans, s.select(id_("s").alias("id"), slug.alias("slug")), located, ports, s.select(id_("i").alias("interface"), id_("10.").alias("subnet")), prefixes, routes)[1]
+
+
+@query("stp_edges", """
+WITH b AS (SELECT s_suppkey AS k, s_nationkey AS n, CASE WHEN s_nationkey % 5 = 0 THEN 'stp:s' || s_suppkey || ':default' ELSE 'stp-domain:00:00:00:00:00:' || lpad(lower(to_hex(s_nationkey)), 2, '0') END AS d FROM supplier)
+SELECT 'STP_MEMBER' AS type, 's' || k AS src, d AS dst, CAST(k % 8 * 4096 AS INTEGER) AS priority, NULL AS state, NULL AS role FROM b UNION ALL SELECT 'STP_ROOT', 's' || k, d, CAST(k % 8 * 4096 AS INTEGER), NULL, NULL FROM b WHERE k % 3 = 0
+UNION ALL SELECT 'STP_LINK', 'snmp-if:s' || k || CASE WHEN k % 2 = 0 THEN ':Gi' || k ELSE ':port-' || k END, d, NULL, 'forwarding', 'unknown' FROM b WHERE k % 4 > 0""")
+def stp_edges(spark: SparkSession, folder: str) -> DataFrame:
+    s = table(spark, folder, "supplier").withColumn("device", F.concat(F.lit("s"), key()))
+    root = F.when(F.col("s_nationkey") % 5 > 0, F.lpad(F.hex("s_nationkey"), 12, "0"))
+    ports = s.select("device", key().cast("string").alias("port"), F.when(key() % 2 == 0, F.concat(F.lit("Gi"), key())).alias("interface"), F.when(key() % 4 == 0, "disabled").otherwise("forwarding").alias("state"), F.lit(None).cast("string").alias("role"))
+    return snmp.stp_edges(s.select("device", root.alias("root_mac"), (key() % 3).alias("root_port"), (key() % 8 * 4096).alias("priority")), ports)
+
+
+@query("poll_results", """
+SELECT 's' || s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN CASE WHEN s_suppkey % 3 = 0 THEN 'cloud_ok' ELSE 'unreachable' END END AS status,
+  CASE s_suppkey % 4 WHEN 0 THEN 'cloud,direct' WHEN 1 THEN 'cloud,direct' WHEN 2 THEN 'cloud' ELSE 'direct,cloud' END AS sources FROM supplier""")
+def poll_results(spark: SparkSession, folder: str) -> DataFrame:
+    s = table(spark, folder, "supplier")
+    ip = F.concat(F.lit("10.0.0."), key())
+    known = s.select(F.concat(F.lit("s"), key()).alias("id"), ip.alias("mgmt_ip"), (key() % 3 == 0).alias("snmp_cloud"), F.array(F.lit("direct"), F.lit("cloud")).alias("snmp_sources"))
+    targets = s.where("s_suppkey % 4 < 3").select(F.when(key() % 4 == 0, F.concat(F.lit("s"), key())).otherwise(F.concat(F.lit("t"), key())).alias("node_id"), F.when(key() % 4 > 0, ip).otherwise("x").alias("ip"), (key() % 4 < 2).alias("ok"))
+    return snmp.polled(known, targets).select("id", F.col("snmp_last_status").alias("status"), F.array_join("snmp_sources", ",").alias("sources"))
+
+
+@query("undiscovered_targets", """
+SELECT 't' || s_suppkey AS id, '10.0.0.' || s_suppkey AS name, '10.0.0.' || s_suppkey AS mgmt_ip FROM supplier WHERE s_suppkey % 3 = 1 AND s_suppkey % 2 = 0""")
+def undiscovered_targets(spark: SparkSession, folder: str) -> DataFrame:
+    s = table(spark, folder, "supplier")
+    ip = F.concat(F.lit("10.0.0."), key())
+    targets = s.select(F.concat(F.lit("t"), key()).alias("node_id"), ip.alias("ip"), F.lit(None).cast("string").alias("name"), (key() % 2 == 0).alias("ok"))
+    return snmp.undiscovered(targets, s.where("s_suppkey % 3 <> 1").select(ip.alias("mgmt_ip")))
+
+
+@query("mac_vendors", """
+SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'Acme' END AS vendor FROM supplier""")
+def mac_vendors(spark: SparkSession, folder: str) -> DataFrame:
+    address = F.when(key() % 3 == 0, "0050.f200.0001").when(key() % 3 == 1, "02:50:f2:00:00:01").otherwise("aa")
+    known = spark.createDataFrame([("0050f2", "Acme"), ("0250F2", "Local"), ("0050F2", "Zeta")], "prefix string, vendor string")
+    return snmp.vendors(table(spark, folder, "supplier").select(key().alias("k"), address.alias("mac")), known).select("k", "vendor")
+
+
+@query("device_addresses", """
+SELECT 's' || s_suppkey AS device, CASE WHEN s_suppkey % 2 = 0 THEN '10.0.' || s_suppkey % 250 || '.9' ELSE '2001:db8::' || s_suppkey % 9 || ':1' END AS ip, CASE WHEN s_suppkey % 2 = 0 THEN 4 ELSE 6 END AS version,
+  CASE WHEN s_suppkey % 2 = 0 THEN '10.0.' || s_suppkey % 250 || '.0/24' ELSE '2001:0db8:0000:0000:0000:0000:0000:0000/64' END AS prefix FROM supplier""")
+def device_addresses(spark: SparkSession, folder: str) -> DataFrame:
+    s = table(spark, folder, "supplier")
+    ip = F.when(key() % 2 == 0, F.concat(F.lit("10.0."), key() % 250, F.lit(".9"))).otherwise(F.concat(F.lit("2001:db8::"), key() % 9, F.lit(":1")))
+    rows = s.select(F.concat(F.lit("s"), key()).alias("device"), ip.alias("ip"), F.lit(None).cast("int").alias("prefix_len"))
+    return snmp.addresses(rows.where("device like '%0'"), rows).select("device", "ip", "version", "prefix")
+
+
+@query("local_addresses", """
+SELECT c_custkey AS peer, CASE WHEN c_custkey % 3 = 0 THEN '10.0.' || s_suppkey % 250 || '.1' ELSE 'mgmt' || s_suppkey END AS local_ip FROM customer JOIN supplier ON s_suppkey = c_custkey % 50""")
+def local_addresses(spark: SparkSession, folder: str) -> DataFrame:
+    s = table(spark, folder, "supplier").withColumn("device", F.concat(F.lit("s"), key()))
+    own = s.select("device", F.explode(F.array(F.concat(F.lit("10.0."), key() % 250, F.lit(".1")), F.concat(F.lit("10.0."), key() % 250, F.lit(".2")))).alias("ip"))
+    c = F.col("c_custkey")
+    peers = table(spark, folder, "customer").select(c.alias("peer"), F.concat(F.lit("s"), c % 50).alias("device"), F.when(c % 3 == 0, F.concat(F.lit("10.0."), c % 50, F.lit(".77"))).otherwise("192.168.0.1").alias("peer_ip"))
+    found = decorate.local_address(peers.join(s.select("device"), "device", "left_semi"), own, s.select("device", F.concat(F.lit("mgmt"), key()).alias("mgmt_ip")))
+    return found.select("peer", "local_ip")
