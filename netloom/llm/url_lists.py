@@ -37,20 +37,21 @@ def evaluate(captures: DataFrame, entries: DataFrame, block_seconds: int = BLOCK
     lists and domains name, in order, the lists that block the capture and the
     listed domains it falls under at its time; an entry is active from its
     addition on and no longer at its removal. Times are in seconds. Captures
-    with a null address or time, or without a host, aren't blocked. A
-    capture_id names one capture; other columns are ignored; without entries
-    nothing is blocked; an empty table gives no rows.
+    with a null address or time, or without a host, aren't blocked. Captures that
+    repeat an id are each judged by their own host and time; other columns are
+    ignored; without entries nothing is blocked; an empty table gives no rows.
     """
     rows = captures.select("capture_id", "fetched_at", F.coalesce(host(F.col("url")), F.lit("")).alias("host"))
     labels = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     valid = intervals(entries)
     listed = valid.select("list", "domain").distinct()
-    asked = rows.where("fetched_at is not null").select("capture_id", "fetched_at", F.explode(above).alias("domain")).join(listed, "domain")
-    asked = asked.select("list", "domain", F.col("fetched_at").alias("at"), F.lit(1).alias("is_capture"), "capture_id", F.lit(None).cast("struct<until:bigint>").alias("interval"))
-    dated = valid.select("list", "domain", F.col("valid_from").cast("long").alias("at"), F.lit(0).alias("is_capture"), F.lit(None).cast("long").alias("capture_id"), F.struct(F.col("valid_to").cast("long").alias("until")).alias("interval"))
+    asked = rows.where("fetched_at is not null").select("capture_id", "fetched_at", "host", F.explode(above).alias("domain")).join(listed, "domain")
+    asked = asked.select("list", "domain", F.col("fetched_at").alias("at"), F.lit(1).alias("is_capture"), "capture_id", "host", F.lit(None).cast("struct<until:bigint>").alias("interval"))
+    dated = valid.select("list", "domain", F.col("valid_from").cast("long").alias("at"), F.lit(0).alias("is_capture"), F.lit(None).cast("long").alias("capture_id"), F.lit(None).cast("string").alias("host"), F.struct(F.col("valid_to").cast("long").alias("until")).alias("interval"))
     last = latest_before(asked.unionByName(dated), ["list", "domain"], ["at", "is_capture", "capture_id"], F.col("interval"), F.floor(F.col("at") / block_seconds))
     active = last.where("is_capture = 1 and last is not null and (last.until is null or at < last.until)")
-    hits = active.groupBy("capture_id").agg(F.array_sort(F.collect_set("list")).alias("lists"), F.array_sort(F.collect_set("domain")).alias("domains"))
+    hits = active.groupBy(F.col("capture_id").alias("_id"), F.col("host").alias("_host"), F.col("at").alias("_at")).agg(F.array_sort(F.collect_set("list")).alias("lists"), F.array_sort(F.collect_set("domain")).alias("domains"))
     none = F.array().cast("array<string>")
-    return rows.join(hits, "capture_id", "left").select("capture_id", "host", F.col("lists").isNotNull().alias("blocked"), F.coalesce("lists", none).alias("lists"), F.coalesce("domains", none).alias("domains"))
+    same = F.col("capture_id").eqNullSafe(F.col("_id")) & (F.col("host") == F.col("_host")) & (F.col("fetched_at") == F.col("_at"))
+    return rows.join(hits, same, "left").select("capture_id", "host", F.col("lists").isNotNull().alias("blocked"), F.coalesce("lists", none).alias("lists"), F.coalesce("domains", none).alias("domains"))

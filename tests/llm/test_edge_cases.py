@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import decontamination, language_id, lz_fingerprint, minhash_join, piece_sampling, secret_links, substring_chains, toxicity, url_lists, warc_revisit
+from netloom.llm.text import code_points, utf8
 
 LONG = " ".join(f"word{i % 7919} and {i}" for i in range(40_000))
 PROSE = "the quick brown fox jumps over the lazy dog while seven other animals look on"
@@ -118,3 +121,38 @@ def test_dated_lists(spark: SparkSession) -> None:
     assert url_lists.evaluate(captures, entries).count() == 10
     assert url_lists.evaluate(captures, entries.limit(0)).where("blocked").count() == 0
     assert url_lists.evaluate(captures.limit(0), entries).count() == 0
+
+
+def test_captures_that_repeat_an_id(spark: SparkSession) -> None:
+    entries = spark.createDataFrame([("ads", "bad.com", 10, True), ("ads", "bad.com", 20, False)], "list string, domain string, at long, added boolean")
+    rows = [(1, "http://bad.com/", 15), (1, "http://bad.com/", 15), (1, "http://bad.com/", 25), (1, "http://good.com/", 15), (None, "http://bad.com/", 15)]
+    got = url_lists.evaluate(spark.createDataFrame(rows, "capture_id long, url string, fetched_at long"), entries).collect()
+    assert sorted((str(r["capture_id"]), r["host"], r["blocked"]) for r in got) == [("1", "bad.com", False), ("1", "bad.com", True), ("1", "bad.com", True), ("1", "good.com", False), ("None", "bad.com", True)]
+
+
+def test_empty_and_odd_side_tables(spark: SparkSession) -> None:
+    docs = documents(spark)
+    extra = {c: F.lit("x") for c in CLASHING + ["doc_id", "coverage", "lang"]}
+    assert decontamination.contaminated(docs, benchmark(spark).limit(0)).count() == 0
+    assert decontamination.clean(docs, benchmark(spark).limit(0)).count() == docs.count()
+    odd = benchmark(spark).withColumns(extra)
+    assert {tuple(r)[:3] for r in decontamination.contaminated(docs, odd).collect()} == {(1, 1, 1.0)}
+    labels = spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, toxic int").withColumns({c: F.lit("x") for c in CLASHING + ["text", "quality"]})
+    assert toxicity.score(docs, toxicity.train(docs, labels)).count() == len(ROWS)
+    none = toxicity.train(docs, labels.limit(0))
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, none).collect()}
+    assert len(set(scores.values())) == 1
+
+
+def test_ties_of_languages_and_copies(spark: SparkSession) -> None:
+    rows = [(k, PROSE, lang) for k, lang in ((1, "b"), (2, "a"), (3, "a"), (4, "b"), (6, "a"), (7, "b"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    balanced = docs.where("doc_id in (1, 2)")
+    got = language_id.identify(docs, language_id.calibrated(language_id.Model({lang: (k, n) for lang in "ab" for k, n in [_counts(PROSE)]}), balanced)).collect()
+    assert {r["lang_pred"] for r in got} == {"a"} and all(0.4 < r["score"] < 0.6 for r in got)
+    assert {(r["doc_id"], r["component_id"]) for r in minhash_join.near_duplicates(docs).collect()} == {(k, 1) for k, _, _ in rows}
+
+
+def _counts(text: str) -> tuple:
+    packed, _ = language_id.grams(*code_points(*utf8(pa.array([text]))))
+    return np.unique(packed, return_counts=True)
