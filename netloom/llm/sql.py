@@ -109,10 +109,40 @@ FROM documents d LEFT JOIN texts x USING (doc_id) GROUP BY d.doc_id
 OP8 = _op8()
 
 
+OP11 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), tokens AS (SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), groups AS (SELECT DISTINCT lang, source FROM docs
+), kept AS (SELECT lang, term FROM tokens GROUP BY lang, term HAVING count(DISTINCT i) >= 3
+), counts AS (SELECT lang, source, term, count(*) AS c FROM tokens JOIN kept USING (lang, term) GROUP BY ALL
+), dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0)::HUGEINT AS c FROM groups g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN counts x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term
+), of_group AS (
+  SELECT lang, source, term, c, 1 + (1000000000 * (c + 1)) // (sum(c) OVER w + count(*) OVER w) AS p FROM dense WINDOW w AS (PARTITION BY lang, source)
+), of_lang AS (
+  SELECT lang, term, 1 + (1000000000 * (c + 1)) // (sum(c) OVER w + count(*) OVER w) AS q
+  FROM (SELECT lang, term, sum(c)::HUGEINT AS c FROM dense GROUP BY lang, term) WINDOW w AS (PARTITION BY lang)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM of_group a JOIN of_group b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), valued AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM of_group JOIN of_lang USING (lang, term) WHERE c > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM valued)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_revisit": OP1,
         "op3_url_lists": OP3,
         "op8_secret_scan": OP8,
         "op9_minhash_near_dedup": OP9,
+        "op11_source_divergence": OP11,
     }
