@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import decontamination, language_id, lz_fingerprint, minhash_join, piece_sampling, secret_links, source_divergence, substring_chains, toxicity, url_lists, warc_revisit
+from netloom.llm import decontamination, filter_audit, language_id, lz_fingerprint, minhash_join, piece_sampling, secret_links, source_divergence, substring_chains, toxicity, url_lists, warc_revisit
 from netloom.llm.web import host
 
 
@@ -89,6 +89,10 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return source_divergence.divergences(_table(spark, folder, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisit": op1_warc_revisit,
@@ -102,4 +106,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_piece_sampling": op10_piece_sampling,
         "op11_source_divergence": op11_source_divergence,
+        "op12_filter_audit": op12_filter_audit,
     }

@@ -138,6 +138,35 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
 
+OP12 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), firsts AS (SELECT t, min(doc_id) AS first FROM docs GROUP BY t
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS f
+  FROM docs JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), kinds AS (SELECT part, f, good, toxic, count(*) AS n FROM failed GROUP BY ALL
+), runs AS (
+  SELECT part, filter_order, good, toxic, n, f, list_position([f[ascii(filter_order[i]) - 64] FOR i IN [1, 2, 3, 4, 5]], true) AS falls FROM kinds, orders
+), steps AS (
+  SELECT part, filter_order, step, coalesce(sum(n) FILTER (falls IS NULL OR falls > step), 0) AS kept, coalesce(sum(n) FILTER (falls = step), 0) AS removed,
+    coalesce(sum(n) FILTER (falls < step AND f[ascii(filter_order[step]) - 64]), 0) AS redundant,
+    coalesce(sum(n) FILTER (falls = step AND len(list_filter(f, lambda y: y)) = 1), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (falls = step AND good), 0) AS good_lost, coalesce(sum(n) FILTER (falls = step AND toxic), 0) AS toxic_lost
+  FROM runs, (SELECT unnest([1, 2, 3, 4, 5]) AS step) GROUP BY ALL
+)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM steps
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_revisit": OP1,
@@ -145,4 +174,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_secret_scan": OP8,
         "op9_minhash_near_dedup": OP9,
         "op11_source_divergence": OP11,
+        "op12_filter_audit": OP12,
     }
