@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import decontamination, filter_audit, language_id, lz_fingerprint, minhash_join, piece_sampling, secret_links, source_divergence, substring_chains, toxicity, url_lists, warc_revisit
+from netloom.llm import decontamination, filter_audit, language_id, lz_fingerprint, minhash_join, piece_sampling, secret_links, source_divergence, source_mix, substring_chains, toxicity, url_lists, warc_revisit
 from netloom.llm.web import host
 
 
@@ -93,6 +93,10 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op13_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return source_mix.mixed(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisit": op1_warc_revisit,
@@ -107,4 +111,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_piece_sampling": op10_piece_sampling,
         "op11_source_divergence": op11_source_divergence,
         "op12_filter_audit": op12_filter_audit,
+        "op13_source_mix": op13_source_mix,
     }
