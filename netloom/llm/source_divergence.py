@@ -33,11 +33,11 @@ SHARD_TERMS = 16_384
 #: Hashes and keys that are sent to tasks.
 BROADCAST_BYTES = 48 << 20
 #: Dense slots of a task before they are given on.
-DENSE_BYTES = 96 << 20
+DENSE_BYTES = 64 << 20
 #: Rows that a task of the first pass gathers before they are given on.
-GATHERED_ROWS = 1 << 20
+GATHERED_ROWS = 1 << 19
 #: Text that is split into terms at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Sources whose divergences from all others are computed at once.
 TILE = 32
 
