@@ -32,8 +32,10 @@ RANKS = 200
 SHARD_TERMS = 16_384
 #: Hashes and keys that are sent to tasks.
 BROADCAST_BYTES = 48 << 20
-#: Dense slots of a task before they are given on.
-DENSE_BYTES = 64 << 20
+#: Dense slots of a task; above, they are packed: only the counts that are not 0 stay.
+DENSE_BYTES = 80 << 20
+#: Packed counts of a task before they are given on.
+PACKED_BYTES = 96 << 20
 #: Rows that a task of the first pass gathers before they are given on.
 GATHERED_ROWS = 1 << 19
 #: Text that is split into terms at once.
@@ -145,9 +147,13 @@ def perfect_hashes(rows: DataFrame) -> tuple[DataFrame, int]:
 _PARTS = "lang string, source string, shard long, total long, at binary, n binary"
 
 
-def _part(lang: str, source: str, shard: int, counts: np.ndarray) -> tuple | None:
+def _part(lang: str, source: str, shard: int, at: np.ndarray, n: np.ndarray) -> tuple | None:
+    return (lang, source, shard, int(n.sum()), at.astype(np.int32).tobytes(), n.astype(np.int64).tobytes()) if len(at) else None
+
+
+def _dense_part(lang: str, source: str, shard: int, counts: np.ndarray) -> tuple | None:
     at = np.flatnonzero(counts)
-    return (lang, source, shard, int(counts[at].sum()), at.astype(np.int32).tobytes(), counts[at].astype(np.int64).tobytes()) if len(at) else None
+    return _part(lang, source, shard, at, counts[at])
 
 
 def _batches(rows: list[tuple | None]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +174,30 @@ def _recounted(hashes: Callable[[], Shards], shards: int) -> Callable[[Iterator[
         base = {lang: int(table.first[x[x >= 0][0]]) for lang, x in of_lang.items()}
         width = {lang: int(sum(table.first[i + 1] - table.first[i] for i in x if i >= 0)) for lang, x in of_lang.items()}
         dense: dict[tuple[str, str], np.ndarray] = {}
+        packed: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held = 0
 
+        def pack() -> int:
+            """Adds the dense counts to the packed ones; the bytes of these."""
+            for name, counts in dense.items():
+                at = np.flatnonzero(counts)
+                before, n = packed.get(name, none)
+                slots, place = np.unique(np.concatenate([before, at]), return_inverse=True)
+                packed[name] = slots, np.bincount(place, np.concatenate([n, counts[at]]), len(slots)).astype(np.int64)
+            dense.clear()
+            return sum(16 * len(at) for at, _ in packed.values())
+
         def given() -> Iterator[pa.RecordBatch]:
-            for (lang, source), counts in dense.items():
-                of = of_lang[lang]
-                yield from _batches([_part(lang, source, s, counts[table.first[i] - base[lang] : table.first[i + 1] - base[lang]]) for s, i in enumerate(of.tolist()) if i >= 0])
+            for (lang, source), (at, n) in packed.items():
+                rows = []
+                for s, i in enumerate(of_lang[lang].tolist()):
+                    if i >= 0:
+                        first = table.first[i] - base[lang]
+                        lo, hi = np.searchsorted(at, [first, table.first[i + 1] - base[lang]])
+                        rows.append(_part(lang, source, s, at[lo:hi] - first, n[lo:hi]))
+                yield from _batches(rows)
+            packed.clear()
 
         for batch in batches:
             langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -204,13 +228,14 @@ def _recounted(hashes: Callable[[], Shards], shards: int) -> Callable[[Iterator[
                 for lo, hi in zip(edges, [*edges[1:], len(group)], strict=True):
                     name = names[group[lo]]
                     if name not in dense:
-                        dense[name] = np.zeros(width[name[0]], np.int64)
+                        dense[name] = np.zeros(width[name[0]], np.uint32)
                         held += dense[name].nbytes
-                    dense[name][slot[lo:hi] - base[name[0]]] += n[lo:hi]
+                    dense[name][slot[lo:hi] - base[name[0]]] += n[lo:hi].astype(np.uint32)
                 if held > DENSE_BYTES:
-                    yield from given()
-                    dense.clear()
                     held = 0
+                    if pack() > PACKED_BYTES:
+                        yield from given()
+        pack()
         yield from given()
 
     return run
@@ -234,7 +259,7 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, shard, source), lo, hi in _runs(batch, ["lang", "shard", "source"]):
             if (lang, shard, source) != key:
                 if counts is not None:
-                    yield from _batches([_part(key[0], key[2], key[1], counts)])
+                    yield from _batches([_dense_part(key[0], key[2], key[1], counts)])
                 key, counts = (lang, shard, source), None
             if source is None:
                 table = lang, shard, Shards(pa.Table.from_batches([batch.slice(lo, 1)]))
@@ -248,7 +273,7 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = slot >= 0
             np.add.at(counts, slot[known], np.asarray(batch.column("n").slice(lo, hi - lo))[known])
     if counts is not None:
-        yield from _batches([_part(key[0], key[2], key[1], counts)])
+        yield from _batches([_dense_part(key[0], key[2], key[1], counts)])
 
 
 def recount(rows: DataFrame, hashes: DataFrame, shards: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

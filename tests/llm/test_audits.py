@@ -57,7 +57,7 @@ def test_divergences_of_odd_rows(tables: tuple, sent: int) -> None:
 def test_dealt_hashes_give_the_same(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
     """Many small shards, dense slots given on early, long texts in pieces."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    for name, value in {"SHARD_TERMS": 100, "DENSE_BYTES": 4000, "CHUNK_BYTES": 3000, "GATHERED_ROWS": 500, "TILE": 3}.items():
+    for name, value in {"SHARD_TERMS": 100, "DENSE_BYTES": 4000, "PACKED_BYTES": 20_000, "CHUNK_BYTES": 3000, "GATHERED_ROWS": 500, "TILE": 3}.items():
         monkeypatch.setattr(source_divergence, name, value)
     for sent in (0, 1 << 30):
         assert check(source_divergence.divergences(docs, sent), sql.OP11)
