@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from netloom.functions.health import WEEK
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,26 +19,12 @@ def hourly(rows: DataFrame, late: str = "2 hours") -> DataFrame:
     return rows.where("value is not null").withWatermark("ts", late).groupBy("element", hour).agg(F.avg("value").alias("avg"), F.count("value").alias("cnt")).select("element", F.col("window.start").alias("bucket"), "avg", "cnt")
 
 
-def _changes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The rows whose state differs from the element's last, which is kept."""
-    rows = pd.concat(list(parts)).sort_values(["at", "event_id"])
-    before = state.get[0] if state.exists else None
-    changed = rows[rows["state"] != rows["state"].shift(fill_value=before)] if before is not None else rows[rows["state"] != rows["state"].shift()]
-    state.update((rows["state"].iloc[-1],))
-    state.setTimeoutTimestamp(max(int(rows["at"].iloc[-1]), state.getCurrentWatermarkMs()) + WEEK)
-    yield pd.DataFrame({"element": key[0], "at": changed["at"], "state": changed["state"]})
-
-
-def _forget(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    yield from _changes(key, parts, state)
-
-
-def flaps(rows: DataFrame) -> DataFrame:
-    """Changes of state as they come. An element's state is forgotten after a week of event time without rows."""
-    return rows.withWatermark("ts", "2 hours").groupBy("element").applyInPandasWithState(_forget, "element long, at long, state string", "last string", "append", GroupStateTimeout.EventTimeTimeout)
+def hourly_late(rows: DataFrame, late: str = "2 days") -> DataFrame:
+    """(element, bucket, sum, cnt) of samples that may come out of order and more
+    than once, each hour when it is closed. Sums and counts add up, so a late
+    sample counts in its own hour; repeated ones (by event_id) count once."""
+    once = rows.where("value is not null").withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return once.groupBy("element", F.window("ts", "1 hour")).agg(F.sum("value").alias("sum"), F.count("value").alias("cnt")).select("element", F.col("window.start").alias("bucket"), "sum", "cnt")
 
 
 def run(rows: DataFrame, folder: str, mode: str, key: tuple[str, ...] = ()) -> DataFrame:
