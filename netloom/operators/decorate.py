@@ -178,18 +178,19 @@ def match_peers(peers: DataFrame, devices: DataFrame) -> DataFrame:
 def adjacencies(sessions: DataFrame) -> DataFrame:
     """One row for each session of ``sessions(proto, device, remote_device,
     local_ip, peer_ip, local_as, remote_as, state)``, whichever end told of it;
-    ends in order of their ids, a state of up wins."""
+    ends in order of their ids; a state of up wins, then one of down."""
     turn = F.col("remote_device").isNotNull() & (F.col("remote_device") < F.col("device"))
     flip = lambda a, b: F.when(turn, F.col(b)).otherwise(F.col(a))
     afi = F.when(F.col("peer_ip").contains(":"), "ipv6").otherwise("ipv4")
     ends = sessions.select("proto", afi.alias("afi"), flip("device", "remote_device").alias("src"), F.coalesce(flip("remote_device", "device"), "peer_ip").alias("dst"), flip("local_ip", "peer_ip").alias("local_ip"), flip("peer_ip", "local_ip").alias("remote_ip"), flip("local_as", "remote_as").alias("local_as"), flip("remote_as", "local_as").alias("remote_as"), peer_state(F.col("state")).alias("state"))
-    return ends.groupBy("proto", "afi", "src", "dst", "local_ip", "remote_ip").agg(F.max("local_as").alias("local_as"), F.max("remote_as").alias("remote_as"), F.max("state").alias("state"))
+    return ends.groupBy("proto", "afi", "src", "dst", "local_ip", "remote_ip").agg(F.max("local_as").alias("local_as"), F.max("remote_as").alias("remote_as"), F.max_by("state", F.array_position(F.array(F.lit("unknown"), F.lit("down"), F.lit("up")), F.col("state"))).alias("state"))
 
 
 def peer_state(value: Column) -> Column:
-    """A session's state as up or down, whatever its protocol calls it."""
-    # fixed values
-    return F.when(F.lower(value).isin("established", "full", "up", "2way", "twoway", "active_full"), "up").when(value.isNotNull(), "down")
+    """``up`` for a session in its steady state, ``down`` for any other state,
+    ``unknown`` without one."""
+    low = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    return F.when(low.isin("full", "established"), "up").when(low != "", "down").otherwise("unknown")
 
 
 def health_rank(status: Column) -> Column:

@@ -88,7 +88,12 @@ def capped(nodes: DataFrame, edges: DataFrame, most: int) -> tuple[DataFrame, Da
 def aggregated(devices: DataFrame, links: DataFrame, level: str) -> tuple[DataFrame, DataFrame]:
     """Devices by ``level`` (a column) with counts and up to ten names, and the
     links between different groups."""
-    groups = devices.groupBy(level).agg(F.count("*").alias("devices"), F.count_if(F.lower("status").isin(*DOWN)).alias("down"), F.slice(F.sort_array(F.collect_set("name")), 1, 10).alias("sample"))
+    groups = devices.groupBy(level).agg(F.count("*").alias("devices"), F.count_if(F.lower("status").isin(*DOWN)).alias("down"))
+    # ranked, so that a large group's names are cut where they lie and not gathered
+    first = Window.partitionBy(level).orderBy("name")
+    names = devices.where("name is not null").select(level, "name").distinct().withColumn("_k", F.row_number().over(first)).where("_k <= 10")
+    sample = names.groupBy(F.col(level).alias("_level")).agg(F.sort_array(F.collect_list("name")).alias("sample"))
+    groups = groups.join(sample, F.col(level).eqNullSafe(F.col("_level")), "left").drop("_level").withColumn("sample", F.coalesce("sample", F.array().cast("array<string>")))
     of = devices.select("id", level)
     ends = links.join(of.withColumnsRenamed({"id": "src", level: "a"}), "src").join(of.withColumnsRenamed({"id": "dst", level: "b"}), "dst").where("a <> b")
     return groups, ends.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("links"))
@@ -210,34 +215,43 @@ def _problem(rows: DataFrame, kind: str, severity: Column | str, summary: Column
     return rows.select(F.lit(kind).alias("problem_type"), severity.alias("severity"), summary.alias("summary"), F.col(element).cast("string").alias("element"))
 
 
-def problems(devices: DataFrame, links: DataFrame, sessions: DataFrame, now_ms: int, threshold_s: int = 86400, stale: str = "info", limit: int | None = None) -> DataFrame:
-    """Ranked problems of ``devices(id, name, status, snmp_health, snmp_polled,
-    last_reported_at)``, ``links(rid, label, oper_status, flap_state, util_avg_1h,
-    error_avg_1h, last_reported_at)`` and ``sessions(id, label, state, flap_state)``.
+def problems(devices: DataFrame, links: DataFrame, sessions: DataFrame, now_ms: int, threshold_s: int = 86400, stale: str = "info", limit: int | None = None, severity: str | None = None) -> DataFrame:
+    """Ranked problems of ``devices(id, name, status, snmp_health,
+    last_reported_at)``, ``links(rid, label, a_name, b_name, oper_status,
+    flap_state, util_avg_1h, util_pct, error_avg_1h, error_rate_per_s)`` and
+    ``sessions(id, label, state, flap_state)``, of one ``severity`` if given.
 
-    Findings of sources that haven't reported for ``threshold_s`` get the stale
-    severity, or go with ``filter``.
+    A device that is down, or a link whose fresher end hasn't reported for
+    ``threshold_s``, gets the stale severity; with ``filter`` it gives no
+    finding at all. Use and errors are those of the hour, else the current ones.
     """
     say = lambda *parts: F.concat_ws(" ", *(p if isinstance(p, Column) else F.lit(p) for p in parts))
-    aged = lambda severity: staleness(F.lit(severity), F.col("last_reported_at"), F.lit(now_ms), F.lit(threshold_s), F.lit(stale))
+    aged = staleness(F.lit("critical"), F.col("last_reported_at"), F.lit(now_ms), F.lit(threshold_s), F.lit(stale))
     snmp = F.lower(F.coalesce("snmp_health", F.lit("")))
     name, label = F.col("name"), F.col("label")
     flaps = F.when(F.col("flap_state") == "flapping", "critical").otherwise("warning")
+    reported = devices.groupBy("name").agg(F.max("last_reported_at").alias("at"))
+    for end in ("a", "b"):
+        links = links.join(reported.select(F.col("name").alias(f"{end}_name"), F.col("at").alias(f"_{end}_at")), f"{end}_name", "left")
+    links = links.withColumns({"last_reported_at": F.greatest("_a_at", "_b_at"), "_use": F.coalesce("util_avg_1h", "util_pct", F.lit(0.0)), "_errors": F.coalesce("error_avg_1h", "error_rate_per_s", F.lit(0.0))})
+    broken = lambda rows, bad: rows.withColumn("_bad", F.coalesce(bad, F.lit(False))).withColumn("_aged", F.when(F.col("_bad"), aged)).where(~F.col("_bad") | F.col("_aged").isNotNull())
+    devices, links = broken(devices, F.lower("status").isin(*DOWN)), broken(links, F.lower("oper_status") == "down")
     rules = [
-        _problem(devices.where(F.lower("status").isin(*DOWN)), "device_down", aged("critical"), say(name, "is", F.col("status"))),
+        _problem(devices.where("_bad"), "device_down", F.col("_aged"), say(name, "is", F.col("status"))),
         _problem(devices.where(snmp == "unreachable"), "snmp_unreachable", "warning", say(name, "does not answer")),
         _problem(devices.where(snmp == "restricted"), "snmp_restricted", "warning", say(name, "restricts its view")),
-        _problem(devices.where(~snmp.isin("unreachable", "restricted") & (F.col("snmp_polled") == F.lit(False))), "snmp_unpolled", "info", say(name, "is not polled")),
-        _problem(links.where(F.lower("oper_status") == "down"), "link_down", aged("critical"), say(label, "is down"), "rid"),
+        _problem(devices.where(snmp == "unpolled"), "snmp_unpolled", "info", say(name, "is not polled")),
+        _problem(links.where("_bad"), "link_down", F.col("_aged"), say(label, "is down"), "rid"),
         _problem(links.where(F.col("flap_state").isin("flapping", "unstable")), "link_flapping", flaps, say(label, "is", F.col("flap_state")), "rid"),
-        _problem(links.where("util_avg_1h >= 80"), "high_utilisation", F.when(F.col("util_avg_1h") >= 95, "critical").otherwise("warning"), say(label, "is busy"), "rid"),
-        _problem(links.where("error_avg_1h >= 1"), "high_errors", F.when(F.col("error_avg_1h") >= 5, "critical").otherwise("warning"), say(label, "has errors"), "rid"),
+        _problem(links.where("_use >= 80"), "high_utilisation", F.when(F.col("_use") >= 95, "critical").otherwise("warning"), say(label, "is busy"), "rid"),
+        _problem(links.where("_errors >= 1"), "high_errors", F.when(F.col("_errors") >= 5, "critical").otherwise("warning"), say(label, "has errors"), "rid"),
         _problem(sessions.where("state = 'down'"), "peer_down", "critical", say(label, "is down")),
         _problem(sessions.where(F.col("flap_state").isin("flapping", "unstable")), "peer_flapping", flaps, say(label, "is", F.col("flap_state"))),
     ]
     out = rules[0]
     for r in rules[1:]:
         out = out.union(r)
-    out = out.where("severity is not null").withColumn("rank", F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")).cast("int") - 1)
+    out = out if severity is None else out.where(F.col("severity") == severity)
+    out = out.withColumn("rank", F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")).cast("int") - 1)
     out = out.orderBy("rank", "problem_type", "element")
     return out if limit is None else out.limit(max(1, min(500, limit)))

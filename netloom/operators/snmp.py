@@ -165,12 +165,18 @@ def vendors(addresses: DataFrame, known: DataFrame) -> DataFrame:
     return addresses.join(one, oui(F.col("mac")) == F.col("_p"), "left").drop("_p")
 
 
-def coverage(probes: DataFrame) -> DataFrame:
-    """(device, snmp_health, missing_required, restricted) of ``probes(device, family, status, required)``."""
+def coverage(probes: DataFrame, devices: DataFrame | None = None) -> DataFrame:
+    """(device, snmp_health, missing_required, restricted) of ``probes(device,
+    family, status, required)``; of ``devices(device)`` those without a probe
+    are unreachable."""
     missing = F.col("required") & (F.col("status") != "ok")
     health = F.when(F.bool_or(missing & (F.col("status") == "restricted")), "restricted").when(F.bool_or(missing), "partial").otherwise("full")
     lists = lambda c: F.sort_array(F.collect_set(F.when(c, F.col("family"))))
-    return probes.groupBy("device").agg(health.alias("snmp_health"), lists(missing).alias("missing_required"), lists(F.col("status") == "restricted").alias("restricted"))
+    rows = probes.groupBy("device").agg(health.alias("snmp_health"), lists(missing).alias("missing_required"), lists(F.col("status") == "restricted").alias("restricted"))
+    if devices is None:
+        return rows
+    none = F.array().cast("array<string>")
+    return devices.select("device").distinct().join(rows, "device", "left").select("device", F.coalesce("snmp_health", F.lit("unreachable")).alias("snmp_health"), *(F.coalesce(c, none).alias(c) for c in ("missing_required", "restricted")))
 
 
 def arp_text(outputs: DataFrame) -> DataFrame:

@@ -337,10 +337,16 @@ def walk_vlans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("poll_coverage", """
-SELECT 'd' || s_nationkey AS device, CASE WHEN bool_or(s_suppkey % 5 = 0) THEN 'restricted' WHEN bool_or(s_suppkey % 3 = 0) THEN 'partial' ELSE 'full' END AS snmp_health FROM supplier GROUP BY 1""")
+WITH p AS (SELECT 'd' || s_nationkey AS device, s_suppkey AS k, s_suppkey % 2 = 0 AS required, CASE WHEN s_suppkey % 5 = 0 THEN 'restricted' WHEN s_suppkey % 3 = 0 THEN 'missing' ELSE 'ok' END AS status FROM supplier),
+c AS (SELECT device, CASE WHEN bool_or(required AND status = 'restricted') THEN 'restricted' WHEN bool_or(required AND status <> 'ok') THEN 'partial' ELSE 'full' END AS snmp_health,
+  coalesce(string_agg('f' || k, ',' ORDER BY 'f' || k) FILTER (required AND status <> 'ok'), '') AS missing, coalesce(string_agg('f' || k, ',' ORDER BY 'f' || k) FILTER (status = 'restricted'), '') AS restricted FROM p GROUP BY device)
+SELECT 'd' || n AS device, coalesce(snmp_health, 'unreachable') AS snmp_health, coalesce(missing, '') AS missing_required, coalesce(restricted, '') AS restricted
+FROM (SELECT n_nationkey AS n FROM nation UNION ALL SELECT -1) LEFT JOIN c ON device = 'd' || n""")
 def poll_coverage(spark: SparkSession, folder: str) -> DataFrame:
     status = F.when(key() % 5 == 0, "restricted").when(key() % 3 == 0, "missing").otherwise("ok")
-    return snmp.coverage(table(spark, folder, "supplier").select(F.concat(F.lit("d"), "s_nationkey").alias("device"), F.concat(F.lit("f"), key()).alias("family"), status.alias("status"), F.lit(True).alias("required"))).select("device", "snmp_health")
+    probes = table(spark, folder, "supplier").select(F.concat(F.lit("d"), "s_nationkey").alias("device"), F.concat(F.lit("f"), key()).alias("family"), status.alias("status"), (key() % 2 == 0).alias("required"))
+    every = table(spark, folder, "nation").select(F.concat(F.lit("d"), "n_nationkey").alias("device")).union(spark.range(1).select(F.lit("d-1")))
+    return snmp.coverage(probes, every).select("device", "snmp_health", *(F.array_join(c, ",").alias(c) for c in ("missing_required", "restricted")))
 
 
 @query("poll_targets", """

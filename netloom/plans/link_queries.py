@@ -64,21 +64,26 @@ _HEALTH = """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'down' WHEN s_su
 
 
 @query("link_health_rollup", f"""
-WITH {LINKS}, ports AS (
-  SELECT DISTINCT src AS device, interface_a AS name, CAST(substr(src, 2) AS BIGINT) AS k FROM links WHERE CAST(substr(src, 2) AS BIGINT) % 5 <> 0
-  UNION SELECT DISTINCT dst, interface_b, CAST(substr(dst, 2) AS BIGINT) FROM links),
-facts AS (SELECT device, name, CASE k % 3 WHEN 0 THEN 'down' WHEN 1 THEN 'UP' END AS oper, CASE WHEN k % 4 > 0 THEN k % 100 END AS hs, k % 90 AS util FROM ports),
-sides AS (SELECT l.rid, a.device AS ad, a.oper AS ao, a.hs AS ah, a.util AS au, b.device AS bd, b.oper AS bo, b.hs AS bh, b.util AS bu, (a.hs IS NOT NULL OR a.oper IS NOT NULL) AS ta, (b.hs IS NOT NULL OR b.oper IS NOT NULL) AS tb
-  FROM links l LEFT JOIN facts a ON a.device = l.src AND a.name = l.interface_a LEFT JOIN facts b ON b.device = l.dst AND b.name = l.interface_b)
-SELECT rid, CASE WHEN ta OR tb THEN CASE WHEN lower(coalesce(ao, '')) = 'down' OR lower(coalesce(bo, '')) = 'down' THEN 'down' WHEN lower(coalesce(ao, '')) = 'up' OR lower(coalesce(bo, '')) = 'up' THEN 'up' END END AS oper_status,
-  CASE WHEN ta OR tb THEN greatest(coalesce(ah, 0), coalesce(bh, 0)) END AS health_score, CASE WHEN ta OR tb THEN greatest(coalesce(au, 0), coalesce(bu, 0)) END AS util_pct,
-  CASE WHEN ta OR tb THEN NOT (ta AND tb) END AS single_sided FROM sides""")
+WITH {LINKS}, named AS (SELECT *, CASE WHEN rid % 10 = 3 THEN 'Gi0/9' ELSE interface_a END AS near, CASE WHEN rid % 4 > 0 THEN 'up' END AS was, rid % 77 AS score FROM links),
+ports AS (
+  SELECT DISTINCT src AS device, near AS name, CAST(substr(src, 2) AS BIGINT) AS k FROM named WHERE CAST(substr(src, 2) AS BIGINT) % 5 <> 0
+  UNION SELECT DISTINCT dst, interface_b, CAST(substr(dst, 2) AS BIGINT) FROM links WHERE CAST(substr(dst, 2) AS BIGINT) % 7 <> 0),
+facts AS (SELECT device, name, CASE k % 3 WHEN 0 THEN 'down' WHEN 1 THEN 'UP' END AS oper, CASE WHEN k % 4 > 0 THEN k % 100 END AS hs, k % 90 AS util, (k % 8) / 4 AS errors FROM ports),
+sides AS (SELECT l.*, a.oper AS ao, a.hs AS ah, a.util AS au, a.errors AS ae, b.oper AS bo, b.hs AS bh, b.util AS bu, b.errors AS be, (a.hs IS NOT NULL OR a.oper IS NOT NULL) AS ta, (b.hs IS NOT NULL OR b.oper IS NOT NULL) AS tb
+  FROM named l LEFT JOIN facts a ON a.device = l.src AND a.name = l.near LEFT JOIN facts b ON b.device = l.dst AND b.name = l.interface_b),
+told AS (SELECT *, ta OR tb AS t, CASE WHEN lower(coalesce(ao, '')) = 'down' OR lower(coalesce(bo, '')) = 'down' THEN 'down' WHEN lower(coalesce(ao, '')) = 'up' OR lower(coalesce(bo, '')) = 'up' THEN 'up' END AS oper FROM sides)
+SELECT rid, CASE WHEN t THEN oper ELSE was END AS oper_status, CASE WHEN t THEN greatest(coalesce(ah, 0), coalesce(bh, 0)) ELSE score END AS health_score, CASE WHEN t THEN greatest(coalesce(au, 0), coalesce(bu, 0)) END AS util_pct,
+  CASE WHEN t THEN coalesce(ae, 0) + coalesce(be, 0) END AS error_rate_per_s, CASE WHEN t THEN NOT (ta AND tb) END AS single_sided, CASE WHEN t AND oper IS NOT NULL AND oper IS DISTINCT FROM was THEN 5000 ELSE 7 END AS changed_at FROM told""")
 def link_health_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    rows = links(spark, folder)
+    """Links with a stored state and score, some with an active interface other
+    than the one they are named by; suppliers by sevens tell nothing."""
+    r = F.col("rid")
+    rows = links(spark, folder).withColumns({"interface_a_active": F.when(r % 10 == 3, "Gi0/9"), "oper_status": F.when(r % 4 > 0, "up"), "health_score": r % 77, "changed_at": F.lit(7).cast("bigint")})
     k = F.substr("device", F.lit(2)).cast("bigint")
-    ports = rows.select(F.col("src").alias("device"), F.col("interface_a").alias("name")).where(k % 5 != 0).union(rows.select("dst", "interface_b")).distinct()
-    facts = ports.withColumns({"oper_status": F.when(k % 3 == 0, "down").when(k % 3 == 1, "UP"), "health_score": F.when(k % 4 > 0, k % 100), "util_in_pct": k % 90, "util_out_pct": F.lit(0).cast("bigint"), "error_rate": F.lit(0.0)})
-    return L.with_health(rows, facts, 0).select("rid", "oper_status", "health_score", "util_pct", "single_sided")
+    near = F.coalesce("interface_a_active", "interface_a")
+    ports = rows.select(F.col("src").alias("device"), near.alias("name")).where(k % 5 != 0).union(rows.select(F.col("dst").alias("device"), "interface_b").where(k % 7 != 0)).distinct()
+    facts = ports.withColumns({"oper_status": F.when(k % 3 == 0, "down").when(k % 3 == 1, "UP"), "health_score": F.when(k % 4 > 0, k % 100), "util_in_pct": k % 90, "util_out_pct": F.lit(0).cast("bigint"), "error_rate": (k % 8) / 4})
+    return L.with_health(rows, facts, 5000).select("rid", "oper_status", "health_score", "util_pct", "error_rate_per_s", "single_sided", "changed_at")
 
 
 @query("l2_carried_vlans", """

@@ -74,7 +74,7 @@ def cam_correlated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _LINK_FACTS = f"""{LINKS}, facts AS (SELECT rid, src || '<->' || dst AS label, CASE WHEN rid % 7 = 0 THEN 'down' ELSE 'up' END AS oper_status, CASE WHEN rid % 11 = 0 THEN 'flapping' WHEN rid % 13 = 0 THEN 'unstable' ELSE 'stable' END AS flap_state,
-  confidence * 200 AS util_avg_1h, CASE WHEN rid % 5 = 0 THEN confidence * 10 ELSE 0 END AS error_avg_1h, rid % 6 AS flap_count_1h, CASE WHEN rid % 3 = 0 THEN rid % 1000 END AS changed_at, CAST(confidence * 100 AS INTEGER) AS health_score, CASE WHEN rid % 4 = 0 THEN 0 ELSE 1000000000 END AS last_reported_at FROM links)"""
+  confidence * 200 AS util_avg_1h, CASE WHEN rid % 5 = 0 THEN confidence * 10 ELSE 0 END AS error_avg_1h, rid % 6 AS flap_count_1h, CASE WHEN rid % 3 = 0 THEN rid % 1000 END AS changed_at, CAST(confidence * 100 AS INTEGER) AS health_score, src, dst FROM links)"""
 
 
 def link_facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,7 +83,7 @@ def link_facts(spark: SparkSession, folder: str) -> DataFrame:
         "rid", F.concat_ws("<->", "src", "dst").alias("label"), F.when(r % 7 == 0, "down").otherwise("up").alias("oper_status"),
         F.when(r % 11 == 0, "flapping").when(r % 13 == 0, "unstable").otherwise("stable").alias("flap_state"), (F.col("confidence") * 200).alias("util_avg_1h"),
         F.when(r % 5 == 0, F.col("confidence") * 10).otherwise(0.0).alias("error_avg_1h"), (r % 6).alias("flap_count_1h"), F.when(r % 3 == 0, r % 1000).alias("changed_at"),
-        F.round(F.col("confidence") * 100).cast("int").alias("health_score"), F.when(r % 4 == 0, 0).otherwise(1000000000).cast("bigint").alias("last_reported_at"),
+        F.round(F.col("confidence") * 100).cast("int").alias("health_score"), "src", "dst",
     )
 
 
@@ -101,24 +101,31 @@ _SEVERITY = "CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 E
 
 
 @query("top_problems", f"""
-WITH {_LINK_FACTS}, {DEVICES}, d AS (SELECT *, CASE WHEN source_adapter = 's' THEN 'unreachable' WHEN nation = 5 THEN 'restricted' END AS snmp, nation % 6 <> 0 AS polled, CASE WHEN nation % 2 = 0 THEN 0 ELSE 1000000000 END AS last FROM devices),
+WITH {_LINK_FACTS}, {DEVICES}, d AS (SELECT *, CASE WHEN source_adapter = 's' THEN 'unreachable' WHEN nation = 5 THEN 'restricted' WHEN nation % 6 = 0 THEN 'unpolled' END AS snmp, CASE WHEN nation % 2 = 0 THEN 0 WHEN nation % 5 > 0 THEN 1000000000 END AS last FROM devices),
 s AS (SELECT s_suppkey AS id, s_name AS label, CASE WHEN s_suppkey % 4 = 0 THEN 'down' ELSE 'up' END AS state, CASE WHEN s_suppkey % 9 = 0 THEN 'flapping' END AS flap FROM supplier),
+l AS (SELECT facts.*, greatest(a.last, b.last) AS last, CASE WHEN rid % 3 > 0 THEN util_avg_1h ELSE 2 * util_avg_1h END AS use, CASE WHEN rid % 4 > 0 THEN error_avg_1h ELSE 2 * error_avg_1h END AS errors FROM facts JOIN d a ON a.id = src JOIN d b ON b.id = dst),
 p AS (SELECT 'device_down' AS problem_type, CASE WHEN 1000000000 - last > 86400000 THEN 'info' ELSE 'critical' END AS severity, name || ' is ' || status AS summary, id AS element FROM d WHERE status IN ('down', 'alerting')
  UNION ALL SELECT 'snmp_unreachable', 'warning', name || ' does not answer', id FROM d WHERE snmp = 'unreachable'
  UNION ALL SELECT 'snmp_restricted', 'warning', name || ' restricts its view', id FROM d WHERE snmp = 'restricted'
- UNION ALL SELECT 'snmp_unpolled', 'info', name || ' is not polled', id FROM d WHERE snmp IS NULL AND NOT polled
- UNION ALL SELECT 'link_down', CASE WHEN 1000000000 - last_reported_at > 86400000 THEN 'info' ELSE 'critical' END, label || ' is down', rid::VARCHAR FROM facts WHERE oper_status = 'down'
- UNION ALL SELECT 'link_flapping', CASE flap_state WHEN 'flapping' THEN 'critical' ELSE 'warning' END, label || ' is ' || flap_state, rid::VARCHAR FROM facts WHERE flap_state <> 'stable'
- UNION ALL SELECT 'high_utilisation', CASE WHEN util_avg_1h >= 95 THEN 'critical' ELSE 'warning' END, label || ' is busy', rid::VARCHAR FROM facts WHERE util_avg_1h >= 80
- UNION ALL SELECT 'high_errors', CASE WHEN error_avg_1h >= 5 THEN 'critical' ELSE 'warning' END, label || ' has errors', rid::VARCHAR FROM facts WHERE error_avg_1h >= 1
+ UNION ALL SELECT 'snmp_unpolled', 'info', name || ' is not polled', id FROM d WHERE snmp = 'unpolled'
+ UNION ALL SELECT 'link_down', CASE WHEN 1000000000 - last > 86400000 THEN 'info' ELSE 'critical' END, label || ' is down', rid::VARCHAR FROM l WHERE oper_status = 'down'
+ UNION ALL SELECT 'link_flapping', CASE flap_state WHEN 'flapping' THEN 'critical' ELSE 'warning' END, label || ' is ' || flap_state, rid::VARCHAR FROM l WHERE flap_state <> 'stable'
+ UNION ALL SELECT 'high_utilisation', CASE WHEN use >= 95 THEN 'critical' ELSE 'warning' END, label || ' is busy', rid::VARCHAR FROM l WHERE use >= 80
+ UNION ALL SELECT 'high_errors', CASE WHEN errors >= 5 THEN 'critical' ELSE 'warning' END, label || ' has errors', rid::VARCHAR FROM l WHERE errors >= 1
  UNION ALL SELECT 'peer_down', 'critical', label || ' is down', id::VARCHAR FROM s WHERE state = 'down'
  UNION ALL SELECT 'peer_flapping', 'critical', label || ' is flapping', id::VARCHAR FROM s WHERE flap = 'flapping')
 SELECT *, {_SEVERITY} AS rank FROM p""")
 def top_problems(spark: SparkSession, folder: str) -> DataFrame:
-    d = devices(spark, folder).withColumns({"snmp_health": F.when(F.col("source_adapter") == "s", "unreachable").when(F.col("nation") == 5, "restricted"), "snmp_polled": F.col("nation") % 6 != 0, "last_reported_at": F.when(F.col("nation") % 2 == 0, 0).otherwise(1000000000)})
+    """Some links have no means of the hour, some devices never reported; a
+    link's age is that of its fresher end."""
+    nation, r = F.col("nation"), F.col("rid")
+    d = devices(spark, folder).withColumns({"snmp_health": F.when(F.col("source_adapter") == "s", "unreachable").when(nation == 5, "restricted").when(nation % 6 == 0, "unpolled"), "last_reported_at": F.when(nation % 2 == 0, 0).when(nation % 5 > 0, 1000000000)})
     k = F.col("s_suppkey")
     s = table(spark, folder, "supplier").select(k.alias("id"), F.col("s_name").alias("label"), F.when(k % 4 == 0, "down").otherwise("up").alias("state"), F.when(k % 9 == 0, "flapping").alias("flap_state"))
-    return report.problems(d, link_facts(spark, folder), s, 1000000000)
+    ends = d.select("id", "name")
+    l = link_facts(spark, folder).join(ends.toDF("src", "a_name"), "src").join(ends.toDF("dst", "b_name"), "dst")
+    l = l.withColumns({"util_pct": 2 * F.col("util_avg_1h"), "error_rate_per_s": 2 * F.col("error_avg_1h")}).withColumns({"util_avg_1h": F.when(r % 3 > 0, F.col("util_avg_1h")), "error_avg_1h": F.when(r % 4 > 0, F.col("error_avg_1h"))})
+    return report.problems(d, l, s, 1000000000)
 
 
 @query("routing_topology", """
@@ -188,11 +195,12 @@ def absorbed_prefixes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("adjacency_collapse", f"""
-WITH {LINES}, s AS (SELECT DISTINCT src, dst, l_shipdate > TIMESTAMP '1996-01-01' AS up FROM lines)
-SELECT src, dst, CASE WHEN bool_or(up) THEN 'up' ELSE 'down' END AS state FROM s GROUP BY src, dst""")
+WITH {LINES}, s AS (SELECT src, dst, CASE l_partkey % 6 WHEN 0 THEN 'up' WHEN 5 THEN 'unknown' ELSE 'down' END AS state FROM lines)
+SELECT src, dst, CASE WHEN bool_or(state = 'up') THEN 'up' WHEN bool_or(state = 'down') THEN 'down' ELSE 'unknown' END AS state FROM s GROUP BY src, dst""")
 def adjacency_collapse(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions told by either end, in states of several protocols or none."""
     rows = lines(spark, folder)
-    state = F.when(F.col("l_shipdate") > F.lit("1996-01-01").cast("timestamp_ntz"), "Established").otherwise("idle")
+    state = F.element_at(F.array(*map(F.lit, ("Established", "2way", "idle", "twoWay", "loading", " "))), (F.col("l_partkey") % 6 + 1).cast("int"))
     turn = F.col("l_linenumber") % 2 == 0
     pick = lambda a, b: F.when(turn, F.col(b)).otherwise(F.col(a))
     none = F.lit(None).cast("bigint")
