@@ -2,8 +2,10 @@
 
 Texts become templates: each word in lower case, but numbers, units after a
 number and names (capitals within a sentence) by typed placeholders. Windows
-of ``WINDOW`` template words of documents and items are joined by hash. Where
-they meet, the item's template is aligned with the document's words along the
+of ``WINDOW`` template words of documents and items are joined by hash. As a
+capital may also come from a title, a heading or a bracket, windows with names
+are posted a second time with the names as plain words, so that a text in any
+letter case meets its item. Where windows meet, the item's template is aligned with the document's words along the
 diagonal of the meeting: an occurrence holds the item if enough template words
 agree and the words behind placeholders map consistently in both directions,
 as they do where a question was given new parameters. Each occurrence is
@@ -123,20 +125,24 @@ def templates(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Codes and hashes of each text's words, and hashes and places of its windows."""
+    """Codes and hashes of each text's words, and hashes and places of its windows
+    in both readings."""
     data, offsets = utf8(column)
     for lo, hi in chunks(offsets):
         code, own, bounds = templates(*code_points(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
-        hashes, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        readings = []
         if len(code) >= WINDOW:
-            hashes = shingle_hashes(mix(code), WINDOW)
-            literal = np.concatenate([[0], np.cumsum(code > 3)])
-            good = literal[WINDOW:] - literal[:-WINDOW] >= LEAST_LITERAL
-            good &= bounds[np.searchsorted(bounds, np.arange(len(hashes)), side="right")] >= np.arange(len(hashes)) + WINDOW
-            at = np.flatnonzero(good)
-        cuts = np.searchsorted(at, bounds)
-        for a, b, x, y in zip(cuts[:-1], cuts[1:], bounds[:-1], bounds[1:], strict=True):
-            yield code[x:y], own[x:y], hashes[at[a:b]], at[a:b] - x
+            within = lambda words: (s := np.concatenate([[0], np.cumsum(words)]))[WINDOW:] - s[:-WINDOW]
+            at = np.arange(len(code) - WINDOW + 1)
+            whole = bounds[np.searchsorted(bounds, at, side="right")] >= at + WINDOW
+            name = code == _NAME
+            for words, good in ((code, whole), (np.where(name, own, code), whole & (within(name) > 0))):
+                at = np.flatnonzero(good & (within(words > 3) >= LEAST_LITERAL))
+                readings.append((shingle_hashes(mix(words), WINDOW)[at], at, np.searchsorted(at, bounds)))
+        for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            own_windows = [(h[c[i] : c[i + 1]], at[c[i] : c[i + 1]] - x) for h, at, c in readings]
+            hashes = np.concatenate([*(h for h, _ in own_windows), np.zeros(0, np.uint64)])
+            yield code[x:y], own[x:y], hashes, np.concatenate([*(at for _, at in own_windows), np.zeros(0, np.int64)])
 
 
 @dataclass
@@ -279,7 +285,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     of several occurrences the one of the largest coverage is given. Items of
     fewer than 5 words, or with hardly any words but placeholders, are never
     found; null and empty texts neither. Repeated items or documents of one id
-    count as one; rows without an id aren't used; other columns are ignored.
+    count as one; rows without an id give no rows here (``clean`` sees them);
+    other columns are ignored.
     """
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -295,5 +302,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item of ``benchmark``."""
-    return without_ids(docs, cut(contaminated(docs, benchmark).select("doc_id").distinct()), "doc_id")
+    """The rows of ``docs`` that hold no item of ``benchmark``; rows without an
+    id go by their text's hash."""
+    named = without_ids(docs.where("doc_id is not null"), cut(contaminated(docs, benchmark).select("doc_id").distinct()), "doc_id")
+    nameless = docs.where("doc_id is null").withColumn("_text_key", F.xxhash64("text"))
+    held = contaminated(nameless.select(F.col("_text_key").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_text_key")).distinct()
+    return named.unionByName(without_ids(nameless, cut(held), "_text_key").drop("_text_key"))

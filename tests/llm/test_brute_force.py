@@ -64,13 +64,22 @@ def fair(pairs: list[tuple[str, str]]) -> bool:
     return max(broken(pairs), broken([(b, a) for a, b in pairs])) <= max(1, 0.25 * len(pairs))
 
 
+def met(item: list, doc: list) -> set[int]:
+    """Alignments on which five words meet, of them three or more no placeholders: names as placeholders, or as words."""
+    out = set()
+    for read in (lambda k, w: k, lambda k, w: w if k == "<name>" else k):
+        windows = defaultdict(list)
+        parts = lambda text: [tuple(read(*x) for x in text[q : q + 5]) for q in range(len(text) - 4)]  # noqa: B023, E731
+        for q, window in enumerate(parts(item)):
+            if sum(k[0] != "<" for k in window) >= 3:
+                windows[window].append(q)
+        out |= {p - q for p, window in enumerate(parts(doc)) for q in windows.get(window, [])}
+    return out
+
+
 def holds(item: list, doc: list) -> bool:
-    """Longest common subsequences within 4 words of every alignment on which a window of 5 words meets."""
-    windows = defaultdict(list)
-    for q in range(len(item) - 4):
-        if sum(k[0] != "<" for k, _ in item[q : q + 5]) >= 3:
-            windows[tuple(k for k, _ in item[q : q + 5])].append(q)
-    for shift in {p - q for p in range(len(doc) - 4) for q in windows.get(tuple(k for k, _ in doc[p : p + 5]), [])}:
+    """Longest common subsequences within 4 words of every alignment on which windows meet."""
+    for shift in met(item, doc):
         same = lambda i, j: 0 <= j < len(doc) and (item[i][0] == doc[j][0] or item[i][1] == doc[j][1])  # noqa: B023, E731
         best = {}
         for i in range(len(item)):
@@ -106,6 +115,22 @@ def test_contamination_equals_brute_force(spark: SparkSession) -> None:
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want) > 0
 
 
+@pytest.mark.parametrize("written", [str.upper, str.title, str.lower, "Exam ({})".format, "so, {}, they asked".format, "QUESTION: {}".format, lambda t: t[0].swapcase() + t[1:]])
+def test_items_in_any_letter_case(spark: SparkSession, written: object) -> None:
+    """All items of a larger benchmark, each within prose of its own."""
+    items = spark.read.parquet(f"{LARGER}/benchmark.parquet").select("item_id", "text")
+    docs = [(r["item_id"], f"Here is some text before it. {written(r['text'])} And more of it follows after that.") for r in items.collect()]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).where("doc_id = item_id").collect()
+    assert len(got) >= 0.95 * len(docs)
+
+
+def test_a_short_question_in_brackets(spark: SparkSession) -> None:
+    items = spark.createDataFrame([(1, "What is 12 times 7?")], "item_id long, text string")
+    docs = [(1, "Exam (What is 12 times 7?)"), (2, "EXAM: WHAT IS 12 TIMES 7?"), (3, "what is it, 12 or 7 times"), (4, "Exam, what is 30 times 9")]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {r["doc_id"] for r in got} == {1, 2, 4}
+
+
 def test_blocks_of_the_benchmark_give_the_same(spark: SparkSession) -> None:
     docs, items = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = decontamination.contaminated(docs, items).collect()

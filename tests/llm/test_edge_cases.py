@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -74,6 +75,8 @@ def test_stages_keep_the_columns(spark: SparkSession) -> None:
 def test_what_odd_rows_give(spark: SparkSession) -> None:
     docs = documents(spark)
     assert {r["doc_id"] for r in OTHERS["contaminated"](docs).collect()} == {1}
+    kept = Counter((r["doc_id"], r["text"]) for r in OTHERS["clean"](docs).collect())
+    assert kept == Counter(x for x in ROWS if x[1] != PROSE)
     assert {(r["doc_id"], r["other_id"]) for r in substring_chains.passages(docs).collect()} == {(5, 6), (6, 5)}
     languages = {r["doc_id"]: r["lang_pred"] for r in EACH["language"](docs).where("doc_id is not null").collect()}
     assert {k for k, x in languages.items() if x == "und"} == {2, 3, 4}
