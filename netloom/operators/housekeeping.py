@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.names import pick
+from netloom.operators.paths import _cut
 
 #: Types whose nodes go when nothing is attached to them.
 LOOSE = ("RoutingPeer", "MACAddress", "ARPEntry", "IPAddress", "Prefix")
 
+#: What must hold a node of a type for it to stay.
+NEEDS = {"Interface": ("HAS_INTERFACE",), "IPAddress": ("ASSIGNED_IP",), "ARPEntry": ("HAS_ARP",), "MACAddress": ("OWNS_MAC", "LEARNED_MAC"), "Prefix": ("HAS_PREFIX", "ROUTES_TO"), "VRF": ("VRF_MEMBER",)}
+
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Stubs and loose nodes of ``nodes(id, type, stub)`` without any edge."""
@@ -25,6 +29,33 @@ def malformed(nodes: DataFrame) -> DataFrame:
     return nodes.where(vlan | port)
 
 
+def swept(nodes: DataFrame, edges: DataFrame, needs: dict[str, tuple[str, ...]] = NEEDS) -> tuple[DataFrame, DataFrame]:
+    """``nodes(id, type)`` and ``edges(src, dst, type)`` without nodes that
+    nothing holds, again and again until every node left is held: with a device
+    go its interfaces, with them their addresses. Each round looks only at what
+    the nodes that went in the last one held. Nodes that hold each other stay.
+    Edges of nodes that aren't there, or go, go too."""
+    held_by = [(F.col("kind") == k) & F.col("type").isin(*v) for k, v in needs.items()]
+    holds = held_by[0]
+    for h in held_by[1:]:
+        holds = holds | h
+    kinds = nodes.select(F.col("id").alias("dst"), F.col("type").alias("kind"))
+    here = nodes.select(F.col("id").alias("src"))
+    held = _cut(edges.select("src", "dst", "type").join(kinds, "dst").where(holds).join(here, "src", "left_semi").select("src", "dst").distinct())
+    gone = _cut(nodes.where(F.col("type").isin(*needs)).select("id").distinct().join(held.select(F.col("dst").alias("id")), "id", "left_anti"))
+    every = gone
+    while not gone.isEmpty():
+        lost = held.join(gone.select(F.col("id").alias("src")), "src", "left_semi").select("dst").distinct()
+        still = held.join(lost, "dst", "left_semi").join(every.select(F.col("id").alias("src")), "src", "left_anti").select("dst")
+        gone = _cut(lost.join(still, "dst", "left_anti").select(F.col("dst").alias("id")).join(every, "id", "left_anti"))
+        every = every.union(gone)
+    kept = nodes.join(every, "id", "left_anti")
+    ids = kept.select("id").distinct()
+    for end in ("src", "dst"):
+        edges = edges.join(ids.withColumnRenamed("id", end), end, "left_semi")
+    return kept, edges
+
+
 def without_reversed(links: DataFrame) -> DataFrame:
     """``links`` without those that repeat a link of the other direction over the same two ports."""
     ports = F.array_sort(F.array(F.coalesce("interface_a", F.lit("")), F.coalesce("interface_b", F.lit(""))))
