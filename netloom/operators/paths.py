@@ -64,14 +64,52 @@ def nearest(edges: DataFrame, gates: DataFrame, hops: int) -> DataFrame:
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 15) -> DataFrame:
     """(source, target, distance, path) of ``pairs(source, target)``, of paths of
-    one length the one of the least parents; pairs farther apart are left out."""
-    found = distances(edges, pairs.select(F.col("source").alias("node")), hops)
-    walk = pairs.distinct().join(found, (pairs["source"] == found["source"]) & (pairs["target"] == found["node"])).select(pairs["source"], pairs["target"], "distance", F.array("target").alias("path"), F.col("parent").alias("at"))
-    longest = walk.agg(F.max("distance")).first()[0] or 0
-    back = found.select(F.col("source").alias("s"), F.col("node").alias("n"), F.col("parent").alias("up"))
-    for _ in range(longest):
-        joined = walk.join(back, (walk["source"] == back["s"]) & (walk["at"] == back["n"]), "left")
-        walk = joined.select("source", "target", "distance", F.when(F.col("at").isNotNull(), F.concat(F.array("at"), F.col("path"))).otherwise(F.col("path")).alias("path"), F.col("up").alias("at"))
+    one length the one of the least parents; pairs farther apart are left out.
+
+    Both ends of a pair are searched from, by turns, until their surroundings
+    meet, so each reaches half of the way only; an end whose pairs have all met
+    is not searched from any more.
+    """
+    steps = _cut(both_ways(edges).distinct())
+    pairs = _cut(pairs.select("source", "target").distinct())
+    start = lambda c: _cut(pairs.select(F.col(c).alias("end"), F.col(c).alias("node")).distinct().select("end", "node", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent")))
+    sides = {c: start(c) for c in ("source", "target")}
+    fronts, reached = dict(sides), {"source": 0, "target": 0}
+    met = pairs.where("source = target").select("source", "target", F.lit(0).alias("distance"), F.col("source").alias("node"), F.lit(0).alias("back"))
+    waiting = _cut(pairs.where("source <> target"))
+    for total in range(1, hops + 1):
+        c = "source" if reached["source"] <= reached["target"] else "target"
+        reached[c] += 1
+        live = fronts[c].join(waiting.select(F.col(c).alias("end")).distinct(), "end", "left_semi")
+        near = live.join(steps, live["node"] == steps["src"]).groupBy("end", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        fronts[c] = _cut(near.join(sides[c], ["end", "node"], "left_anti").select("end", "node", F.lit(reached[c]).alias("distance"), "parent"))
+        if fronts[c].isEmpty():
+            break
+        sides[c] = sides[c].union(fronts[c])
+        # nearer meetings were seen before, so the outermost nodes of both sides meet
+        there, here = (fronts[k].select(F.col("end").alias(k), "node") for k in ("source", "target"))
+        hits = _cut(waiting.join(there, "source").join(here, ["target", "node"]).select("source", "target", F.lit(total).alias("distance"), "node", F.lit(reached["target"]).alias("back")))
+        met = met.union(hits)
+        waiting = _cut(waiting.join(hits, ["source", "target"], "left_anti"))
+        if waiting.isEmpty():
+            break
+    met = _cut(met)
+    most = met.agg(F.max("back"), F.max(F.col("distance") - F.col("back"))).first()
+    # from where they met to the target: of each node on a shortest path the least one before it
+    level, before = met.where(F.col("back") == most[0]), {}
+    for k in range((most[0] or 0) - 1, -1, -1):
+        outer = sides["target"].where(F.col("distance") == k).select(F.col("end").alias("target"), "node")
+        near = level.join(steps, level["node"] == steps["src"]).select("source", "target", F.col("dst").alias("node"), F.col("src").alias("parent"))
+        before[k] = _cut(near.join(outer, ["target", "node"]).groupBy("source", "target", "node").agg(F.min("parent").alias("parent")))
+        level = before[k].select("source", "target", "node").union(met.where(F.col("back") == k).select("source", "target", "node"))
+    walk = met.select("source", "target", "distance", F.array("target").alias("path"), F.col("target").alias("at")).distinct()
+    for k in range(most[0] or 0):
+        walk = walk.join(before[k].select("source", "target", F.col("node").alias("at"), "parent"), ["source", "target", "at"], "left")
+        walk = walk.select("source", "target", "distance", F.when(F.col("parent").isNotNull(), F.concat(F.array("parent"), F.col("path"))).otherwise(F.col("path")).alias("path"), F.coalesce("parent", "at").alias("at"))
+    back = sides["source"].select(F.col("end").alias("source"), F.col("node").alias("at"), "parent")
+    for _ in range(most[1] or 0):
+        walk = walk.join(back, ["source", "at"], "left")
+        walk = walk.select("source", "target", "distance", F.when(F.col("parent").isNotNull(), F.concat(F.array("parent"), F.col("path"))).otherwise(F.col("path")).alias("path"), F.coalesce("parent", "at").alias("at"))
     return walk.select("source", "target", "distance", "path")
 
 

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.operators import decorate, links, paths, resolve, snmp, store, vlan_evidence
+from netloom.operators import context, decorate, housekeeping, links, paths, resolve, snmp, store, upstream, vlan_evidence
 
 
 def test_parallel_cables_stay_apart(spark: SparkSession) -> None:
@@ -128,3 +131,76 @@ def test_evidence_stays_in_scope(spark: SparkSession) -> None:
     assert {tuple(r) for r in members.collect()} == {("vlan:nb:a:5", "d1"), ("vlan:ps:x:5", "d3")}
     wrong = spark.createDataFrame([("vlan:nb:a:5", "d1"), ("vlan:nb:a:5", "d2"), ("vlan:nb:a:5", "d3"), ("vlan:ps:x:5", "d2")], "vlan string, device string")
     assert {r["device"] for r in vlan_evidence.out_of_scope(wrong, vlans, devices).collect()} == {"d2", "d3"}
+
+
+def test_two_sided_paths_equal_a_plain_search(spark: SparkSession) -> None:
+    """Of paths of one length the one whose nodes, seen from the target, are the least."""
+    rng = random.Random(8)
+    for n, m in ((40, 55), (25, 24), (30, 120)):
+        nodes = [f"n{k:02}" for k in range(n)]
+        edges = [tuple(rng.sample(nodes, 2)) for _ in range(m)]
+        steps: dict[str, set[str]] = {x: set() for x in nodes}
+        for a, b in edges:
+            steps[a].add(b)
+            steps[b].add(a)
+        pairs = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(40)]
+        want = {}
+        for a, b in pairs:
+            away, front = {a: 0}, [a]
+            while front:
+                front = sorted({y for x in front for y in steps[x]} - set(away))
+                away |= dict.fromkeys(front, max(away.values()) + 1)
+            if away.get(b, 99) <= 6:
+                path = [b]
+                while path[0] != a:
+                    path.insert(0, min(x for x in steps[path[0]] if away.get(x, 99) == away[path[0]] - 1))
+                want[a, b] = path
+        got = paths.shortest_paths(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(pairs, "source string, target string"), 6).collect()
+        assert {(r["source"], r["target"]): r["path"] for r in got} == want and len(got) == len(want)
+        assert all(r["distance"] == len(r["path"]) - 1 for r in got)
+
+
+def test_a_gate_takes_another_way_out(spark: SparkSession) -> None:
+    """Gates a and b both serve c; each uses the other, through nodes whose nearest gate is the one that asks."""
+    links = spark.createDataFrame([("a", "x"), ("x", "y"), ("y", "b"), ("y", "c"), ("d", "d2")], "src string, dst string")
+    gates = spark.createDataFrame([("a", "s1", "A", 1), ("b", "s2", "B", 1), ("x", "s2", "X", 2)], "id string, site string, name string, tier int")
+    edge = spark.createDataFrame([("a", "s1"), ("b", "s2"), ("c", "s1"), ("x", None), ("d", "s1")], "id string, site string")
+    got = {r["device"]: (r["upstream"], r["tier"], r["same_site"], r["hops"]) for r in upstream.ways_out(edge, gates, links).collect()}
+    assert got == {"a": ("b", 1, False, 3), "b": ("a", 1, False, 3), "c": ("a", 1, True, 3), "x": ("a", 1, True, 1), "d": ("internet:0", None, None, None)}
+
+
+def test_unique_paths_use_no_edge_twice(spark: SparkSession) -> None:
+    edges = [(1, "a", "b"), (2, "a", "b"), (3, "b", "c"), (4, "c", "c"), (5, "c", "a")]
+    want = []
+
+    def walk(at: str, used: tuple, nodes: tuple) -> None:
+        if used:
+            want.append((used, nodes))
+        if len(used) < 4:
+            for e, x, y in edges:
+                for a, b in {(x, y), (y, x)}:
+                    if a == at and e not in used:
+                        walk(b, (*used, e), (*nodes, b))
+
+    walk("a", (), ("a",))
+    got = context.unique_paths(spark.createDataFrame(edges, "eid long, src string, dst string"), spark.createDataFrame([("a",)], "node string"), 9).collect()
+    assert sorted((tuple(r["edge_ids"]), tuple(r["nodes"])) for r in got) == sorted(want)
+    with pytest.raises(ValueError, match="fewer"):
+        context.unique_paths(spark.createDataFrame(edges, "eid long, src string, dst string"), spark.createDataFrame([("a",)], "node string"), 4, most=3)
+
+
+def test_context_of_the_best_device_of_a_name(spark: SparkSession) -> None:
+    nodes = spark.createDataFrame([("d1", "Device", {"name": "sw", "stub": "true"}, "a"), ("d2", "Device", {"name": "sw"}, "b"), ("d3", "Device", {"name": "sw", "id": "reserved"}, "a"), ("i1", "Interface", {"name": "Gi1"}, "b"), ("v1", "VLAN", None, None), ("far", "Device", {"name": "x"}, "a")], "id string, type string, props map<string,string>, source_adapter string")
+    edges = spark.createDataFrame([(1, "d3", "i1", "HAS_INTERFACE", None), (2, "i1", "v1", "LOGICAL_MEMBER", {"k": "v"}), (3, "v1", "far", "X", None), (4, "d3", "d2", "PHYSICAL_LINK", None), (5, "d3", "d2", "PHYSICAL_LINK", None)], "eid long, src string, dst string, type string, props map<string,string>")
+    (doc,) = context.contexts(nodes, edges, spark.createDataFrame([("sw",), ("none",)], "name string"), 2).collect()
+    assert (doc["device"], doc["neighbors"], doc["interfaces"], doc["vlans"]) == ("d3", ["d2"], ["i1"], ["v1"])
+    assert {e["id"] for e in doc["edges"]} == {"d3-HAS_INTERFACE-i1-1", "i1-LOGICAL_MEMBER-v1-2", "d3-PHYSICAL_LINK-d2-4", "d3-PHYSICAL_LINK-d2-5"}
+    assert [n["id"] for n in doc["nodes"]] == ["d2", "d3", "i1", "v1"] and '"neo4j_id":"reserved"' in doc["nodes"][1]["props"]
+
+
+def test_chains_of_unheld_nodes_go_in_one_call(spark: SparkSession) -> None:
+    nodes = spark.createDataFrame([("d", "Device"), ("i", "Interface"), ("p", "IPAddress"), ("lost", "Interface"), ("q", "IPAddress"), ("both", "IPAddress"), ("m", "MACAddress"), ("r", "ARPEntry"), ("v", "VLAN")], "id string, type string")
+    edges = spark.createDataFrame([("d", "i", "HAS_INTERFACE"), ("i", "p", "ASSIGNED_IP"), ("gone", "lost", "HAS_INTERFACE"), ("lost", "q", "ASSIGNED_IP"), ("lost", "both", "ASSIGNED_IP"), ("i", "both", "ASSIGNED_IP"), ("lost", "m", "LEARNED_MAC"), ("m", "r", "HAS_ARP"), ("i", "q", "OTHER"), ("i", "v", "LOGICAL_MEMBER")], "src string, dst string, type string")
+    kept, left = housekeeping.swept(nodes, edges)
+    assert {r["id"] for r in kept.collect()} == {"d", "i", "p", "both", "v"}
+    assert {(r["src"], r["dst"]) for r in left.collect()} == {("d", "i"), ("i", "p"), ("i", "both"), ("i", "v")}
