@@ -68,10 +68,19 @@ def cidr(address: Column, length: Column) -> Column:
     return F.concat(ipv4_text(network4(ipv4(address), length)), F.lit("/"), length.cast("string"))
 
 
+def ipv6_text(digits: Column) -> Column:
+    """The usual short form of 32 hexadecimal digits: no leading zeros, the
+    longest run of zero groups (of equal ones the first, two groups at least) as ``::``."""
+    groups = F.transform(F.regexp_extract_all(digits, F.lit("(....)"), 1), lambda g: F.regexp_replace(g, "^0{1,3}", ""))
+    whole = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
+    runs = [":" + "0:" * n for n in range(8, 1, -1)]
+    short = F.coalesce(*(F.when(F.instr(whole, r) > 0, F.concat(F.substr(whole, F.lit(1), F.instr(whole, r) - 1), F.lit("::"), F.substr(whole, F.instr(whole, r) + len(r)))) for r in runs), whole)
+    return F.regexp_replace(F.regexp_replace(short, "^:(?=[^:])", ""), "(?<=[^:]):$", "")
+
+
 def cidr6(address: Column, length: Column) -> Column:
-    """``network/length`` of an IPv6 address, its groups written out."""
-    groups = F.regexp_extract_all(network6(ipv6(address), length), F.lit("(....)"), 1)
-    return F.concat(F.array_join(groups, ":"), F.lit("/"), length.cast("string"))
+    """``network/length`` of an IPv6 address, in its short form."""
+    return F.concat(ipv6_text(network6(ipv6(address), length)), F.lit("/"), length.cast("string"))
 
 
 def netmask_length(mask: Column) -> Column:

@@ -23,21 +23,66 @@ def containing(pairs: DataFrame, addresses: DataFrame, networks: DataFrame, leng
     return pairs.join(a, "src").join(b, ["dst", "prefix_len", "network"]).distinct()
 
 
+def _masked(digits: Column, length: Column) -> Column:
+    """An address of ``digits`` (a number's 8 or 32 hexadecimal ones) masked to ``length``."""
+    return network6(F.rpad(digits, 32, "0"), length)
+
+
+def _digits(ip: Column) -> Column:
+    return F.coalesce(F.lower(F.lpad(F.hex(ipv4(ip)), 8, "0")), ipv6(ip))
+
+
+def _lengths(prefixes: DataFrame) -> Column:
+    """The lengths in use, as an array for each version: 162 numbers at most."""
+    used = prefixes.groupBy("version").agg(F.sort_array(F.collect_set("prefix_len")).alias("lengths")).collect()
+    found = {r["version"]: r["lengths"] for r in used}
+    of = lambda v: F.array(*map(F.lit, found.get(v) or [])).cast("array<int>")
+    return F.when(F.col("version") == 4, of(4)).otherwise(of(6))
+
+
+def prefixes(cidrs: DataFrame) -> DataFrame:
+    """(cidr, version, prefix_len, network) of ``cidrs(cidr)``, of both versions;
+    unreadable ones go. Networks are 32 hexadecimal digits, those of version 4
+    in the first eight."""
+    ip, length = F.split("cidr", "/")[0], F.try_element_at(F.split("cidr", "/"), F.lit(2)).try_cast("int")
+    rows = cidrs.select("cidr", _digits(ip).alias("_d"), F.when(ipv4(ip).isNotNull(), 4).otherwise(6).alias("version"), length.alias("prefix_len"))
+    rows = rows.where("_d is not null and prefix_len between 0 and if(version = 4, 32, 128)").distinct()
+    return rows.select("cidr", "version", "prefix_len", _masked(F.col("_d"), F.col("prefix_len")).alias("network"))
+
+
+def prefix_parents(cidrs: DataFrame) -> DataFrame:
+    """(cidr, parent): the longest other prefix that holds each of ``cidrs(cidr)``,
+    null without one. A prefix looks itself up under the shorter lengths in use,
+    so each meets what holds it by one equality join."""
+    rows = prefixes(cidrs)
+    keys = rows.withColumn("n", F.explode(F.filter(_lengths(rows), lambda n: n < F.col("prefix_len")))).select("cidr", "version", F.col("n").alias("prefix_len"), _masked(F.col("network"), F.col("n")).alias("network"))
+    held = keys.join(rows.withColumnRenamed("cidr", "parent"), ["version", "prefix_len", "network"]).groupBy("cidr").agg(F.max_by("parent", F.struct("prefix_len", "parent")).alias("parent"))
+    return rows.select("cidr").join(held, "cidr", "left")
+
+
+def holding(pairs: DataFrame, addresses: DataFrame, cidrs: DataFrame) -> DataFrame:
+    """``pairs(src, dst)`` with each of ``cidrs(cidr)`` that holds an address of
+    both ends, ``addresses(device, ip)`` of either version."""
+    rows = prefixes(cidrs)
+    own = addresses.select("device", _digits(F.col("ip")).alias("_d"), F.when(ipv4(F.col("ip")).isNotNull(), 4).otherwise(6).alias("version")).where("_d is not null")
+    keys = own.withColumn("prefix_len", F.explode(_lengths(rows))).select("device", "version", "prefix_len", _masked(F.col("_d"), F.col("prefix_len")).alias("network"))
+    inside = keys.join(rows, ["version", "prefix_len", "network"]).select("device", "cidr").distinct()
+    return pairs.join(inside.withColumnRenamed("device", "src"), "src").join(inside.withColumnRenamed("device", "dst"), ["dst", "cidr"]).select(*pairs.columns, "cidr").distinct()
+
+
 def egress(peers: DataFrame, interfaces: DataFrame, rank: Sequence[Column]) -> DataFrame:
     """``peers(peer, peer_ip)`` with the one of ``interfaces(iface, ip)`` that
-    shares the longest prefix, of /31 to /24 or /127 to /64, then by ``rank``."""
-    v4, v6 = range(24, 32), range(64, 128)
-
-    def keys(ip: Column) -> Column:
-        of = lambda n, net: F.struct(F.lit(n).alias("prefix_len"), net.cast("string").alias("network"))
-        four = F.array(*(of(n, network4(ipv4(ip), n)) for n in v4))
-        six = F.transform(F.sequence(F.lit(v6.start), F.lit(v6.stop - 1)), lambda n: F.struct(n.alias("prefix_len"), network6(ipv6(ip), n).alias("network")))
-        return F.explode(F.when(ipv4(ip).isNotNull(), four).when(ipv6(ip).isNotNull(), six))
-
-    left = peers.select("*", keys(F.col("peer_ip")).alias("k")).select(*peers.columns, "k.*")
-    right = interfaces.select("*", keys(F.col("ip")).alias("k")).select(*interfaces.columns, "k.*")
-    met = left.join(right, ["prefix_len", "network"])
-    return met.groupBy(*peers.columns).agg(F.max_by(F.struct("iface", "prefix_len"), F.struct("prefix_len", *rank)).alias("x")).select(*peers.columns, "x.*")
+    shares the longest prefix, of /31 to /24 or /127 to /64, then by ``rank``.
+    Both meet in their /24 or /64 once, an interface for each address there, and
+    the bits in which they differ tell the length."""
+    block = lambda ip: F.coalesce(network4(ipv4(ip), 24).cast("string"), F.substring(ipv6(ip), 1, 16)).alias("_block")
+    low = lambda ip: F.coalesce(ipv4(ip), F.conv(F.substring(ipv6(ip), 17, 16), 16, -10).cast("bigint"))
+    best = F.max(F.struct(*(r.alias(f"r{i}") for i, r in enumerate(rank)), "iface")).alias("_i")
+    right = interfaces.groupBy(block(F.col("ip")), low(F.col("ip")).alias("_to")).agg(best)
+    left = peers.select("*", block(F.col("peer_ip")), low(F.col("peer_ip")).alias("_from"), F.when(ipv4(F.col("peer_ip")).isNotNull(), 32).otherwise(128).alias("_bits"))
+    length = F.least(F.col("_bits") - 1, F.col("_bits") - F.length(F.bin(F.col("_from").bitwiseXOR(F.col("_to")))))
+    met = left.join(right, "_block").withColumn("prefix_len", length)
+    return met.groupBy(*peers.columns).agg(F.max(F.struct("prefix_len", "_i")).alias("x")).select(*peers.columns, F.col("x._i.iface").alias("iface"), "x.prefix_len")
 
 
 def local_address(peers: DataFrame, addresses: DataFrame, devices: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def address_expressions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("walk_decoders", """
 SELECT s_suppkey AS k, s_name AS display, CASE WHEN s_suppkey % 2 = 0 THEN 'Ethernet1/' || s_suppkey % 9 ELSE '61:62:63:64:65:6' || s_suppkey % 9 END AS port, '10.0.' || s_suppkey % 256 || '.1' AS from_number, '10.1.' || s_suppkey % 200 || '.2' AS from_oid,
-  CASE WHEN s_suppkey % 2 = 0 THEN '10.0.0.' || s_suppkey % 250 ELSE '2001:0db8:0000:0000:0000:0000:0000:00' || lpad(lower(to_hex(s_suppkey % 250)), 2, '0') END AS inet, CASE WHEN s_suppkey % 2 = 0 THEN 4 ELSE 6 END AS version,
+  CASE WHEN s_suppkey % 2 = 0 THEN '10.0.0.' || s_suppkey % 250 ELSE '2001:db8::' || CASE WHEN s_suppkey % 250 > 0 THEN lower(to_hex(s_suppkey % 250)) ELSE '' END END AS inet, CASE WHEN s_suppkey % 2 = 0 THEN 4 ELSE 6 END AS version,
   CASE WHEN s_suppkey % 200 <= 128 THEN (s_suppkey % 200)::INTEGER END AS length FROM supplier""")
 def walk_decoders(spark: SparkSession, folder: str) -> DataFrame:
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
@@ -439,7 +439,7 @@ def mac_vendors(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("device_addresses", """
 SELECT 's' || s_suppkey AS device, CASE WHEN s_suppkey % 2 = 0 THEN '10.0.' || s_suppkey % 250 || '.9' ELSE '2001:db8::' || s_suppkey % 9 || ':1' END AS ip, CASE WHEN s_suppkey % 2 = 0 THEN 4 ELSE 6 END AS version,
-  CASE WHEN s_suppkey % 2 = 0 THEN '10.0.' || s_suppkey % 250 || '.0/24' ELSE '2001:0db8:0000:0000:0000:0000:0000:0000/64' END AS prefix FROM supplier""")
+  CASE WHEN s_suppkey % 2 = 0 THEN '10.0.' || s_suppkey % 250 || '.0/24' ELSE '2001:db8::/64' END AS prefix FROM supplier""")
 def device_addresses(spark: SparkSession, folder: str) -> DataFrame:
     s = table(spark, folder, "supplier")
     ip = F.when(key() % 2 == 0, F.concat(F.lit("10.0."), key() % 250, F.lit(".9"))).otherwise(F.concat(F.lit("2001:db8::"), key() % 9, F.lit(":1")))

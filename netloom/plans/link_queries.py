@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.functions.network import ipv4_text, network4
+from netloom.functions.network import ipv4_text, ipv6_text, network4
 from netloom.operators import decorate, links as L, paths, resolve
 from netloom.plans.catalog import query
 from netloom.plans.graph import DEVICES, LINES, LINKS, STEPS, devices, lines, links, table, topology
@@ -111,16 +111,57 @@ def prefix_containment(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("longest_prefix", """
-WITH peer AS (SELECT c_custkey AS peer, 167772160 + c_custkey * 13 AS a FROM customer), ifs AS (SELECT s_suppkey AS iface, 167772160 + s_suppkey * 101 AS a, s_acctbal AS health FROM supplier),
-m AS (SELECT peer, iface, health, len FROM peer p JOIN ifs i ON (p.a >> 8) = (i.a >> 8), unnest(range(24, 32)) t(len) WHERE (p.a >> (32 - len)) = (i.a >> (32 - len))),
+WITH peer AS (SELECT c_custkey AS peer, CASE WHEN c_custkey % 3 = 0 THEN 6 ELSE 4 END AS v, 167772160 + c_custkey * 13 AS a FROM customer),
+ifs AS (SELECT s_suppkey AS iface, v, 167772160 + s_suppkey * 101 AS a, s_acctbal AS health FROM supplier, unnest([4, 6]) t(v)),
+m AS (SELECT peer, iface, health, least(CASE p.v WHEN 4 THEN 31 ELSE 127 END, CASE p.v WHEN 4 THEN 32 ELSE 128 END - length(bin(xor(p.a, i.a)))) AS len FROM peer p JOIN ifs i ON p.v = i.v AND (p.v = 6 OR (p.a >> 8) = (i.a >> 8))),
 r AS (SELECT *, row_number() OVER (PARTITION BY peer ORDER BY len DESC, health DESC, iface) AS k FROM m)
-SELECT peer, iface, len AS prefix_len FROM r WHERE k = 1""")
+SELECT peer, iface, len::BIGINT AS prefix_len FROM r WHERE k = 1""")
 def longest_prefix(spark: SparkSession, folder: str) -> DataFrame:
-    peers = table(spark, folder, "customer").select(F.col("c_custkey").alias("peer"), ipv4_text(F.lit(167772160) + F.col("c_custkey") * 13).alias("peer_ip"))
-    ifs = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("iface"), ipv4_text(F.lit(167772160) + F.col("s_suppkey") * 101).alias("ip"), F.col("s_acctbal").alias("health"))
+    """Every third peer by IPv6; interfaces have an address of each version."""
+    number = lambda c, by: F.lit(167772160) + F.col(c) * by
+    six = lambda n: ipv6_text(F.concat(F.lit("20010db800000000"), F.lpad(F.lower(F.hex(n)), 16, "0")))
+    of = number("c_custkey", 13)
+    peers = table(spark, folder, "customer").select(F.col("c_custkey").alias("peer"), F.when(F.col("c_custkey") % 3 == 0, six(of)).otherwise(ipv4_text(of)).alias("peer_ip"))
+    n = number("s_suppkey", 101)
+    ifs = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("iface"), F.explode(F.array(ipv4_text(n), six(n))).alias("ip"), F.col("s_acctbal").alias("health"))
     return decorate.egress(peers, ifs, [F.col("health"), -F.col("iface")]).select("peer", "iface", F.col("prefix_len").cast("bigint").alias("prefix_len"))
 
 
+_NETS = """ip AS (SELECT s_suppkey AS device, 167772160 + s_suppkey * 37 AS a FROM supplier),
+nets AS (
+  SELECT DISTINCT 4 AS v, len, (a >> (32 - len)) << (32 - len) AS lo FROM ip, unnest([16, 20, 24, 28]) t(len) WHERE device % 2 = 0 OR len > 20
+  UNION SELECT DISTINCT 6, 96 + len, (a >> (32 - len)) << (32 - len) FROM ip, unnest([12, 22, 26, 32]) t(len) WHERE device % 3 > 0 OR len < 26),
+named AS (SELECT *, lo + (1::BIGINT << (CASE v WHEN 4 THEN 32 ELSE 128 END - len)) AS hi, v || '/' || lo || '/' || len AS name FROM nets)"""
+
+
+def _nets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(device, ip) of both versions, and (cidr, name) of the networks around them."""
+    six = lambda n: ipv6_text(F.concat(F.lit("20010db80000000000000000"), F.lpad(F.lower(F.hex(n)), 8, "0")))
+    ip = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("device"), (F.lit(167772160) + F.col("s_suppkey") * 37).alias("a"))
+    lengths = lambda *n: F.explode(F.array(*map(F.lit, n))).alias("len")
+    low = network4(F.col("a"), F.col("len"))
+    four = ip.select("device", "a", lengths(16, 20, 24, 28)).where("device % 2 = 0 or len > 20").select(F.concat_ws("/", ipv4_text(low), "len").alias("cidr"), F.concat_ws("/", F.lit("4"), low, "len").alias("name"))
+    sixes = ip.select("device", "a", lengths(12, 22, 26, 32)).where("device % 3 > 0 or len < 26").select(F.concat_ws("/", six(low), F.col("len") + 96).alias("cidr"), F.concat_ws("/", F.lit("6"), low, F.col("len") + 96).alias("name"))
+    return ip.select("device", F.explode(F.array(ipv4_text(F.col("a")), six(F.col("a")))).alias("ip")), four.union(sixes).distinct()
+
+
+@query("prefix_parents", f"""
+WITH {_NETS} SELECT x.name, arg_max(y.name, y.len) AS parent FROM named x LEFT JOIN named y ON x.v = y.v AND y.len < x.len AND y.lo <= x.lo AND x.hi <= y.hi GROUP BY x.name""")
+def prefix_parents(spark: SparkSession, folder: str) -> DataFrame:
+    _, nets = _nets(spark, folder)
+    found = decorate.prefix_parents(nets.select("cidr"))
+    return found.join(nets, "cidr").select("name", F.col("parent").alias("_p")).join(nets.select(F.col("cidr").alias("_p"), F.col("name").alias("parent")), "_p", "left").select("name", "parent")
+
+
+@query("prefix_holding", f"""
+WITH {_NETS} SELECT x.device AS src, y.device AS dst, n.name FROM ip x JOIN named n ON x.a >= n.lo AND x.a < n.hi JOIN ip y ON y.a >= n.lo AND y.a < n.hi AND x.device + 1 = y.device""")
+def prefix_holding(spark: SparkSession, folder: str) -> DataFrame:
+    """Networks of both versions that hold both of two suppliers."""
+    ips, nets = _nets(spark, folder)
+    pairs = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") + 1).alias("dst"))
+    return decorate.holding(pairs, ips, nets.select("cidr")).join(nets, "cidr").select("src", "dst", "name")
+
+
 @query("k_hop", f"""
 WITH RECURSIVE {STEPS}, walk AS (SELECT 's1' AS node, 0 AS d UNION SELECT t.dst, d + 1 FROM walk w JOIN steps t ON t.src = w.node WHERE d < 4)
 SELECT node, min(d) AS distance FROM walk GROUP BY node""")
