@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.lineage import cut, without_ids
-from netloom.llm.text import WORD, chunks, code_points, mix, prefix_hash, shingle_hashes, span_hash, spans, utf8
+from netloom.llm.text import WORD, chunks, code_points, mix, prefix_hash, released, shingle_hashes, span_hash, spans, utf8
 
 WINDOW = 5
 #: Words of a window at least that aren't placeholders.
@@ -268,7 +268,7 @@ def _found(docs: DataFrame, block: Block) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, coverage double, slots long, changed_slots long, consistency double")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, item_id long, coverage double, slots long, changed_slots long, consistency double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

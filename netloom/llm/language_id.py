@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.llm.lineage import cut, without_ids
-from netloom.llm.text import chunks, code_points, letters, mix, utf8
+from netloom.llm.text import chunks, code_points, letters, mix, released, utf8
 
 ORDER = 4
 #: Size of a model at most that is sent to the executors.
@@ -303,9 +303,9 @@ def entropies(docs: DataFrame, model: Model | Tables, *columns: str) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), h], ["own", "n", "h"])
 
         rows = docs.select("text", F.struct(*own).alias("own"))
-        return rows.mapInArrow(run, T.StructType([rows.schema["own"], T.StructField("n", T.LongType()), T.StructField("h", T.ArrayType(T.DoubleType()))])).select("own.*", "n", "h")
+        return rows.mapInArrow(released(run), T.StructType([rows.schema["own"], T.StructField("n", T.LongType()), T.StructField("h", T.ArrayType(T.DoubleType()))])).select("own.*", "n", "h")
     rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "text", *own))
-    counts = cut(rows.select("row", "text").mapInArrow(_gram_counts, "row long, gram long, n long"))
+    counts = cut(rows.select("row", "text").mapInArrow(released(_gram_counts), "row long, gram long, n long"))
     gains = cut(model.gains(counts.select("gram").distinct()))
     sums = counts.join(gains, "gram").groupBy("row", "lang").agg(F.sum(F.col("n") * F.col("gain")).alias("gain")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("lang", "gain"))).alias("gain"))
     sizes = counts.groupBy("row").agg(F.sum("n").alias("n"))
@@ -327,7 +327,7 @@ def train(docs: DataFrame, model_cells: int = MODEL_CELLS) -> Trained:
     held out by ``held_out``, aren't used. What comes to the driver are the
     counts of a model of up to ``model_cells``, and a row for each language."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & ~held_out(F.col("doc_id")))
-    counts = cut(rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = cut(rows.select("text", "lang").mapInArrow(released(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     size, langs = counts.agg(F.count("*"), F.count_distinct("lang")).first()
     if size * langs > model_cells:
         return calibrated(Tables.of(counts), rows)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.components import components
 from netloom.llm.lineage import cut, cut_narrow, with_ids
-from netloom.llm.text import mix, shingle_sets
+from netloom.llm.text import mix, released, shingle_sets
 
 SHINGLE_WORDS = 5
 COORDINATES = 48
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             a, b = np.array(whole, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(a), pa.array(b), _lists(signs)], ["doc_id", "n_shingles", "set_a", "set_b", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature array<long>")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_shingles long, set_a long, set_b long, signature array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(list(shingle_sets(batch.column(1), SHINGLE_WORDS)))], ["id", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, hashes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "id long, hashes array<long>")
 
 
 def _linked(common: Column, x: str = "n_x", y: str = "n_y") -> Column:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.text import chunks, code_points, mix, prefix_hash, span_hash, utf8
+from netloom.llm.text import chunks, code_points, mix, prefix_hash, released, span_hash, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Exponent of the pieces' weights: 0 draws all paths alike, large values the likeliest one.
@@ -260,7 +260,7 @@ def encoded(docs: DataFrame, path: str = MODEL, sharpness: float = SHARPNESS) ->
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])), mask=batch.column(1).is_null())
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(size, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "pieces", "n_pieces", "lossless"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pieces array<int>, n_pieces long, lossless boolean")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, pieces array<int>, n_pieces long, lossless boolean")
 
 
 def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:

@@ -7,12 +7,39 @@ string for each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+
+Batches = Iterator[pa.RecordBatch]
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, at whose end the worker gives back what it freed: workers are
+    used again by later stages, whose memory would else come on top."""
+
+    def held(batches: Batches) -> Batches:
+        yield from run(batches)
+        _give_back()
+
+    return held
+
+
+def _give_back() -> None:
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BLANK = np.zeros(256, dtype=bool)
