@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.lineage import cut
 from netloom.llm.perfect_hash import Shards, build, shard_of, term_hashes
-from netloom.llm.text import chunks, lower, spans, utf8
+from netloom.llm.text import chunks, lower, released, spans, utf8
 
 LEAST_DOCUMENTS = 3
 SCALE = 1_000_000_000
@@ -137,7 +137,7 @@ def _built(key: tuple, rows: pa.Table) -> pa.Table:
 def perfect_hashes(rows: DataFrame) -> tuple[DataFrame, int]:
     """((lang, shard, sizes, bits, keys), number of shards) of the terms that
     stand in ``LEAST_DOCUMENTS`` of their language's ``rows(lang, source, text)``."""
-    counts = rows.select("lang", "text").mapInArrow(_counted(["lang"], True), "lang string, term string, n long")
+    counts = rows.select("lang", "text").mapInArrow(released(_counted(["lang"], True)), "lang string, term string, n long")
     kept = cut(counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).select("lang", "term"))
     shards = max(1, -(-kept.count() // SHARD_TERMS))
     built = _placed(kept, shards).groupBy("lang", "shard").applyInArrow(_built, "lang string, shard long, sizes array<long>, bits binary, keys array<string>")
@@ -282,8 +282,8 @@ def recount(rows: DataFrame, hashes: DataFrame, shards: int, broadcast_bytes: in
     size = hashes.agg(F.coalesce(F.sum(F.length("bits") + F.aggregate("keys", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 8)), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
         sent = rows.sparkSession.sparkContext.broadcast(hashes.orderBy("lang", "shard").toArrow())
-        return rows.select("lang", "source", "text").mapInArrow(_recounted(lambda: Shards(sent.value), shards), _PARTS)
-    counts = rows.select("lang", "source", "text").mapInArrow(_counted(["lang", "source"], False), "lang string, source string, term string, n long")
+        return rows.select("lang", "source", "text").mapInArrow(released(_recounted(lambda: Shards(sent.value), shards)), _PARTS)
+    counts = rows.select("lang", "source", "text").mapInArrow(released(_counted(["lang", "source"], False)), "lang string, source string, term string, n long")
     counts = _placed(counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), shards)
     both = hashes.unionByName(counts, allowMissingColumns=True)
     return both.repartition("lang", "shard").sortWithinPartitions("lang", "shard", F.asc_nulls_first("source")).mapInArrow(_dealt, _PARTS)
@@ -379,7 +379,7 @@ def divergences(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Data
     kept = hashes.groupBy("lang").agg(F.sum(F.size("keys")).alias("kept"))
     heads = hashes.select("lang", "shard", "keys").join(of_lang, "lang").join(kept, "lang")
     every = heads.unionByName(parts.drop("total"), allowMissingColumns=True)
-    values = cut(every.repartition("lang", "shard").sortWithinPartitions("lang", "shard", F.asc_nulls_first("source")).mapInArrow(_compared, _VALUES))
+    values = cut(every.repartition("lang", "shard").sortWithinPartitions("lang", "shard", F.asc_nulls_first("source")).mapInArrow(released(_compared), _VALUES))
     pairs = of_lang.select("lang", F.explode("sources").alias("source"), "sources").select("lang", "source", F.explode("sources").alias("item")).where("source <> item")
     zeros = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.lit(0).cast("long").alias("value"))
     pairs = values.where("part = 'pair'").unionByName(zeros).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
