@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from netloom.plans import context_queries, detail_queries, link_queries, read_queries, scalar_queries, search_queries, series_queries, store_queries, stream_queries, walk_queries  # noqa: F401
+    from netloom.plans import context_queries, detail_queries, link_queries, listing_queries, read_queries, scalar_queries, search_queries, series_queries, store_queries, stream_queries, walk_queries  # noqa: F401
 
 
 load()
