@@ -15,31 +15,31 @@ _LONG = "CASE WHEN {0} LIKE 'Gi%' THEN 'GigabitEthernet' || substr({0}, 3) WHEN
 
 
 @query("mac_correlation", f"""
-WITH {LINES}, learned AS (SELECT DISTINCT src AS device, 'Gi' || l_linenumber AS interface, l_partkey AS mac FROM lines WHERE l_quantity > 49),
-owned AS (SELECT DISTINCT dst AS device, l_partkey AS mac FROM lines WHERE l_quantity < 2),
+WITH {LINES}, learned AS (SELECT DISTINCT src AS device, 'Gi' || l_linenumber AS interface, l_partkey AS mac FROM lines WHERE l_linenumber % 2 = 1),
+owned AS (SELECT DISTINCT dst AS device, l_partkey AS mac FROM lines WHERE l_linenumber % 2 = 0),
 trusted AS (SELECT DISTINCT src, dst FROM lines WHERE l_discount > 0.08),
 met AS (SELECT l.device, l.interface, l.mac, o.device AS owner FROM learned l JOIN owned o USING (mac) WHERE NOT EXISTS (SELECT 1 FROM trusted t WHERE t.src = l.device AND t.dst = o.device)),
 best AS (SELECT *, row_number() OVER (PARTITION BY device, owner ORDER BY interface, mac) AS k FROM met)
 SELECT device AS src, owner AS dst, interface AS interface_a, 'mac_correlation' AS proto, 0.85::DOUBLE AS confidence, mac FROM best WHERE k = 1""")
 def mac_correlation(spark: SparkSession, folder: str) -> DataFrame:
     rows = lines(spark, folder)
-    learned = rows.where("l_quantity > 49").select(F.col("src").alias("device"), F.concat(F.lit("Gi"), "l_linenumber").alias("interface"), F.col("l_partkey").alias("mac")).distinct()
-    owned = rows.where("l_quantity < 2").select(F.col("dst").alias("device"), F.col("l_partkey").alias("mac")).distinct()
+    learned = rows.where("l_linenumber % 2 = 1").select(F.col("src").alias("device"), F.concat(F.lit("Gi"), "l_linenumber").alias("interface"), F.col("l_partkey").alias("mac")).distinct()
+    owned = rows.where("l_linenumber % 2 = 0").select(F.col("dst").alias("device"), F.col("l_partkey").alias("mac")).distinct()
     trusted = rows.where("l_discount > 0.08").select("src", "dst", F.lit("lldp").alias("proto"))
     return L.from_macs(learned, owned, trusted).select("src", "dst", "interface_a", "proto", "confidence", "mac")
 
 
 @query("arp_correlation", f"""
-WITH {LINES}, bound AS (SELECT DISTINCT src AS device, 'Gi' || l_linenumber AS interface, o_orderkey % 5000 AS ip, l_partkey AS mac FROM lines WHERE l_quantity > 45),
-owned AS (SELECT DISTINCT dst AS device, l_orderkey % 5000 AS ip FROM lines WHERE l_quantity < 5),
+WITH {LINES}, bound AS (SELECT DISTINCT src AS device, 'Gi' || l_linenumber AS interface, o_orderkey % 5000 AS ip, l_partkey AS mac FROM lines WHERE l_linenumber % 2 = 1),
+owned AS (SELECT DISTINCT dst AS device, l_orderkey % 5000 AS ip FROM lines WHERE l_linenumber % 2 = 0),
 known AS (SELECT DISTINCT src, dst FROM lines WHERE l_discount > 0.07),
 best AS (SELECT b.*, o.device AS owner, row_number() OVER (PARTITION BY b.device, o.device ORDER BY interface, mac) AS k FROM bound b JOIN owned o USING (ip)
   WHERE NOT EXISTS (SELECT 1 FROM known t WHERE t.src = b.device AND t.dst = o.device))
 SELECT device AS src, owner AS dst, interface AS interface_a, 0.65::DOUBLE AS confidence, mac FROM best WHERE k = 1""")
 def arp_correlation(spark: SparkSession, folder: str) -> DataFrame:
     rows = lines(spark, folder)
-    bound = rows.where("l_quantity > 45").select(F.col("src").alias("device"), F.concat(F.lit("Gi"), "l_linenumber").alias("interface"), (F.col("o_orderkey") % 5000).alias("ip"), F.col("l_partkey").alias("mac")).distinct()
-    owned = rows.where("l_quantity < 5").select(F.col("dst").alias("device"), (F.col("l_orderkey") % 5000).alias("ip")).distinct()
+    bound = rows.where("l_linenumber % 2 = 1").select(F.col("src").alias("device"), F.concat(F.lit("Gi"), "l_linenumber").alias("interface"), (F.col("o_orderkey") % 5000).alias("ip"), F.col("l_partkey").alias("mac")).distinct()
+    owned = rows.where("l_linenumber % 2 = 0").select(F.col("dst").alias("device"), (F.col("l_orderkey") % 5000).alias("ip")).distinct()
     known = rows.where("l_discount > 0.07").select("src", "dst", F.lit("mac_correlation").alias("proto"))
     return L.from_arp(bound, owned, known).select("src", "dst", "interface_a", "confidence", "mac")
 

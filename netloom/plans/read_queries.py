@@ -62,14 +62,14 @@ def filter_catalog(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("cam_correlated", f"""
-WITH {LINES}, l AS (SELECT l_partkey AS mac, min(src || '/' || 'Gi' || l_linenumber) AS port FROM lines WHERE l_quantity > 48 GROUP BY 1), o AS (SELECT l_partkey AS mac, min(dst) AS owner FROM lines WHERE l_quantity < 3 GROUP BY 1),
-b AS (SELECT l_partkey AS mac, array_to_string(list_sort(list(DISTINCT l_orderkey % 50)), ',') AS ips FROM lines WHERE l_discount > 0.09 GROUP BY 1)
+WITH {LINES}, l AS (SELECT l_partkey AS mac, min(src || '/' || 'Gi' || l_linenumber) AS port FROM lines WHERE l_linenumber % 2 = 1 GROUP BY 1), o AS (SELECT l_partkey AS mac, min(dst) AS owner FROM lines WHERE l_linenumber % 2 = 0 GROUP BY 1),
+b AS (SELECT l_partkey AS mac, array_to_string(list_sort(list(DISTINCT l_orderkey % 50)), ',') AS ips FROM lines GROUP BY 1)
 SELECT coalesce(l.mac, o.mac, b.mac) AS mac, split_part(port, '/', 1) AS switch, owner, ips, CASE WHEN port IS NOT NULL THEN 'learned' WHEN owner IS NOT NULL THEN 'owned' ELSE 'arp' END AS source FROM l FULL JOIN o ON l.mac = o.mac FULL JOIN b ON b.mac = coalesce(l.mac, o.mac)""")
 def cam_correlated(spark: SparkSession, folder: str) -> DataFrame:
     rows = lines(spark, folder).withColumn("mac", F.col("l_partkey"))
-    learned = rows.where("l_quantity > 48").select("mac", F.col("src").alias("device"), F.concat(F.lit("Gi"), "l_linenumber").alias("interface"))
-    owned = rows.where("l_quantity < 3").select("mac", F.col("dst").alias("device"))
-    bound = rows.where("l_discount > 0.09").select("mac", (F.col("l_orderkey") % 50).alias("ip"))
+    learned = rows.where("l_linenumber % 2 = 1").select("mac", F.col("src").alias("device"), F.concat(F.lit("Gi"), "l_linenumber").alias("interface"))
+    owned = rows.where("l_linenumber % 2 = 0").select("mac", F.col("dst").alias("device"))
+    bound = rows.select("mac", (F.col("l_orderkey") % 50).alias("ip"))
     return report.correlated_cam(learned, owned, bound).select("mac", "switch", "owner", F.array_join(F.col("ips").cast("array<string>"), ",").alias("ips"), "source")
 
 
