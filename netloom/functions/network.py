@@ -6,6 +6,8 @@ digits, so containment is an equality join on masked values.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,17 +28,30 @@ def ipv4_text(value: Column) -> Column:
     return F.concat_ws(".", *(F.shiftright(value, n).bitwiseAND(255).cast("string") for n in (24, 16, 8, 0)))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it stands there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ipv6(text: Column) -> Column:
     """The address as 32 hexadecimal digits; null if it isn't one. Forms with an embedded IPv4 address aren't read."""
-    clean = F.lower(F.split(F.trim(text), "%")[0])
-    halves = F.split(clean, "::")
     words = lambda h: F.filter(F.split(h, ":"), lambda x: x != "")
-    left, right = words(halves[0]), F.when(F.size(halves) > 1, words(F.try_element_at(halves, F.lit(2)))).otherwise(F.array())
-    gap = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right)))
-    whole = F.when(F.size(halves) > 1, F.concat(left, gap, right)).otherwise(left)
-    digits = F.array_join(F.transform(whole, lambda x: F.lpad(x, 4, "0")), "")
-    good = clean.rlike(r"^[0-9a-f:]+$") & clean.contains(":") & (F.size(halves) <= 2) & F.forall(whole, lambda x: F.length(x) <= 4)
-    return F.when(good & (F.size(whole) == 8) & ~((F.size(halves) > 1) & (F.size(left) + F.size(right) > 7)), digits)
+    none = F.array().cast("array<string>")
+
+    def digits(clean: Column) -> Column:
+        cut = F.instr(clean, "::")
+        return _let(F.when(cut > 0, F.struct(words(F.substr(clean, F.lit(1), cut - 1)).alias("left"), words(F.substr(clean, cut + 2)).alias("right"), F.lit(True).alias("short"))).otherwise(F.struct(F.split(clean, ":").alias("left"), none.alias("right"), F.lit(False).alias("short"))), whole)
+
+    def whole(parts: Column) -> Column:
+        known = F.size(parts["left"]) + F.size(parts["right"])
+        fits = F.when(parts["short"], known <= 7).otherwise(known == 8)
+        groups = F.concat(parts["left"], F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - known)), parts["right"])
+        joined = F.array_join(F.transform(groups, lambda x: F.when((F.length(x) >= 1) & (F.length(x) <= 4), F.lpad(x, 4, "0")).otherwise("?")), "")
+        return F.when(fits, joined)
+
+    clean = F.lower(F.split(F.trim(text), "%")[0])
+    good = lambda c: F.when(c.rlike(r"^[0-9a-f:]+$") & c.contains(":") & ~c.rlike("::.*::|:::"), _let(digits(c), lambda d: F.when(F.length(d) == 32, F.when(~d.contains("?"), d))))
+    return _let(clean, good)
 
 
 def ip_version(text: Column) -> Column:
@@ -57,10 +72,14 @@ def network6(digits: Column, length: Column | int) -> Column:
     """The masked address, as 32 hexadecimal digits; the digit that the mask cuts is masked bit by bit."""
     length = F.lit(length) if isinstance(length, int) else length
     whole = F.floor(length / 4).cast("int")
-    digit = F.conv(F.substr(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
-    keep = F.pow(F.lit(2.0), 4 - length % 4).cast("int")
-    cut = F.lower(F.conv((F.floor(digit / keep) * keep).cast("string"), 10, 16))
-    return F.rpad(F.when(whole >= 32, digits).otherwise(F.concat(F.substr(digits, F.lit(1), whole), cut)), 32, "0")
+
+    def masked(d: Column) -> Column:
+        digit = F.conv(F.substr(d, whole + 1, F.lit(1)), 16, 10).cast("int")
+        keep = F.pow(F.lit(2.0), 4 - length % 4).cast("int")
+        cut = F.lower(F.conv((F.floor(digit / keep) * keep).cast("string"), 10, 16))
+        return F.rpad(F.when(whole >= 32, d).otherwise(F.concat(F.substr(d, F.lit(1), whole), cut)), 32, "0")
+
+    return _let(digits, masked)
 
 
 def cidr(address: Column, length: Column) -> Column:
@@ -72,9 +91,9 @@ def ipv6_text(digits: Column) -> Column:
     """The usual short form of 32 hexadecimal digits: no leading zeros, the
     longest run of zero groups (of equal ones the first, two groups at least) as ``::``."""
     groups = F.transform(F.regexp_extract_all(digits, F.lit("(....)"), 1), lambda g: F.regexp_replace(g, "^0{1,3}", ""))
-    whole = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
     runs = [":" + "0:" * n for n in range(8, 1, -1)]
-    short = F.coalesce(*(F.when(F.instr(whole, r) > 0, F.concat(F.substr(whole, F.lit(1), F.instr(whole, r) - 1), F.lit("::"), F.substr(whole, F.instr(whole, r) + len(r)))) for r in runs), whole)
+    cut = lambda w, r: F.when(F.instr(w, r) > 0, F.concat(F.substr(w, F.lit(1), F.instr(w, r) - 1), F.lit("::"), F.substr(w, F.instr(w, r) + len(r))))
+    short = _let(F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":")), lambda w: F.coalesce(*(cut(w, r) for r in runs), w))
     return F.regexp_replace(F.regexp_replace(short, "^:(?=[^:])", ""), "(?<=[^:]):$", "")
 
 

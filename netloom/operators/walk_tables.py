@@ -128,12 +128,13 @@ def graph_rows(told: DataFrame, ports: DataFrame, proto: str, most: int | None =
         taken = first.withColumn("_n", F.row_number().over(Window.partitionBy("device").orderBy("_first", "neighbor"))).where(F.col("_n") <= most)
         rows = rows.join(taken.select("device", "neighbor"), ["device", "neighbor"])
     rows = rows.join(ports.select("device", "ifindex", F.col("name").alias("_port")), ["device", "ifindex"], "left").withColumn("near", F.coalesce("_port", F.concat(F.lit("if-"), "ifindex")))
+    rows = rows.withColumns({"_a": normalize_ifname(F.col("near")), "_b": normalize_ifname(F.col("port"))})
     props = lambda **named: F.map_filter(F.create_map(*[x for k, v in named.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))]), lambda _, v: v.isNotNull())
     none = F.lit(None).cast("string")
     platform = F.coalesce(F.nullif("model", F.lit("")), F.lit("cisco" if proto == "cdp" else "unknown"))
     stub = props(name=F.col("name"), platform=platform, role="other", stub="true", discovered_via=proto, chassis_mac=F.col("chassis"), chassis_id_raw=F.col("chassis_raw"), chassis_id_subtype=F.col("subtype"), mgmt_ip=F.col("at"))
     one = rows.withColumn("_k", F.row_number().over(Window.partitionBy("neighbor").orderBy("device", "ord"))).where("_k = 1")
-    a, b = normalize_ifname(F.col("near")), normalize_ifname(F.col("port"))
+    a, b = F.col("_a"), F.col("_b")
     link = props(interface_a=a, interface_b=b, interface_a_raw=F.col("near"), interface_b_raw=F.col("port"), discovery_proto=proto)
     return one.select(F.lit("node").alias("kind"), F.col("neighbor").alias("id"), none.alias("src"), none.alias("dst"), F.lit("Device").alias("type"), none.alias("interface_a"), none.alias("interface_b"), stub.alias("props")).unionByName(
         rows.select(F.lit("edge").alias("kind"), none.alias("id"), F.col("device").alias("src"), F.col("neighbor").alias("dst"), F.lit("PHYSICAL_LINK").alias("type"), a.alias("interface_a"), b.alias("interface_b"), link.alias("props"))
