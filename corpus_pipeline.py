@@ -15,28 +15,44 @@ from netloom.llm import decontamination, language_id, minhash_join, piece_sampli
 from netloom.llm.lineage import shared_folder
 
 
+#: Rows of a batch that goes to a Python worker. Texts are long, and workers and
+#: buffers of one stage keep their memory beside those of the next.
+BATCH_ROWS = 2000
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Sets the session's batches to ``BATCH_ROWS`` at most; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, str(min(BATCH_ROWS, int(spark.conf.get(name)))))
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models reject go."""
+    _bounded(spark)
     return language_id.accepted(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the lowest id stays."""
+    _bounded(spark)
     return minhash_join.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    _bounded(spark)
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced."""
+    _bounded(spark)
     return secret_links.redacted(docs)
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become sampled pieces, from which they can be decoded."""
+    _bounded(spark)
     return piece_sampling.encoded(docs)
 
 
