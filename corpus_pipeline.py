@@ -23,7 +23,8 @@ BATCH_ROWS = 2000
 def _bounded(spark: SparkSession) -> None:
     """Sets the session's batches to ``BATCH_ROWS`` at most; results don't depend on it."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(name, str(min(BATCH_ROWS, int(spark.conf.get(name)))))
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:  # 0 is no bound
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
