@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.operators import snmp, walk_tables
+from netloom.operators.paths import _cut
 from netloom.plans.catalog import query
 from netloom.plans.graph import table
 
 
 def _walk(rows: DataFrame, lines: list[tuple[str, Column, str, Column]]) -> DataFrame:
-    """The walk of ``rows(device)`` with a line for each (oid, index, kind, value)."""
+    """The walk of ``rows(device)`` with a line for each (oid, index, kind, value),
+    written once: tables of it are read several times."""
     text = [rows.select("device", F.concat(F.lit(f".{oid}."), index, F.lit(f" = {kind}: "), value).alias("line")) for oid, index, kind, value in lines]
-    return snmp.parse_lines(reduce(DataFrame.union, text).where("line is not null"))
+    return _cut(snmp.parse_lines(reduce(DataFrame.union, text).where("line is not null")))
 
 
 def _quoted(value: Column) -> Column:
