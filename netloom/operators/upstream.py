@@ -36,8 +36,9 @@ def ways_out(edge: DataFrame, gates: DataFrame, links: DataFrame, hops: int = 6)
 
     The search goes out from all gates at once. A node keeps, for each tier, the
     nearest ``KEPT`` gates of all and of each site that has devices to serve; a
-    gate of tier 2 that reaches a node no sooner than one of tier 1 is never
-    chosen there or behind, and goes no further.
+    gate of tier 2 that reaches a node later than ``KEPT`` of tier 1 is never
+    chosen there or behind, and goes no further. One of tier 1 doesn't bar it:
+    that one may be the device itself, which must find another gate.
     """
     steps = _cut(both_ways(links).distinct())
     served = edge.select("site").where("site is not null").distinct()
@@ -51,7 +52,7 @@ def ways_out(edge: DataFrame, gates: DataFrame, links: DataFrame, hops: int = 6)
         known = label(seen)
         # what a node knows already comes first, as it was nearer
         fresh = label(near).join(known.select("node", "label", "gate"), ["node", "label", "gate"], "left_anti")
-        sooner = known.where("tier = 1 and site is null").select("node").distinct()
+        sooner = known.where("tier = 1 and site is null").groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= KEPT).select("node")
         fresh = fresh.where("tier = 1").unionByName(fresh.where("tier > 1").join(sooner, "node", "left_anti"))
         full = known.join(fresh.select("node", "label").distinct(), ["node", "label"], "left_semi").unionByName(fresh)
         frontier = _cut(full.withColumn("_k", F.row_number().over(best)).where((F.col("_k") <= KEPT) & (F.col("distance") == d)).select(*seen.columns))
