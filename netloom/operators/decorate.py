@@ -73,16 +73,25 @@ def holding(pairs: DataFrame, addresses: DataFrame, cidrs: DataFrame) -> DataFra
 def egress(peers: DataFrame, interfaces: DataFrame, rank: Sequence[Column]) -> DataFrame:
     """``peers(peer, peer_ip)`` with the one of ``interfaces(iface, ip)`` that
     shares the longest prefix, of /31 to /24 or /127 to /64, then by ``rank``.
-    Both meet in their /24 or /64 once, an interface for each address there, and
-    the bits in which they differ tell the length."""
+    Interfaces stand once for each prefix of those lengths that holds one. Peers
+    look up every eighth length, then the eight from the longest one met, so
+    each meets few rows however many interfaces are in its /24 or /64."""
     block = lambda ip: F.coalesce(network4(ipv4(ip), 24).cast("string"), F.substring(ipv6(ip), 1, 16)).alias("_block")
-    low = lambda ip: F.coalesce(ipv4(ip), F.conv(F.substring(ipv6(ip), 17, 16), 16, -10).cast("bigint"))
+    low = lambda ip: F.coalesce(ipv4(ip), F.conv(F.substring(ipv6(ip), 17, 16), 16, -10).cast("bigint")).alias("_low")
+    four = lambda ip: ipv4(ip).isNotNull().alias("_four")
+    of = lambda ip: [block(ip), low(ip), four(ip)]
+    least = F.when(F.col("_four"), 24).otherwise(64)
+    shift = F.when(F.col("_four"), 32).otherwise(128) - F.col("_len")
+    # a shift by 64 would be one by 0
+    net = F.when(F.col("_len") == 64, F.lit(0)).otherwise(F.call_function("shiftright", F.col("_low"), shift)).alias("_net")
+    at = lambda d, lengths: d.withColumn("_len", F.explode(lengths)).withColumn("_net", net)
     best = F.max(F.struct(*(r.alias(f"r{i}") for i, r in enumerate(rank)), "iface")).alias("_i")
-    right = interfaces.groupBy(block(F.col("ip")), low(F.col("ip")).alias("_to")).agg(best)
-    left = peers.select("*", block(F.col("peer_ip")), low(F.col("peer_ip")).alias("_from"), F.when(ipv4(F.col("peer_ip")).isNotNull(), 32).otherwise(128).alias("_bits"))
-    length = F.least(F.col("_bits") - 1, F.col("_bits") - F.length(F.bin(F.col("_from").bitwiseXOR(F.col("_to")))))
-    met = left.join(right, "_block").withColumn("prefix_len", length)
-    return met.groupBy(*peers.columns).agg(F.max(F.struct("prefix_len", "_i")).alias("x")).select(*peers.columns, F.col("x._i.iface").alias("iface"), "x.prefix_len")
+    right = at(interfaces.select("*", *of(F.col("ip"))), F.sequence(least, F.when(F.col("_four"), 31).otherwise(127))).groupBy("_block", "_len", "_net").agg(best)
+    key = [*peers.columns, "_block", "_low", "_four"]
+    coarse = at(peers.select("*", *of(F.col("peer_ip"))), F.sequence(least, F.when(F.col("_four"), 24).otherwise(120), F.lit(8)))
+    longest = coarse.join(right.select("_block", "_len", "_net"), ["_block", "_len", "_net"]).groupBy(*key).agg(F.max("_len").alias("_from"))
+    fine = at(longest, F.sequence("_from", F.col("_from") + 7)).join(right, ["_block", "_len", "_net"])
+    return fine.groupBy(*peers.columns).agg(F.max(F.struct(F.col("_len").alias("prefix_len"), "_i")).alias("x")).select(*peers.columns, F.col("x._i.iface").alias("iface"), "x.prefix_len")
 
 
 def local_address(peers: DataFrame, addresses: DataFrame, devices: DataFrame) -> DataFrame:
