@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.network import is_public_asn
-from netloom.operators.paths import _cut
-from netloom.operators.store import both_ways
+from netloom.operators.paths import _cut, _steps
 
 INTERNET = "internet:0"
 #: Gates kept of a tier and site at each node: a gate is not its own way out, so its neighbours must tell of another.
@@ -40,7 +39,7 @@ def ways_out(edge: DataFrame, gates: DataFrame, links: DataFrame, hops: int = 6)
     chosen there or behind, and goes no further. One of tier 1 doesn't bar it:
     that one may be the device itself, which must find another gate.
     """
-    steps = _cut(both_ways(links).distinct())
+    steps = _steps(links)
     served = edge.select("site").where("site is not null").distinct()
     every = gates.select(F.col("id").alias("gate"), "name", "tier", F.lit(None).cast("string").alias("site"))
     own = gates.select(F.col("id").alias("gate"), "name", "tier", "site").join(served, "site", "left_semi").select("gate", "name", "tier", "site")
