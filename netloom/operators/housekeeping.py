@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.names import pick
-from netloom.operators.paths import _cut
+from netloom.operators.paths import _cut, _dealt
 
 #: Types whose nodes go when nothing is attached to them.
 LOOSE = ("RoutingPeer", "MACAddress", "ARPEntry", "IPAddress", "Prefix")
@@ -40,14 +40,18 @@ def swept(nodes: DataFrame, edges: DataFrame, needs: dict[str, tuple[str, ...]]
     for h in held_by[1:]:
         holds = holds | h
     kinds = nodes.select(F.col("id").alias("dst"), F.col("type").alias("kind"))
-    here = nodes.select(F.col("id").alias("src"))
-    held = _cut(edges.select("src", "dst", "type").join(kinds, "dst").where(holds).join(here, "src", "left_semi").select("src", "dst").distinct())
-    gone = _cut(nodes.where(F.col("type").isin(*needs)).select("id").distinct().join(held.select(F.col("dst").alias("id")), "id", "left_anti"))
-    every = gone
+    here = nodes.select(F.col("id").alias("src")).distinct()
+    tied = edges.where(F.col("type").isin(*{x for v in needs.values() for x in v})).select("src", "dst", "type").join(kinds, "dst").where(holds)
+    held = _dealt(tied.select("src", "dst").join(here, "src", "left_semi"), "src")
+    holders = _dealt(held.groupBy("dst").agg(F.count("*").alias("n")), "dst")
+    gone = _cut(nodes.where(F.col("type").isin(*needs)).select("id").distinct().join(holders.select(F.col("dst").alias("id")), "id", "left_anti"))
+    every, lost = gone, None
     while not gone.isEmpty():
-        lost = held.join(gone.select(F.col("id").alias("src")), "src", "left_semi").select("dst").distinct()
-        still = held.join(lost, "dst", "left_semi").join(every.select(F.col("id").alias("src")), "src", "left_anti").select("dst")
-        gone = _cut(lost.join(still, "dst", "left_anti").select(F.col("dst").alias("id")).join(every, "id", "left_anti"))
+        # what went holds nothing any more: each edge is lost once, and a node goes with its last
+        fresh = _cut(held.join(gone.select(F.col("id").alias("src")), "src").groupBy("dst").agg(F.count("*").alias("n")))
+        lost = fresh if lost is None else lost.union(fresh)
+        taken = lost.join(fresh.select("dst"), "dst", "left_semi").groupBy("dst").agg(F.sum("n").alias("taken"))
+        gone = _cut(holders.join(taken, "dst").where("taken = n").select(F.col("dst").alias("id")).join(every, "id", "left_anti"))
         every = every.union(gone)
     kept = nodes.join(every, "id", "left_anti")
     ids = kept.select("id").distinct()
