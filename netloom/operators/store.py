@@ -49,7 +49,8 @@ def _upsert(old: DataFrame, new: DataFrame, key: list[str], now_ms: int, extra:
     """Full outer join of the stored rows and a snapshot. ``change`` tells what
     became of each: created, updated (other content), touched or absent."""
     o, n = old.alias("o"), new.alias("n")
-    on = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key]
+    # the hash of the key leads, so that the join's sorts compare a number
+    on = [_hashed(*(f"o.{k}" for k in key)) == _hashed(*(f"n.{k}" for k in key)), *(F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key)]
     seen, known = F.col("n.hash").isNotNull(), F.col("o.hash").isNotNull()
     same = F.col("o.hash") == F.col("n.hash")
     change = F.when(~seen, "absent").when(~known, "created").when(same, "touched").otherwise("updated")
@@ -75,16 +76,26 @@ def with_edge_hash(edges: DataFrame) -> DataFrame:
     return edges.withColumn("hash", content_hash(*(F.coalesce(c, F.lit("")) for c in EDGE_KEY), props=F.col("props")))
 
 
+def _hashed(*key: str) -> Column:
+    return F.xxhash64(*(F.col(k).cast("string") for k in key))
+
+
 def _folded(rows: DataFrame, key: list[str]) -> DataFrame:
     """One row for each key: the properties of all its rows, laid over each other
     in the order of their sources (of equal sources, of their contents), a null
-    removes; and the last source. A property at a time, so keys of very many
-    rows are combined before they are shuffled."""
-    each = rows.select(*key, "source_adapter", canonical_json(F.col("props")).alias("_json"), F.explode_outer(F.map_entries("props")).alias("_e"))
+    removes; and the last source. Equal rows are combined first; where a key
+    then has several, a property at a time, so keys of very many rows are
+    combined before they are shuffled."""
+    different = rows.select(*key, "source_adapter", F.map_entries("props").alias("_entries")).distinct().withColumn("_key", _hashed(*key))
+    mixed = different.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    alone = different.join(mixed, "_key", "left_anti").select(*key, F.map_from_entries(F.array_sort(F.coalesce("_entries", none))).alias("props"), "source_adapter")
+    several = different.join(mixed, "_key", "left_semi")
+    each = several.select(*key, "source_adapter", canonical_json(F.map_from_entries("_entries")).alias("_json"), F.explode_outer("_entries").alias("_e"))
     order = F.struct("source_adapter", "_json")
     one = each.groupBy(*key, F.col("_e.key").alias("_name")).agg(F.max_by("_e.value", order).alias("_value"), F.max("source_adapter").alias("source_adapter"))
     named = F.collect_list(F.when(F.col("_name").isNotNull(), F.struct(F.col("_name").alias("key"), F.col("_value").alias("value"))))
-    return one.groupBy(*key).agg(F.map_from_entries(F.array_sort(named)).alias("props"), F.max("source_adapter").alias("source_adapter"))
+    return alone.union(one.groupBy(*key).agg(F.map_from_entries(F.array_sort(named)).alias("props"), F.max("source_adapter").alias("source_adapter")))
 
 
 def upsert_nodes(old: DataFrame, snapshot: DataFrame, now_ms: int) -> DataFrame:
