@@ -196,7 +196,7 @@ best AS (SELECT e.id, g.id AS upstream, h.d, row_number() OVER (PARTITION BY e.i
 SELECT e.id AS device, coalesce(upstream, 'internet:0') AS upstream, d AS hops FROM edge e LEFT JOIN best b ON b.id = e.id AND k = 1""")
 def wan_upstream_bfs(spark: SparkSession, folder: str) -> DataFrame:
     known = devices(spark, folder)
-    steps = topology(spark, folder)
+    steps = paths._stored(topology(spark, folder))
     edge = known.where("source_adapter = 'c' and nation % 4 = 0").join(steps.select(F.col("src").alias("id")).union(steps.select("dst")).distinct(), "id", "left_semi").select("id", F.col("nation").alias("site"))
     gates = known.where("source_adapter = 's' and nation < 8").select("id", F.col("nation").alias("site"))
     return decorate.upstream(edge, gates, steps).select("device", "upstream", "hops")
